@@ -58,6 +58,8 @@ def v1_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 3 + 1).alias("num_llm_calls"),
         F.col("ts").cast("timestamp").alias("finished_at"),
         F.col("user_id"),
+        F.concat(F.lit("exp"), (F.col("user_id") % 2).cast("string")).alias("experiment_id"),
+        F.concat(F.lit("run"), (F.col("user_id") % 4).cast("string")).alias("run_id"),
     )
 
 
@@ -81,6 +83,66 @@ SELECT event_id + 1 AS result_id,
        CASE WHEN k = 0 THEN NULL ELSE CAST(k AS DOUBLE) * 1000 / value END AS tps,
        event_id % 3 + 1 AS num_llm_calls,
        ts AS finished_at,
-       user_id
+       user_id,
+       'exp' || CAST(user_id % 2 AS VARCHAR) AS experiment_id,
+       'run' || CAST(user_id % 4 AS VARCHAR) AS run_id
 FROM (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events)
 """
+
+
+# --------------------------------------------------------------------------- #
+# V2 examples (one evaluation example per document, plus a model output)
+# --------------------------------------------------------------------------- #
+def v2_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    first_word = F.split(F.col("text"), " ").getItem(0)
+    kind = F.col("doc_id") % 4
+    return d.select(
+        F.col("doc_id").alias("example_id"),
+        F.col("text").alias("prompt"),
+        F.when(F.col("lang") == "en", F.lit(None).cast("string"))
+        .when(F.col("lang") == "fr", F.lit(""))
+        .otherwise(F.concat(F.lit("Answer in "), "lang"))
+        .alias("system_prompt"),
+        F.when(kind == 0, F.col("text"))
+        .when(kind == 1, F.concat(F.lit("Contains: "), first_word))
+        .when(kind == 2, F.lit("ratio:"))
+        .otherwise(F.lit(""))
+        .alias("expected_output"),
+        F.when(F.col("doc_id") % 9 == 0, F.lit(float("nan")))
+        .otherwise((F.col("doc_id") % 3 + 1).cast("double"))
+        .alias("weight"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("  "), "text", F.lit("\n")))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("Answer: "), "text"))
+        .when(
+            F.col("doc_id") % 5 == 2,
+            F.concat(
+                (F.col("doc_id") % 7).cast("string"),
+                F.lit(" / "),
+                (F.col("doc_id") % 4).cast("string"),
+                F.lit(" sub-steps passed"),
+            ),
+        )
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit("In "), first_word, F.lit(" end")))
+        .otherwise(F.lit(""))
+        .alias("output"),
+        "lang",
+        "source",
+    )
+
+
+V2_SQL = """
+SELECT doc_id AS example_id,
+       text AS prompt,
+       CASE WHEN lang = 'en' THEN NULL WHEN lang = 'fr' THEN '' ELSE 'Answer in ' || lang END AS system_prompt,
+       CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Contains: ' || split_part(text, ' ', 1)
+            WHEN 2 THEN 'ratio:' ELSE '' END AS expected_output,
+       CASE WHEN doc_id % 9 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST(doc_id % 3 + 1 AS DOUBLE) END AS weight,
+       CASE doc_id % 5 WHEN 0 THEN '  ' || text || chr(10)
+            WHEN 1 THEN 'Answer: ' || text
+            WHEN 2 THEN CAST(doc_id % 7 AS VARCHAR) || ' / ' || CAST(doc_id % 4 AS VARCHAR) || ' sub-steps passed'
+            WHEN 3 THEN 'In ' || split_part(text, ' ', 1) || ' end'
+            ELSE '' END AS output,
+       lang, source
+FROM documents
+"""
