@@ -44,7 +44,7 @@ def squash(col, n: int = 140) -> Column:
 
 def last_line(col) -> Column:
     """Last line of a trimmed traceback text ("" for blank input)."""
-    return F.element_at(F.split(strip(col), "\n"), -1)
+    return F.try_element_at(F.split(strip(col), "\n"), F.lit(-1))
 
 
 def normalize_url(col, suffix: str = "/chat/completions") -> Column:
@@ -67,7 +67,7 @@ def command_error(col) -> Column:
     c = _c(col)
     quoted = F.regexp_extract(c, r'err="([^"]*)"', 1)
     conn = F.regexp_extract(c, r"(The connection to the server [^\n]*)", 1)
-    first = F.element_at(F.split(strip(c), "\n"), 1)
+    first = F.try_element_at(F.split(strip(c), "\n"), F.lit(1))
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(conn, F.lit("")), first)
 
 
@@ -115,7 +115,7 @@ def last_code_block(col) -> Column:
     filled = F.filter(blocks, lambda x: F.length(strip(x)) > 0)
     script = (
         F.when(F.size(blocks) == 0, c)
-        .when(F.size(filled) > 0, F.element_at(filled, -1))
-        .otherwise(F.element_at(blocks, -1))
+        .when(F.size(filled) > 0, F.try_element_at(filled, F.lit(-1)))
+        .otherwise(F.try_element_at(blocks, F.lit(-1)))
     )
     return strip_imports(script)

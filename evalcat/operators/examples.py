@@ -62,7 +62,7 @@ def validation_error(v: Column) -> Column:
         role_ok = F.coalesce((_vtype(m, "$.role") == "STRING") & role.isin(*VALID_ROLES), F.lit(False))
         idx = F.concat(F.lit("messages["), i.cast("string"), F.lit("]"))
         return (
-            F.when(F.schema_of_variant(m) != "OBJECT", F.concat(rid, idx, F.lit(" must be an object")))
+            F.when(~F.coalesce(F.schema_of_variant(m).startswith("OBJECT"), F.lit(False)), F.concat(rid, idx, F.lit(" must be an object")))
             .when(~role_ok, F.concat(rid, idx, F.lit(".role must be system|user|assistant|tool")))
             .when(
                 F.coalesce(_vtype(m, "$.content") != "STRING", F.lit(True)),
@@ -70,8 +70,8 @@ def validation_error(v: Column) -> Column:
             )
         )
 
-    first_msg_error = F.element_at(
-        F.filter(F.transform(msgs, msg_error), lambda e: e.isNotNull()), 1
+    first_msg_error = F.try_element_at(
+        F.filter(F.transform(msgs, msg_error), lambda e: e.isNotNull()), F.lit(1)
     )
     return (
         F.when(v.isNull(), F.lit("invalid JSON"))

@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "evalcat.plans.q_results",
+    "evalcat.plans.q_examples",
 )
 
 
