@@ -146,3 +146,116 @@ SELECT doc_id AS example_id,
        lang, source
 FROM documents
 """
+
+
+# --------------------------------------------------------------------------- #
+# V5 catalog (models, artifacts, inventory, checkpoints) from ``part``
+# --------------------------------------------------------------------------- #
+def v5_model_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model -> artifact references, one row per part; ``pos`` (list position)
+    is the part key, so list order is key order within the model."""
+    p = _t(spark, sf_dir, "part")
+    brand = F.regexp_replace(F.lower("p_brand"), "brand#", "b")
+    ss = F.pow(F.lit(2), F.lit(9) + F.col("p_size") % 8).cast("long")
+    bs = F.pow(F.lit(2), F.col("p_size") % 4).cast("long")
+    stem = F.concat(brand, F.lit("-"), F.regexp_replace("p_name", " ", ""))
+    static = F.concat(
+        stem,
+        F.lit("-ss"), ss.cast("string"),
+        F.lit("-bs"), bs.cast("string"),
+        F.when(F.col("p_type") == "SMALL", F.concat(F.lit("-sd"), (F.col("p_size") % 10).cast("string"))).otherwise(F.lit("")),
+    )
+    dyn = F.concat(stem, F.lit("-dyt"))
+    return p.select(
+        F.concat(F.lit("model-"), brand).alias("model"),
+        F.col("p_partkey").alias("pos"),
+        F.when(F.col("p_type") == "PROMO", dyn).otherwise(static).alias("artifact"),
+        "p_partkey",
+        "p_size",
+        "p_type",
+        "p_retailprice",
+    )
+
+
+V5_MAPPING_SQL = """
+SELECT 'model-' || replace(lower(p_brand), 'brand#', 'b') AS model,
+       p_partkey AS pos,
+       CASE WHEN p_type = 'PROMO'
+            THEN replace(lower(p_brand), 'brand#', 'b') || '-' || replace(p_name, ' ', '') || '-dyt'
+            ELSE replace(lower(p_brand), 'brand#', 'b') || '-' || replace(p_name, ' ', '')
+                 || '-ss' || CAST(CAST(pow(2, 9 + p_size % 8) AS BIGINT) AS VARCHAR)
+                 || '-bs' || CAST(CAST(pow(2, p_size % 4) AS BIGINT) AS VARCHAR)
+                 || CASE WHEN p_type = 'SMALL' THEN '-sd' || CAST(p_size % 10 AS VARCHAR) ELSE '' END END AS artifact,
+       p_partkey, p_size, p_type, p_retailprice
+FROM part
+"""
+
+
+def v5_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compiled-artifact inventory: every referenced artifact except those of
+    ECONOMY parts (not compiled on this cluster). Duplicate names resolve to
+    the entry of the highest part key (E10 last-entry-wins)."""
+    m = v5_model_artifacts(spark, sf_dir).where(F.col("p_type") != "ECONOMY")
+    entry = F.struct(
+        F.transform(F.sequence(F.lit(1), F.col("p_size") % 4 + 1), lambda i: i.cast("string")).alias("version_keys"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("embedding")).otherwise(F.lit("text-generation")).alias("task_name"),
+        F.when(F.col("p_size") % 6 == 0, F.lit(None).cast("array<long>"))
+        .otherwise(F.slice(F.array(*[F.lit(x).cast("long") for x in (1, 2, 4, 8, 16)]), 1, F.col("p_size") % 5 + 1))
+        .alias("bs_values"),
+        F.when(F.col("p_size") % 6 == 0, F.lit(4).cast("long")).alias("batch_size"),
+        F.when(F.col("p_size") % 4 == 0, F.lit(None).cast("long")).otherwise(F.lit(8192).cast("long")).alias("seq_min"),
+        F.pow(F.lit(2), F.lit(15) + F.col("p_size") % 3).cast("long").alias("seq_max"),
+        F.when(F.col("p_size") % 4 == 0, F.lit(None).cast("long")).otherwise(F.lit(4096).cast("long")).alias("seq_step"),
+    )
+    best = m.groupBy("artifact").agg(F.max_by(entry, F.col("p_partkey")).alias("e"))
+    return best.select("artifact", "e.*")
+
+
+V5_INVENTORY_SQL = """
+SELECT artifact, e.version_keys, e.task_name, e.bs_values, e.batch_size, e.seq_min, e.seq_max, e.seq_step
+FROM (
+  SELECT artifact, arg_max({
+      'version_keys': list_transform(range(1, p_size % 4 + 2), lambda i: CAST(i AS VARCHAR)),
+      'task_name': CASE WHEN p_size % 3 = 0 THEN 'embedding' ELSE 'text-generation' END,
+      'bs_values': CASE WHEN p_size % 6 = 0 THEN NULL ELSE [1, 2, 4, 8, 16][1:p_size % 5 + 1] END,
+      'batch_size': CASE WHEN p_size % 6 = 0 THEN 4 END,
+      'seq_min': CASE WHEN p_size % 4 = 0 THEN NULL ELSE 8192 END,
+      'seq_max': CAST(pow(2, 15 + p_size % 3) AS BIGINT),
+      'seq_step': CASE WHEN p_size % 4 = 0 THEN NULL ELSE 4096 END}, p_partkey) AS e
+  FROM mapping WHERE p_type <> 'ECONOMY' GROUP BY artifact)
+"""
+
+
+def v5_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One checkpoint entry per model (brand): brand numbers divisible by 7
+    have an empty path, by 4 a vision checkpoint, by 5 a preset type."""
+    p = _t(spark, sf_dir, "part")
+    b = p.select(F.regexp_replace(F.lower("p_brand"), "brand#", "b").alias("brand"), "p_brand").distinct()
+    n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("long")
+    model = F.concat(F.lit("model-"), "brand")
+    return b.select(
+        model.alias("model"),
+        F.when(n % 7 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("ckpts/"), model, F.lit("/v"), (n % 3 + 1).cast("string"))
+        ).alias("path"),
+        F.concat(F.lit("res-"), "brand").alias("resource_name"),
+        F.when(n % 4 == 0, F.concat(F.lit("vision/"), model)).alias("vision_embedding_checkpoint"),
+        F.when(n % 5 == 0, F.lit("preset")).alias("model_type"),
+    )
+
+
+V5_CHECKPOINTS_SQL = """
+SELECT 'model-' || brand AS model,
+       CASE WHEN n % 7 = 0 THEN '' ELSE 'ckpts/model-' || brand || '/v' || CAST(n % 3 + 1 AS VARCHAR) END AS path,
+       'res-' || brand AS resource_name,
+       CASE WHEN n % 4 = 0 THEN 'vision/model-' || brand END AS vision_embedding_checkpoint,
+       CASE WHEN n % 5 = 0 THEN 'preset' END AS model_type
+FROM (SELECT DISTINCT replace(lower(p_brand), 'brand#', 'b') AS brand,
+             CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS n FROM part)
+"""
+
+V5_SQL = (
+    f"WITH mapping AS ({V5_MAPPING_SQL}),\n"
+    f"inventory AS ({V5_INVENTORY_SQL}),\n"
+    f"checkpoints AS ({V5_CHECKPOINTS_SQL})\n"
+)

@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 _MODULES = (
     "evalcat.plans.q_results",
     "evalcat.plans.q_examples",
+    "evalcat.plans.q_catalog",
 )
 
 
