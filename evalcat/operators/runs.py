@@ -220,10 +220,11 @@ def reap_orphans(
         & F.col("_active").isNull()
         & (F.col("started_at").isNull() | ~is_finite(age) | (age >= grace_seconds))
     )
+    r = r.withColumn("_orphan", orphan)
     return (
-        r.withColumn("status", F.when(orphan, F.lit("interrupted")).otherwise(F.col("status")))
-        .withColumn("finished_at", F.when(orphan, now).otherwise(F.col("finished_at")))
-        .drop("_active")
+        r.withColumn("status", F.when(F.col("_orphan"), F.lit("interrupted")).otherwise(F.col("status")))
+        .withColumn("finished_at", F.when(F.col("_orphan"), now).otherwise(F.col("finished_at")))
+        .drop("_active", "_orphan")
     )
 
 
@@ -241,7 +242,8 @@ def run_state(events: DataFrame, exp_col: str = "experiment_id") -> DataFrame:
     """Fold run lifecycle events (create, resume, complete, abort,
     interrupt) into RunMeta rows: status from the last event, started_at from
     create, resumed_at = ordered resume times, finished_at from the last
-    terminal event after the last (re)start. All partial aggregates."""
+    terminal event (a resume does not clear it, as in the reference's run
+    metadata). All partial aggregates."""
     status = F.create_map(*[F.lit(x) for kv in RUN_EVENT_STATUS.items() for x in kv])
     ev = events.withColumn("_status", status[F.col("event")])
     terminal = F.col("event").isin("complete", "abort", "interrupt")
@@ -249,16 +251,9 @@ def run_state(events: DataFrame, exp_col: str = "experiment_id") -> DataFrame:
         F.max_by("_status", F.struct("ts", "seq")).alias("status"),
         F.min(F.when(F.col("event") == "create", F.col("ts"))).alias("started_at"),
         F.array_sort(F.collect_list(F.when(F.col("event") == "resume", F.col("ts")))).alias("resumed_at"),
-        F.max(F.when(terminal, F.col("ts"))).alias("_last_end"),
-        F.max(F.when(F.col("event").isin("create", "resume"), F.col("ts"))).alias("_last_start"),
+        F.max(F.when(terminal, F.col("ts"))).alias("finished_at"),
     )
-    return agg.withColumn(
-        "finished_at",
-        F.when(
-            (F.col("status") != "running") & (F.col("_last_end") >= F.col("_last_start")),
-            F.col("_last_end"),
-        ),
-    ).drop("_last_end", "_last_start")
+    return agg
 
 
 def drop_run(results: DataFrame, runs: DataFrame, run_ids: DataFrame, active: DataFrame | None = None):

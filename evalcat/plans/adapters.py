@@ -259,3 +259,198 @@ V5_SQL = (
     f"inventory AS ({V5_INVENTORY_SQL}),\n"
     f"checkpoints AS ({V5_CHECKPOINTS_SQL})\n"
 )
+
+
+# --------------------------------------------------------------------------- #
+# V3 calls (one LLM call per lineitem)
+# --------------------------------------------------------------------------- #
+def v3_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("result_id"),
+        F.col("l_linenumber").alias("call_no"),
+        (F.col("l_partkey") % 1000).alias("input_tokens"),
+        F.when(F.col("l_returnflag") == "N", F.lit(None).cast("long"))
+        .otherwise(F.col("l_quantity").cast("long"))
+        .alias("output_tokens"),
+        F.col("l_extendedprice").alias("latency_ms"),
+        F.when(F.col("l_tax") == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("l_extendedprice") * F.col("l_tax"))
+        .alias("ttft_ms"),
+        F.when(F.col("l_discount") == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("l_discount") * 1000)
+        .alias("tps"),
+        "l_returnflag",
+        "l_partkey",
+        "l_tax",
+        "l_discount",
+    )
+
+
+V3_SQL = """
+SELECT l_orderkey AS result_id, l_linenumber AS call_no, l_partkey % 1000 AS input_tokens,
+       CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS output_tokens,
+       l_extendedprice AS latency_ms,
+       CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice * l_tax END AS ttft_ms,
+       CASE WHEN l_discount = 0 THEN NULL ELSE l_discount * 1000 END AS tps,
+       l_returnflag, l_partkey, l_tax, l_discount
+FROM lineitem
+"""
+
+
+# --------------------------------------------------------------------------- #
+# V6 deployments, bundles and pods (customer, orders)
+# --------------------------------------------------------------------------- #
+def v6_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    name = F.concat(F.lit("b-"), F.lower("c_mktsegment"), F.lit("-"), F.col("c_custkey").cast("string"))
+    cond = F.struct(
+        F.lit("Validated").alias("type"),
+        F.when(F.col("c_acctbal") > 5000, F.lit("True")).otherwise(F.lit("False")).alias("status"),
+        F.when(F.col("c_acctbal") > 5000, F.lit("ValidationSucceeded")).otherwise(F.lit("ValidationFailed")).alias("reason"),
+        F.when(F.col("c_acctbal") > 5000, F.lit("")).otherwise(
+            F.concat(F.lit("model missing: "), F.col("c_name"), F.lit("\n  check artifacts \n\nretry"))
+        ).alias("message"),
+    )
+    return c.select(
+        name.alias("name"),
+        F.concat(F.lit("ns"), F.col("c_nationkey").cast("string")).alias("namespace"),
+        F.concat(F.lit("bt-"), F.lower("c_mktsegment")).alias("template"),
+        F.when(F.col("c_acctbal") < 1000, F.array().cast(
+            "array<struct<type:string,status:string,reason:string,message:string>>"
+        )).otherwise(F.array(cond)).alias("conditions"),
+        F.array(
+            F.concat(F.lit("model-b"), (F.col("c_custkey") % 25 + 1).cast("string")),
+            F.concat(F.lit("Model-B"), (F.col("c_nationkey") + 1).cast("string")),
+        ).alias("models"),
+        "c_custkey",
+        "c_acctbal",
+    )
+
+
+V6_BUNDLES_SQL = """
+SELECT 'b-' || lower(c_mktsegment) || '-' || CAST(c_custkey AS VARCHAR) AS name,
+       'ns' || CAST(c_nationkey AS VARCHAR) AS namespace,
+       'bt-' || lower(c_mktsegment) AS template,
+       CASE WHEN c_acctbal < 1000 THEN []
+            ELSE [{'type': 'Validated',
+                   'status': CASE WHEN c_acctbal > 5000 THEN 'True' ELSE 'False' END,
+                   'reason': CASE WHEN c_acctbal > 5000 THEN 'ValidationSucceeded' ELSE 'ValidationFailed' END,
+                   'message': CASE WHEN c_acctbal > 5000 THEN '' ELSE 'model missing: ' || c_name || chr(10) || '  check artifacts ' || chr(10) || chr(10) || 'retry' END}]
+       END AS conditions,
+       ['model-b' || CAST(c_custkey % 25 + 1 AS VARCHAR), 'Model-B' || CAST(c_nationkey + 1 AS VARCHAR)] AS models,
+       c_custkey, c_acctbal
+FROM customer
+"""
+
+
+def v6_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pod status line per order, as ``kubectl get pods`` prints it; the
+    order date is the poll time."""
+    o = _t(spark, sf_dir, "orders")
+    kind = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("cache"))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("q-default-n"))
+        .otherwise(F.lit("worker"))
+    )
+    name = F.concat(F.lit("inf-d"), F.col("o_custkey").cast("string"), F.lit("-"), kind, F.lit("-"), F.col("o_orderkey").cast("string"))
+    total = F.col("o_orderkey") % 3 + 1
+    ready = F.when(F.col("o_orderstatus") == "F", total).when(F.col("o_orderstatus") == "O", total - 1).otherwise(F.lit(0))
+    status = (
+        F.when(F.col("o_orderstatus") == "F", F.lit("Running"))
+        .when(F.col("o_orderstatus") == "O", F.lit("ContainerCreating"))
+        .otherwise(F.lit("Pending"))
+    )
+    line = F.concat_ws(
+        "   ",
+        name,
+        F.concat(ready.cast("string"), F.lit("/"), total.cast("string")),
+        status,
+        (F.col("o_orderkey") % 5).cast("string"),
+        F.concat((F.col("o_orderkey") % 90).cast("string"), F.lit("m")),
+    )
+    return o.select(
+        F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("deployment"),
+        F.col("o_orderdate").cast("timestamp").alias("polled_at"),
+        F.col("o_orderkey").alias("seq"),
+        line.alias("line"),
+    )
+
+
+V6_PODS_SQL = """
+SELECT 'd' || CAST(o_custkey AS VARCHAR) AS deployment, o_orderdate AS polled_at, o_orderkey AS seq,
+       'inf-d' || CAST(o_custkey AS VARCHAR) || '-'
+         || CASE o_orderpriority WHEN '1-URGENT' THEN 'cache' WHEN '2-HIGH' THEN 'q-default-n' ELSE 'worker' END
+         || '-' || CAST(o_orderkey AS VARCHAR)
+         || '   ' || CAST(CASE o_orderstatus WHEN 'F' THEN o_orderkey % 3 + 1 WHEN 'O' THEN o_orderkey % 3 ELSE 0 END AS VARCHAR)
+         || '/' || CAST(o_orderkey % 3 + 1 AS VARCHAR)
+         || '   ' || CASE o_orderstatus WHEN 'F' THEN 'Running' WHEN 'O' THEN 'ContainerCreating' ELSE 'Pending' END
+         || '   ' || CAST(o_orderkey % 5 AS VARCHAR) || '   ' || CAST(o_orderkey % 90 AS VARCHAR) || 'm' AS line
+FROM orders
+"""
+
+
+# --------------------------------------------------------------------------- #
+# V7 runs (one evaluation run per order)
+# --------------------------------------------------------------------------- #
+def v7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    started = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    status = (
+        F.when(F.col("o_orderstatus") == "F", F.lit("completed"))
+        .when(F.col("o_orderstatus") == "O", F.lit("running"))
+        .when(F.col("o_orderkey") % 2 == 0, F.lit("aborted"))
+        .otherwise(F.lit("interrupted"))
+    )
+    finished = F.when(
+        F.col("o_orderstatus") != "O",
+        F.timestamp_seconds(F.unix_timestamp(started) + (F.col("o_totalprice") / 10).cast("long")),
+    )
+    return o.select(
+        F.concat(F.lit("exp"), F.col("o_custkey").cast("string")).alias("experiment_id"),
+        F.date_format(started, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'").alias("run_id"),
+        status.alias("status"),
+        started.alias("started_at"),
+        finished.alias("finished_at"),
+        "o_orderkey",
+        "o_custkey",
+        "o_totalprice",
+    )
+
+
+V7_SQL = """
+SELECT 'exp' || CAST(o_custkey AS VARCHAR) AS experiment_id,
+       strftime(started_at, '%Y-%m-%dT%H-%M-%S-') || lpad(CAST(CAST(epoch_ms(started_at) % 1000 AS BIGINT) AS VARCHAR), 3, '0') || 'Z' AS run_id,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running'
+            ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'aborted' ELSE 'interrupted' END END AS status,
+       started_at,
+       CASE WHEN o_orderstatus <> 'O' THEN started_at + to_seconds(CAST(trunc(o_totalprice / 10) AS BIGINT)) END AS finished_at,
+       o_orderkey, o_custkey, o_totalprice
+FROM (SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS started_at FROM orders)
+"""
+
+
+# --------------------------------------------------------------------------- #
+# V8 vectors (embeddings)
+# --------------------------------------------------------------------------- #
+def v8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    return e.select(
+        "vec_id",
+        "label",
+        vec.alias("a"),
+        # a perturbed copy: every label-th element shifted by a tolerance-sized step
+        F.transform(
+            vec,
+            lambda x, i: F.when(i % (F.col("label") + 2) == 0, x + F.lit(1e-6) * (F.col("label") - 4)).otherwise(x),
+        ).alias("b"),
+    )
+
+
+V8_SQL = """
+SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a,
+       list_transform(list_zip(embedding, range(0, len(embedding))), lambda p:
+         CASE WHEN p[2] % (label + 2) = 0 THEN CAST(p[1] AS DOUBLE) + 1e-6 * (label - 4) ELSE CAST(p[1] AS DOUBLE) END) AS b
+FROM embeddings
+"""

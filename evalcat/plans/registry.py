@@ -19,6 +19,7 @@ _MODULES = (
     "evalcat.plans.q_results",
     "evalcat.plans.q_examples",
     "evalcat.plans.q_catalog",
+    "evalcat.plans.q_ops",
 )
 
 
