@@ -454,3 +454,73 @@ SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS
          CASE WHEN p[2] % (label + 2) = 0 THEN CAST(p[1] AS DOUBLE) + 1e-6 * (label - 4) ELSE CAST(p[1] AS DOUBLE) END) AS b
 FROM embeddings
 """
+
+
+# --------------------------------------------------------------------------- #
+# V4 multi-step problems (one sub-step per conversation turn)
+# --------------------------------------------------------------------------- #
+def v4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations")
+    t = F.col("turn")
+    fn = F.concat(F.lit("step_"), t.cast("string"))
+    response = (
+        F.when(t % 4 == 0, F.concat(F.lit("Here is the code:\n```python\nimport numpy as np\ndef "), fn,
+                                     F.lit("(x):\n    return np.sum(x)\n```\n")))
+        .when(t % 4 == 1, F.concat(F.lit("Draft:\n```python\n\n```\nFinal:\n```python\nimport os\ndef "), fn,
+                                    F.lit("(x):\n    return open(x)\n```")))
+        .when(t % 4 == 2, F.concat(F.lit("No fences, just "), F.substring("text", 1, 30)))
+        .otherwise(F.concat(F.lit("```\nimport json\ndef "), fn, F.lit("(x):\n    return x.__class__.__mro__\n```")))
+    )
+    verdict = (
+        F.when((F.col("conv_id") + t) % 4 == 0, F.lit("PASS"))
+        .when((F.col("conv_id") + t) % 4 == 1,
+              F.concat(F.lit("FAIL\nTraceback (most recent call last):\n  File \"x\"\nAssertionError: step "), t.cast("string")))
+        .when((F.col("conv_id") + t) % 4 == 2, F.lit("TIMEOUT"))
+        .otherwise(F.lit("FAIL"))
+    )
+    return c.select(
+        F.col("conv_id").cast("string").alias("problem_id"),
+        F.when(F.col("conv_id") % 3 == 0, F.lit("import numpy as np"))
+        .when(F.col("conv_id") % 3 == 1, F.lit("import numpy as np\nfrom scipy import linalg"))
+        .otherwise(F.lit(""))
+        .alias("required_dependencies"),
+        t.alias("step_idx"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("."), (t + 1).cast("string")).alias("step_number"),
+        F.col("text").alias("step_description_prompt"),
+        F.when(t % 2 == 0, F.concat(F.lit("Background for "), F.col("role"))).otherwise(F.lit("")).alias("step_background"),
+        F.concat(F.lit("def "), fn, F.lit("(x):")).alias("function_header"),
+        F.lit("    return result").alias("return_line"),
+        F.array(F.concat(F.lit("assert "), fn, F.lit("(1) is not None"))).alias("test_cases"),
+        F.when((t == 0) & (F.col("conv_id") % 3 == 0), F.lit("def step_0(x):\n    return x")).alias("given_code"),
+        response.alias("response"),
+        verdict.alias("verdict"),
+    )
+
+
+V4_SQL = """
+SELECT CAST(conv_id AS VARCHAR) AS problem_id,
+       CASE conv_id % 3 WHEN 0 THEN 'import numpy as np' WHEN 1 THEN 'import numpy as np' || chr(10) || 'from scipy import linalg'
+            ELSE '' END AS required_dependencies,
+       turn AS step_idx,
+       CAST(conv_id AS VARCHAR) || '.' || CAST(turn + 1 AS VARCHAR) AS step_number,
+       text AS step_description_prompt,
+       CASE WHEN turn % 2 = 0 THEN 'Background for ' || role ELSE '' END AS step_background,
+       'def step_' || CAST(turn AS VARCHAR) || '(x):' AS function_header,
+       '    return result' AS return_line,
+       ['assert step_' || CAST(turn AS VARCHAR) || '(1) is not None'] AS test_cases,
+       CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'def step_0(x):' || chr(10) || '    return x' END AS given_code,
+       CASE turn % 4
+         WHEN 0 THEN 'Here is the code:' || chr(10) || '```python' || chr(10) || 'import numpy as np' || chr(10) || 'def step_'
+                     || CAST(turn AS VARCHAR) || '(x):' || chr(10) || '    return np.sum(x)' || chr(10) || '```' || chr(10)
+         WHEN 1 THEN 'Draft:' || chr(10) || '```python' || chr(10) || chr(10) || '```' || chr(10) || 'Final:' || chr(10) || '```python'
+                     || chr(10) || 'import os' || chr(10) || 'def step_' || CAST(turn AS VARCHAR) || '(x):' || chr(10)
+                     || '    return open(x)' || chr(10) || '```'
+         WHEN 2 THEN 'No fences, just ' || left(text, 30)
+         ELSE '```' || chr(10) || 'import json' || chr(10) || 'def step_' || CAST(turn AS VARCHAR) || '(x):' || chr(10)
+              || '    return x.__class__.__mro__' || chr(10) || '```' END AS response,
+       CASE (conv_id + turn) % 4 WHEN 0 THEN 'PASS'
+            WHEN 1 THEN 'FAIL' || chr(10) || 'Traceback (most recent call last):' || chr(10) || '  File "x"' || chr(10)
+                        || 'AssertionError: step ' || CAST(turn AS VARCHAR)
+            WHEN 2 THEN 'TIMEOUT' ELSE 'FAIL' END AS verdict
+FROM conversations
+"""

@@ -20,6 +20,7 @@ _MODULES = (
     "evalcat.plans.q_examples",
     "evalcat.plans.q_catalog",
     "evalcat.plans.q_ops",
+    "evalcat.plans.q_codeeval",
 )
 
 
