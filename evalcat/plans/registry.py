@@ -21,6 +21,7 @@ _MODULES = (
     "evalcat.plans.q_catalog",
     "evalcat.plans.q_ops",
     "evalcat.plans.q_codeeval",
+    "evalcat.plans.q_chunks",
 )
 
 
