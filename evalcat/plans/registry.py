@@ -22,6 +22,7 @@ _MODULES = (
     "evalcat.plans.q_ops",
     "evalcat.plans.q_codeeval",
     "evalcat.plans.q_chunks",
+    "evalcat.plans.q_streaming",
 )
 
 
