@@ -23,6 +23,7 @@ _MODULES = (
     "evalcat.plans.q_codeeval",
     "evalcat.plans.q_chunks",
     "evalcat.plans.q_streaming",
+    "evalcat.plans.q_sources",
 )
 
 
