@@ -53,7 +53,7 @@ def validation_error(v: Column) -> Column:
     Messages are checked in order; the error names row id and index."""
     eid = F.try_variant_get(v, "$.example_id", "long")
     rid = F.concat(F.lit("row "), eid.cast("string"), F.lit(": "))
-    has_prompt = _vtype(v, "$.prompt") == "STRING"
+    has_prompt = F.coalesce(_vtype(v, "$.prompt") == "STRING", F.lit(False))
     has_msgs = _present(v, "$.messages")
     msgs = F.try_variant_get(v, "$.messages", "array<variant>")
 

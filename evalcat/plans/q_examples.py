@@ -282,7 +282,7 @@ raw AS (
 parsed AS (
   SELECT conv_id, v,
          TRY_CAST(json_extract(v, '$.example_id') AS BIGINT) AS eid,
-         json_type(v, '$.prompt') = 'VARCHAR' AS has_prompt,
+         coalesce(json_type(v, '$.prompt') = 'VARCHAR', false) AS has_prompt,
          coalesce(json_type(v, '$.messages') NOT IN ('NULL'), false) AS has_msgs,
          CAST(json_extract(v, '$.messages') AS JSON[]) AS m
   FROM raw),

@@ -317,7 +317,7 @@ def read_ws_table(spark: SparkSession, path: str, min_fields: int = 3, header_fi
 def read_artifacts(spark: SparkSession, folder: str, must_contain: Sequence[str]) -> DataFrame:
     """Whole-text files keeping those that contain every marker,
     sorted by file name."""
-    df = spark.read.option("wholetext", "true").text(folder)
+    df = spark.read.text(folder, wholetext=True)
     cond = F.lit(True)
     for m in must_contain:
         cond = cond & F.col("value").contains(m)
