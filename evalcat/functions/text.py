@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 # TAB, LF, VT, FF, CR, FS, GS, RS, US, SPACE, NEL, NBSP, OGHAM SPACE MARK,
 # EN QUAD .. HAIR SPACE, LINE SEPARATOR, PARAGRAPH SEPARATOR,
 # NARROW NBSP, MEDIUM MATHEMATICAL SPACE, IDEOGRAPHIC SPACE.
-WS_CLASS_JAVA = (
-    r"[\t\n\x0B\x0C\r\x1C\x1D\x1E\x1F \x85\xA0\u1680\u2000-\u200A"
-    r"\u2028\u2029\u202F\u205F\u3000]"
-)
-# The same class in DuckDB/RE2 syntax, for oracle SQL.
-WS_CLASS_RE2 = (
-    r"[\t\n\x0B\x0C\r\x1C\x1D\x1E\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CODEPOINTS = (
+    [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680]
+    + list(range(0x2000, 0x200B))
+    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
+WS_CHARS = "".join(chr(c) for c in WS_CODEPOINTS)
 
 
 def _c(x) -> Column:
@@ -27,14 +24,16 @@ def _c(x) -> Column:
 
 
 def strip(col) -> Column:
-    """Unicode strip (Python ``str.strip()`` semantics). ``trim`` only
-    removes spaces, so a regex over the whitespace class is used instead."""
-    return F.regexp_replace(_c(col), f"^{WS_CLASS_JAVA}+|{WS_CLASS_JAVA}+$", "")
+    """Unicode strip (Python ``str.strip()`` semantics): trims the
+    whitespace set from both ends (``trim`` with a character set touches
+    only the ends, unlike a regex over the whole text)."""
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def strip_sql(expr: str) -> str:
     """The oracle-side twin of :func:`strip`."""
-    return f"regexp_replace({expr}, '^{WS_CLASS_RE2}+|{WS_CLASS_RE2}+$', '', 'g')"
+    chars = " || ".join(f"chr({c})" for c in WS_CODEPOINTS)
+    return f"trim({expr}, {chars})"
 
 
 def squash(col, n: int = 140) -> Column:

@@ -53,7 +53,7 @@ def v1_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("value") * 0.25)
         .alias("ttft_ms"),
         F.when(k == 0, F.lit(None).cast("double"))
-        .otherwise(k.cast("double") * 1000 / F.col("value"))
+        .otherwise(F.try_divide(k.cast("double") * 1000, F.col("value")))
         .alias("tps"),
         (F.col("event_id") % 3 + 1).alias("num_llm_calls"),
         F.col("ts").cast("timestamp").alias("finished_at"),
@@ -80,7 +80,7 @@ SELECT event_id + 1 AS result_id,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE k END AS output_tokens,
        value AS latency_ms,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE value * CAST(0.25 AS DOUBLE) END AS ttft_ms,
-       CASE WHEN k = 0 THEN NULL ELSE CAST(k AS DOUBLE) * 1000 / value END AS tps,
+       CASE WHEN k = 0 OR value = 0 THEN NULL ELSE CAST(k AS DOUBLE) * 1000 / value END AS tps,
        event_id % 3 + 1 AS num_llm_calls,
        ts AS finished_at,
        user_id,

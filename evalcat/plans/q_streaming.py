@@ -12,6 +12,7 @@ from evalcat.plans.registry import register
 from evalcat.streaming import jobs as J
 
 N_FILES = 8
+FILES_PER_TRIGGER = 4  # two micro-batches: state carries across triggers
 
 
 @register(
@@ -28,7 +29,7 @@ def i1_progress_stream(spark, sf_dir):
         "experiment_id", "run_id", "result_id", "provider", "model", "example_id", "status", "finished_at"
     )
     path, schema = J.stage_files(v, N_FILES)
-    return J.drain_to_memory(J.progress_stream(J.file_stream(spark, path, schema)), "complete")
+    return J.drain_to_memory(J.progress_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
 
 
 @register(
@@ -47,7 +48,7 @@ def i2_upsert_sink(spark, sf_dir):
     )
     path, schema = J.stage_files(v, N_FILES)
     target = J.scratch_path(spark, "results")
-    q = J.upsert_sink(J.file_stream(spark, path, schema), target).trigger(availableNow=True).start()
+    q = J.upsert_sink(J.file_stream(spark, path, schema, FILES_PER_TRIGGER), target).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(target).select("experiment_id", "run_id", "provider", "model", "example_id", "result_id", "score")
 
@@ -77,7 +78,7 @@ SELECT deployment, status, status = 'Deployed' AS finished FROM s
 )
 def i5_deployment_stream(spark, sf_dir):
     path, schema = J.stage_files(v6_pods(spark, sf_dir), N_FILES)
-    return J.drain_to_memory(J.deployment_stream(J.file_stream(spark, path, schema)), "complete")
+    return J.drain_to_memory(J.deployment_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
 
 
 @register(
@@ -96,7 +97,7 @@ FROM ev GROUP BY experiment_id, run_id
 )
 def i7_run_state_stream(spark, sf_dir):
     path, schema = J.stage_files(_run_events(spark, sf_dir), N_FILES)
-    st = J.drain_to_memory(J.run_state_stream(J.file_stream(spark, path, schema)), "complete")
+    st = J.drain_to_memory(J.run_state_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
     return st.select(
         "experiment_id",
         "run_id",
@@ -114,4 +115,4 @@ def i3_reap_orphans_stream(spark, sf_dir):
     Rows-only check (timer firing depends on watermark progress)."""
     ev = _run_events(spark, sf_dir)
     path, schema = J.stage_files(ev, N_FILES)
-    return J.drain_to_memory(J.reap_orphans_stream(J.file_stream(spark, path, schema), grace_seconds=15), "append")
+    return J.drain_to_memory(J.reap_orphans_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER), grace_seconds=15), "append")

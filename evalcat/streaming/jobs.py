@@ -9,13 +9,11 @@ exactly where it stopped (I4).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evalcat.functions import catalog as K
 from evalcat.functions import scoring as S
@@ -120,59 +118,30 @@ def upsert_sink(
 # --------------------------------------------------------------------------- #
 # I3 orphan reaper (event-time timers)
 # --------------------------------------------------------------------------- #
-REAP_SCHEMA = T.StructType(
-    [
-        T.StructField("experiment_id", T.StringType()),
-        T.StructField("run_id", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("finished_at", T.TimestampType()),
-    ]
-)
-_STATE = T.StructType([T.StructField("status", T.StringType()), T.StructField("last_ts", T.TimestampType())])
-
-
 def reap_orphans_stream(events: DataFrame, grace_seconds: int = 15, watermark: str = "0 seconds") -> DataFrame:
     """I3 (stream): run lifecycle events (create, resume, heartbeat,
-    complete, abort, interrupt) per run. A terminal event emits the final
-    status; a run that stays running with no event for ``grace_seconds`` of
-    event time (watermark-driven timer) is emitted as ``interrupted``.
-    Output mode append: one final row per run."""
-    terminal = {"complete": "completed", "abort": "aborted", "interrupt": "interrupted"}
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state):
-        exp, run = key
-        if state.hasTimedOut:
-            status, last = state.get
-            state.remove()
-            yield pd.DataFrame(
-                [{"experiment_id": exp, "run_id": run, "status": "interrupted",
-                  "finished_at": pd.Timestamp(last) + pd.Timedelta(seconds=grace_seconds)}]
-            )
-            return
-        batch = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
-        last = batch.iloc[-1]
-        if last["event"] in terminal:
-            state.remove()
-            yield pd.DataFrame(
-                [{"experiment_id": exp, "run_id": run, "status": terminal[last["event"]], "finished_at": last["ts"]}]
-            )
-            return
-        deadline = int(pd.Timestamp(last["ts"]).timestamp() * 1000) + grace_seconds * 1000
-        if deadline <= state.getCurrentWatermarkMs():
-            # event time already moved past the grace period: the run is orphaned
-            state.remove()
-            yield pd.DataFrame(
-                [{"experiment_id": exp, "run_id": run, "status": "interrupted",
-                  "finished_at": pd.Timestamp(last["ts"]) + pd.Timedelta(seconds=grace_seconds)}]
-            )
-            return
-        state.update((RUN_EVENT_STATUS.get(last["event"], "running"), last["ts"].to_pydatetime()))
-        state.setTimeoutTimestamp(deadline)
-
-    return (
+    complete, abort, interrupt). A run's activity is an event-time session
+    that stays open while events keep arriving within ``grace_seconds`` of
+    each other; when the watermark closes a session, the run's outcome is
+    emitted: the terminal status if the session ended with a terminal event,
+    otherwise ``interrupted`` (orphaned: no live owner for the grace period),
+    finished at the session end. Native session windows: no per-run Python,
+    state is evicted as sessions close. Output mode append."""
+    terminal = F.create_map(
+        F.lit("complete"), F.lit("completed"), F.lit("abort"), F.lit("aborted"),
+        F.lit("interrupt"), F.lit("interrupted"),
+    )
+    sessions = (
         events.withWatermark("ts", watermark)
-        .groupBy("experiment_id", "run_id")
-        .applyInPandasWithState(step, REAP_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .groupBy("experiment_id", "run_id", F.session_window("ts", f"{int(grace_seconds)} seconds").alias("s"))
+        .agg(F.max_by("event", F.struct("ts", "seq")).alias("last_event"), F.max("ts").alias("last_ts"))
+    )
+    ended = terminal[F.col("last_event")].isNotNull()
+    return sessions.select(
+        "experiment_id",
+        "run_id",
+        F.when(ended, terminal[F.col("last_event")]).otherwise(F.lit("interrupted")).alias("status"),
+        F.when(ended, F.col("last_ts")).otherwise(F.col("s.end")).alias("finished_at"),
     )
 
 
