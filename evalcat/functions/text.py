@@ -61,12 +61,13 @@ def api_base_url(col) -> Column:
 
 
 def command_error(col) -> Column:
-    """Error text from command output: the quoted ``err="..."`` value,
-    else a connection-refused sentence, else the first line."""
-    c = _c(col)
-    quoted = F.regexp_extract(c, r'err="([^"]*)"', 1)
-    conn = F.regexp_extract(c, r"(The connection to the server [^\n]*)", 1)
-    first = F.try_element_at(F.split(strip(c), "\n"), F.lit(1))
+    """Error detail of a failed command's output: the ``err="..."``
+    value, else a dial/connection-refused/timeout phrase (any case, to the
+    end of its line), else the first line of the trimmed output."""
+    c = strip(_c(col))
+    quoted = F.regexp_extract(c, r'err="([^"]+)"', 1)
+    conn = F.regexp_extract(c, r"(?i)(dial tcp[^\n]+|connection refused[^\n]+|i/o timeout[^\n]*)", 1)
+    first = F.split(c, "\n").getItem(0)
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(conn, F.lit("")), first)
 
 

@@ -179,16 +179,22 @@ def request_kwargs(temperature: float | None, seed: Any, additional: dict | None
     return kw
 
 
-def request_kwargs_col(temperature: Column, seed: Column, extras_json: Column) -> Column:
-    """H38 as a Column: JSON text of the merged options (extras win). Uses a
-    map merge with last-wins semantics so duplicate keys do not raise."""
-    base = F.create_map(
-        F.lit("temperature"), F.to_json(F.coalesce(temperature, F.lit(0.0))),
-    )
-    seeded = F.when(seed.isNotNull(), F.map_concat(base, F.create_map(F.lit("seed"), seed.cast("long").cast("string")))).otherwise(base)
+def request_kwargs_map(temperature: Column, seed: Column, extras_json: Column) -> Column:
+    """H38 as a Column: MAP<STRING,STRING> of request options: temperature
+    (default 0), the seed when set, then the extra options, which override
+    (a map filter + concat, so duplicate keys never raise)."""
+    base = F.create_map(F.lit("temperature"), F.coalesce(temperature, F.lit(0.0)).cast("string"))
+    seeded = F.when(
+        seed.isNotNull(), F.map_concat(base, F.create_map(F.lit("seed"), seed.cast("long").cast("string")))
+    ).otherwise(base)
     extras = F.coalesce(F.from_json(extras_json, "map<string,string>"), F.create_map().cast("map<string,string>"))
     keep = F.map_filter(seeded, lambda k, v: ~F.array_contains(F.map_keys(extras), k))
-    return F.to_json(F.map_concat(keep, extras))
+    return F.map_concat(keep, extras)
+
+
+def request_kwargs_col(temperature: Column, seed: Column, extras_json: Column) -> Column:
+    """JSON text of :func:`request_kwargs_map`."""
+    return F.to_json(request_kwargs_map(temperature, seed, extras_json))
 
 
 def generate_steps(
@@ -231,7 +237,9 @@ def generate_steps(
     return steps.groupBy(*group_cols).applyInPandas(per_problem, out_schema)
 
 
-def answer_queries(spark: SparkSession, queries: DataFrame, sql_col: str = "sql", cap: int = 50) -> DataFrame:
+def answer_queries(
+    spark: SparkSession, queries: DataFrame, sql_col: str = "sql", cap: int = 50, parallel_jobs: int = 8
+) -> DataFrame:
     """Run each distinct generated SQL text over the registered views,
     cap its answer at ``cap`` rows, and return (sql, answer JSON) with errors
     as data. Only read-only SELECT/WITH statements are executed. The loop
@@ -242,16 +250,21 @@ def answer_queries(spark: SparkSession, queries: DataFrame, sql_col: str = "sql"
     if n > MAX_TOOL_QUERIES:
         raise ValueError(f"{n} distinct tool queries; run them in smaller sets")
     texts = [r[0] for r in distinct.collect()]
-    rows = []
-    for q in texts:
+
+    def answer(q: str) -> tuple[str, str]:
         head = (q or "").lstrip().split(None, 1)[0].lower() if (q or "").strip() else ""
         if head not in ("select", "with"):
-            rows.append((q, json.dumps({"error": "only SELECT queries are allowed"})))
-            continue
+            return q, json.dumps({"error": "only SELECT queries are allowed"})
         try:
             res = spark.sql(q).limit(cap).collect()
-            rows.append((q, json.dumps({"rows": [r.asDict(recursive=True) for r in res]}, default=str)))
+            return q, json.dumps({"rows": [r.asDict(recursive=True) for r in res]}, default=str)
         except Exception as err:
-            rows.append((q, json.dumps({"error": str(err).splitlines()[0]})))
+            return q, json.dumps({"error": str(err).splitlines()[0]})
+
+    # independent jobs: submit them concurrently so the cluster runs them side by side
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_jobs, len(texts) or 1))) as pool:
+        rows = list(pool.map(answer, texts))
     schema = T.StructType([T.StructField(sql_col, T.StringType()), T.StructField("answer", T.StringType())])
     return spark.createDataFrame(rows, schema)

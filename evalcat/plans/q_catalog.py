@@ -88,10 +88,10 @@ def _pconfigs(spark, sf_dir):
 
 
 @register(
-    "h27_expand_configs",
+    "h23_h24_h26_h27_d12_expand_configs",
     BASE + "SELECT artifact, is_dynamic, entry_pos, ss, bs, version FROM configs",
 )
-def h27_expand_configs(spark, sf_dir):
+def h23_h24_h26_h27_d12_expand_configs(spark, sf_dir):
     """H23 name parse, H24 size text, H26 halving sizes, H27 expansion, D12 version."""
     _, _, cfg = _base(spark, sf_dir)
     return cfg

@@ -231,11 +231,31 @@ def _echo_judge(prompt: str) -> str:
     return '{"score": %d, "score_reason": "len %d"}' % (n % 6, n)
 
 
-@register("j2_h6_judge_scores")
+_RENDERED_SQL = (
+    "replace(replace(replace(replace(" + "'" + S.DEFAULT_JUDGE_PROMPT.replace("'", "''") + "'"
+    + ", '{prompt}', output), '{output}', output), '{expected_output}', 'n/a'), '{max_score}', '5')"
+)
+
+
+@register(
+    "j2_h6_judge_scores",
+    f"WITH v1 AS ({V1_SQL}), r AS (SELECT result_id, weight, length({_RENDERED_SQL}) AS n FROM v1)"
+    + """
+SELECT result_id,
+       CASE WHEN n % 11 = 0 THEN 'error' ELSE 'completed' END AS status,
+       CASE WHEN n % 11 = 0 THEN CAST(0 AS DOUBLE)
+            WHEN n % 5 = 0 THEN round_even(least(CAST(5 AS DOUBLE), CAST(n % 9 AS DOUBLE)) / 5 * weight * 100, 0) / 100
+            ELSE round_even(CAST(n % 6 AS DOUBLE) / 5 * weight * 100, 0) / 100 END AS score,
+       CASE WHEN n % 11 = 0 THEN NULL
+            WHEN n % 5 = 0 THEN '[unparseable judge response] I would say ' || CAST(n % 9 AS VARCHAR) || ' out of 5'
+            ELSE 'len ' || CAST(n AS VARCHAR) END AS score_reason
+FROM r
+""",
+)
 def j2_h6_judge_scores(spark, sf_dir):
     """J2 + H6 + H7: render the judge prompt, call the (stand-in) judge,
     parse strictly with the number fallback, isolate judge errors (B9).
-    Rows-only check: the parse is a Python helper."""
+    The stand-in is deterministic, so the oracle recomputes its verdicts."""
     r = v1_results(spark, sf_dir).select("result_id", "output", "weight", F.col("output").alias("prompt"))
     r = r.withColumn("gen_error", F.lit(None).cast("string")).withColumn("max_score", F.lit(5)).withColumn("expected_output", F.lit("n/a"))
     r = r.withColumn(
@@ -245,7 +265,22 @@ def j2_h6_judge_scores(spark, sf_dir):
     return INF.score_outputs(judged, judged=True).select("result_id", "status", "score", "score_reason")
 
 
-@register("j4_h43_answer_queries")
+@register(
+    "j4_h43_answer_queries",
+    """
+WITH q AS (SELECT n_nationkey AS k,
+                  CASE WHEN n_nationkey % 5 = 4 THEN 'DROP TABLE customer -- ' || n_name
+                       ELSE 'SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey = ' || CAST(n_nationkey AS VARCHAR)
+                            || ' GROUP BY c_mktsegment ORDER BY n DESC, c_mktsegment' END AS sql
+           FROM nation),
+seg AS (SELECT c_nationkey AS k, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL)
+SELECT q.sql,
+       CASE WHEN q.k % 5 = 4 THEN '{"error": "only SELECT queries are allowed"}'
+            ELSE '{"rows": [' || coalesce((SELECT string_agg('{"c_mktsegment": "' || s || '", "n": ' || CAST(n AS VARCHAR) || '}', ', '
+                                                             ORDER BY n DESC, s) FROM seg WHERE seg.k = q.k), '') || ']}' END AS answer
+FROM q
+""",
+)
 def j4_h43_answer_queries(spark, sf_dir):
     """J4 + H43 + F6: model-written SQL over registered views, answers capped
     at 50 rows as JSON. The tool queries are derived per nation."""

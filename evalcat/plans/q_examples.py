@@ -40,7 +40,7 @@ def _score_sql(exp: str, out: str, w: str) -> str:
 
 
 @register(
-    "h1_h4_heuristic_scores",
+    "h1_h2_h3_h4_heuristic_scores",
     V2
     + f"""
 SELECT example_id,
@@ -49,7 +49,7 @@ SELECT example_id,
 FROM v2
 """,
 )
-def h1_h4_heuristic_scores(spark, sf_dir):
+def h1_h2_h3_h4_heuristic_scores(spark, sf_dir):
     e = v2_examples(spark, sf_dir)
     return e.select(
         "example_id",

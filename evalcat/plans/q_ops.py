@@ -36,7 +36,7 @@ V8 = f"WITH vectors AS ({V8_SQL})\n"
 
 # ------------------------------------------------------------------ calls
 @register(
-    "d5_aggregate_calls",
+    "d5_j5_aggregate_calls",
     V3
     + """
 SELECT o.o_orderkey AS result_id,
@@ -48,7 +48,7 @@ FROM orders o LEFT JOIN calls c ON o.o_orderkey = c.result_id
 GROUP BY o.o_orderkey
 """,
 )
-def d5_aggregate_calls(spark, sf_dir):
+def d5_j5_aggregate_calls(spark, sf_dir):
     """Per result row metrics over its calls; results with no calls
     come out all-null (count too)."""
     calls = v3_calls(spark, sf_dir)

@@ -16,7 +16,7 @@ V1 = f"WITH v1 AS ({V1_SQL})\n"
 
 
 @register(
-    "d3_summarize_models",
+    "d3_d4_summarize_models",
     V1
     + """
 SELECT provider, model,
@@ -35,7 +35,7 @@ SELECT provider, model,
 FROM v1 GROUP BY provider, model
 """,
 )
-def d3_summarize_models(spark, sf_dir):
+def d3_d4_summarize_models(spark, sf_dir):
     return round_doubles(summary.summarize_models(v1_results(spark, sf_dir)))
 
 
@@ -417,7 +417,7 @@ def h9_h11_h12_number_text(spark, sf_dir):
 
 
 @register(
-    "h17_h46_progress_labels",
+    "h17_h41_h46_progress_labels",
     V1
     + """
 SELECT result_id,
@@ -427,7 +427,7 @@ SELECT result_id,
 FROM v1
 """,
 )
-def h17_h46_progress_labels(spark, sf_dir):
+def h17_h41_h46_progress_labels(spark, sf_dir):
     r = v1_results(spark, sf_dir)
     return round_doubles(
         r.select(

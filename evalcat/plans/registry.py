@@ -24,6 +24,7 @@ _MODULES = (
     "evalcat.plans.q_chunks",
     "evalcat.plans.q_streaming",
     "evalcat.plans.q_sources",
+    "evalcat.plans.q_more",
 )
 
 

@@ -164,6 +164,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
             df = df.withColumn(c, F.lit(None).cast("string"))
     txt = {c: F.coalesce(F.col(c), F.lit("")) for c in RESULT_COLUMNS}
     weight = _num_or_null(txt["weight"])
+    extra = [c for c in df.columns if c not in RESULT_COLUMNS]  # e.g. partition columns
     return df.select(
         F.trim(txt["result_id"]).try_cast("double").cast("long").alias("result_id"),
         F.when(txt["status"] == "", F.lit("completed")).otherwise(txt["status"]).alias("status"),
@@ -180,30 +181,30 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         _num_or_null(txt["ttft_ms"]).alias("ttft_ms"),
         _num_or_null(txt["tps"]).alias("tps"),
         _num_or_null(txt["num_llm_calls"]).cast("long").alias("num_llm_calls"),
+        *extra,
     )
 
 
-def results_as_text(results: DataFrame) -> DataFrame:
+def results_as_text(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """A6 cell rendering: the 15 columns in fixed order, numbers as JS-style
-    text (H11), null metrics and reasons as ""."""
+    text (H11), null metrics and reasons as "" (``keep`` columns pass
+    through unchanged, e.g. partition columns)."""
     cols = []
     for c in RESULT_COLUMNS:
         if c in ("status", "provider", "model", "output", "score_reason"):
             cols.append(F.coalesce(F.col(c), F.lit("")).alias(c))
         else:
             cols.append(num_text(F.col(c)).alias(c))
-    return results.select(*cols)
+    return results.select(*cols, *keep, F.col("result_id").alias("_rid"))
 
 
 def write_results(results: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
     """Result CSV sink: fixed column order, sorted by result_id, quotes
     only where needed with doubled quotes, leading/trailing whitespace
-    preserved, null -> empty cell."""
-    text = results_as_text(results)
+    preserved, null -> empty cell; optionally partitioned by run keys."""
     extra = [c for c in partition_cols if c in results.columns]
-    if extra:
-        text = text.join(results.select("result_id", *extra), "result_id")
-    w = text.orderBy(F.col("result_id").try_cast("long")).write.mode("overwrite").options(**_CSV_WRITE)
+    text = results_as_text(results, extra).orderBy("_rid").drop("_rid")
+    w = text.write.mode("overwrite").options(**_CSV_WRITE)
     if extra:
         w = w.partitionBy(*extra)
     w.csv(path)
@@ -276,18 +277,37 @@ def read_json_dir(spark: SparkSession, folder: str, schema: T.StructType, key: s
     return df.withColumn(key, stem).orderBy(key)
 
 
-def start_run(spark: SparkSession, root: str, experiment: dict, run_id: str, started_at: str, total: int) -> None:
-    """Lay down a new run: experiment snapshot, run metadata
-    (status running, counters 0) and an empty result table, under
-    ``root/experiment_id=<exp>/run_id=<run>/``."""
-    base = f"{root.rstrip('/')}/experiment_id={experiment['id']}/run_id={run_id}"
-    spark.createDataFrame([(json.dumps(experiment),)], "snapshot string").write.mode("overwrite").text(f"{base}/experiment")
-    meta = {
-        "run_id": run_id, "status": "running", "started_at": started_at, "finished_at": None,
-        "resumed_at": [], "total": total, "completed": 0, "errors": 0,
-    }
-    spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{base}/meta")
-    spark.createDataFrame([], RESULT_SCHEMA).write.mode("overwrite").parquet(f"{base}/results")
+def start_runs(runs: DataFrame, root: str) -> None:
+    """Lay down new runs: one metadata document per (experiment_id,
+    run_id) with status running, no finish, no resumes, the task total and
+    zero counters, written under ``root/experiment_id=<e>/run_id=<r>/``.
+    ``runs`` has experiment_id, run_id, started_at (ISO text) and total."""
+    meta = runs.select(
+        "experiment_id",
+        "run_id",
+        F.to_json(
+            F.struct(
+                F.col("run_id"),
+                F.lit("running").alias("status"),
+                F.col("started_at"),
+                F.lit(None).cast("string").alias("finished_at"),
+                F.array().cast("array<string>").alias("resumed_at"),
+                F.col("total").cast("long").alias("total"),
+                F.lit(0).cast("long").alias("completed"),
+                F.lit(0).cast("long").alias("errors"),
+            ),
+            {"ignoreNullFields": "false"},
+        ).alias("value"),
+    )
+    meta.write.mode("overwrite").partitionBy("experiment_id", "run_id").text(f"{root.rstrip('/')}/meta")
+
+
+def read_run_table(spark: SparkSession, root: str) -> DataFrame:
+    """A8 for the partitioned layout written by :func:`start_runs`: one
+    metadata document per line; unreadable documents are skipped."""
+    schema = T.StructType([f for f in RUN_SCHEMA.fields if f.name != "run_id"])
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").json(f"{root.rstrip('/')}/meta")
+    return raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 # --------------------------------------------------------------------------- #

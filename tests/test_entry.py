@@ -18,7 +18,7 @@ def test_oracle_keys_are_registered():
     assert len(qs) >= 100
 
 
-@pytest.mark.parametrize("name", ["d3_summarize_models", "h1_h4_heuristic_scores", "c13_model_configs", "d6_h21_tally_steps"])
+@pytest.mark.parametrize("name", ["d3_d4_summarize_models", "h1_h2_h3_h4_heuristic_scores", "c13_model_configs", "d6_h21_tally_steps"])
 def test_flagship_queries_match_duckdb(spark, name):
     con = duckdb.connect()
     for t in TABLES:
