@@ -75,16 +75,35 @@ _PREC_SQL = """
 BASE = V5_SQL + _CONFIGS_SQL
 
 
+_SNAPSHOTS: dict = {}
+
+
+def catalog_snapshot(spark, sf_dir, name, build):
+    """The derived catalog (mapping, inventory, configs after precedence) is
+    written once per session and data folder to the shared checkpoint folder
+    and every catalog query reads it, as the reference writes its config and
+    mapping files once and reads them in every later step. ``checkpoint()``
+    cuts the lineage, so later plans stay small and a lost executor re-reads
+    files instead of recomputing the chain."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = build().checkpoint(eager=True)
+    return _SNAPSHOTS[key]
+
+
 def _base(spark, sf_dir):
-    mapping = v5_model_artifacts(spark, sf_dir)
-    inv = v5_inventory(spark, sf_dir)
-    cfg = C.expand_configs(inv)
+    mapping = catalog_snapshot(spark, sf_dir, "mapping", lambda: v5_model_artifacts(spark, sf_dir))
+    inv = catalog_snapshot(spark, sf_dir, "inventory", lambda: v5_inventory(spark, sf_dir))
+    cfg = catalog_snapshot(spark, sf_dir, "configs", lambda: C.expand_configs(inv))
     return mapping, inv, cfg
 
 
 def _pconfigs(spark, sf_dir):
     mapping, inv, cfg = _base(spark, sf_dir)
-    return mapping, inv, C.apply_precedence(cfg, mapping.select("model", "artifact"))
+    p = catalog_snapshot(
+        spark, sf_dir, "pconfigs", lambda: C.apply_precedence(cfg, mapping.select("model", "artifact"))
+    )
+    return mapping, inv, p
 
 
 @register(
@@ -226,18 +245,23 @@ def _drafts(spark, sf_dir):
 
 def _selections(spark, sf_dir):
     mapping, _, p = _pconfigs(spark, sf_dir)
-    mcfg = C.model_configs(mapping.select("model", "pos", "artifact"), p)
+    mcfg = catalog_snapshot(
+        spark, sf_dir, "model_configs", lambda: C.model_configs(mapping.select("model", "pos", "artifact"), p)
+    )
     drafts = _drafts(spark, sf_dir)
     chosen = mcfg.where(F.col("bs") == "1").join(drafts.select("model"), "model", "left_semi")
     targets = chosen.select("model", "ss", "bs").distinct()
-    matched = C.match_drafts(targets, drafts, mapping, mcfg)
-    target_sel = (
-        chosen
-        .groupBy("model", "ss", "bs")
-        .agg(F.min_by(F.struct("artifact", "version"), F.struct("pos", "entry_pos")).alias("_m"))
-        .select("model", "ss", "bs", "_m.artifact", "_m.version", F.lit(None).cast("string").alias("draft_for"))
-    )
-    return mcfg, targets, matched, target_sel.unionByName(matched)
+    matched = catalog_snapshot(spark, sf_dir, "matched", lambda: C.match_drafts(targets, drafts, mapping, mcfg))
+
+    def selections():
+        target_sel = (
+            chosen.groupBy("model", "ss", "bs")
+            .agg(F.min_by(F.struct("artifact", "version"), F.struct("pos", "entry_pos")).alias("_m"))
+            .select("model", "ss", "bs", "_m.artifact", "_m.version", F.lit(None).cast("string").alias("draft_for"))
+        )
+        return target_sel.unionByName(matched)
+
+    return mcfg, targets, matched, catalog_snapshot(spark, sf_dir, "selections", selections)
 
 
 @register("c15_match_drafts", BASE + _PREC_SQL + _SEL_SQL + "SELECT model, ss, bs, artifact, version, draft_for FROM matched")
