@@ -29,7 +29,7 @@ def i1_progress_stream(spark, sf_dir):
         "experiment_id", "run_id", "result_id", "provider", "model", "example_id", "status", "finished_at"
     )
     path, schema = J.stage_files(v, N_FILES)
-    return J.drain_to_memory(J.progress_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
+    return J.drain_to_table(J.progress_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
 
 
 @register(
@@ -78,7 +78,7 @@ SELECT deployment, status, status = 'Deployed' AS finished FROM s
 )
 def i5_deployment_stream(spark, sf_dir):
     path, schema = J.stage_files(v6_pods(spark, sf_dir), N_FILES)
-    return J.drain_to_memory(J.deployment_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
+    return J.drain_to_table(J.deployment_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
 
 
 @register(
@@ -97,7 +97,7 @@ FROM ev GROUP BY experiment_id, run_id
 )
 def i7_run_state_stream(spark, sf_dir):
     path, schema = J.stage_files(_run_events(spark, sf_dir), N_FILES)
-    st = J.drain_to_memory(J.run_state_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
+    st = J.drain_to_table(J.run_state_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER)), "complete")
     return st.select(
         "experiment_id",
         "run_id",
@@ -115,4 +115,11 @@ def i3_reap_orphans_stream(spark, sf_dir):
     Rows-only check (timer firing depends on watermark progress)."""
     ev = _run_events(spark, sf_dir)
     path, schema = J.stage_files(ev, N_FILES)
-    return J.drain_to_memory(J.reap_orphans_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER), grace_seconds=15), "append")
+    closed = J.drain_to_table(
+        J.reap_orphans_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER), grace_seconds=15), "append"
+    )
+    # one outcome per closed activity session; report each run's latest outcome
+    latest = closed.groupBy("experiment_id", "run_id").agg(
+        F.max_by(F.struct("status", "finished_at"), "finished_at").alias("o")
+    )
+    return latest.select("experiment_id", "run_id", "o.status", F.unix_timestamp("o.finished_at").alias("finished_epoch"))

@@ -41,22 +41,27 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain_to_memory(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def drain_to_table(stream: DataFrame, mode: str = "complete", path: str | None = None) -> DataFrame:
     """Run a streaming query over everything available (availableNow) into a
-    memory table and return it as a batch DataFrame. For bounded result
-    tables (per-run counters, per-deployment status)."""
+    Parquet table in the shared checkpoint folder and return that table.
+    Append mode uses the file sink (exactly-once via its commit log);
+    complete/update mode rewrites the table from each micro-batch's full
+    result in ``foreachBatch``. Results never pass through the driver."""
     spark = stream.sparkSession
-    name = "evalcat_" + uuid.uuid4().hex[:12]
-    q = (
-        stream.writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", scratch_path(spark, "ckpt"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    target = path or scratch_path(spark, "sink")
+    w = stream.writeStream.option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True)
+    if mode == "append":
+        q = w.outputMode("append").format("parquet").option("path", target).start()
+    else:
+        def overwrite(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(target)
+
+        q = w.outputMode(mode).foreachBatch(overwrite).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+drain_to_memory = drain_to_table  # former name
 
 
 # --------------------------------------------------------------------------- #

@@ -24,7 +24,7 @@ def _results(spark, n=200):
 def test_progress_stream_equals_batch(spark):
     res = _results(spark)
     path, schema = J.stage_files(res, 5)
-    live = J.drain_to_memory(J.progress_stream(J.file_stream(spark, path, schema)), "complete")
+    live = J.drain_to_table(J.progress_stream(J.file_stream(spark, path, schema)), "complete")
     batch = recount_runs(res, ["experiment_id", "run_id"])
     got = {(r.experiment_id, r.run_id): (r.completed, r.errors) for r in live.collect()}
     want = {(r.experiment_id, r.run_id): (r.completed, r.errors) for r in batch.collect()}
@@ -60,7 +60,7 @@ def test_reaper_stream(spark):
         "experiment_id string, run_id string, event string, ts timestamp, seq int",
     )
     path, schema = J.stage_files(ev, 1)
-    out = J.drain_to_memory(J.reap_orphans_stream(J.file_stream(spark, path, schema), grace_seconds=15), "append")
+    out = J.drain_to_table(J.reap_orphans_stream(J.file_stream(spark, path, schema), grace_seconds=15), "append")
     got = {r.run_id: r.status for r in out.collect()}
     assert got.get("done") == "completed"
     # the watermark (100 s) passed lost's deadline (15 s) -> interrupted; late is still inside its window
@@ -78,5 +78,5 @@ def test_deployment_stream(spark):
         "deployment string, polled_at timestamp, seq long, line string",
     )
     path, schema = J.stage_files(lines, 2)
-    out = J.drain_to_memory(J.deployment_stream(J.file_stream(spark, path, schema)), "complete")
+    out = J.drain_to_table(J.deployment_stream(J.file_stream(spark, path, schema)), "complete")
     assert {r.deployment: (r.status, r.finished) for r in out.collect()} == {"d1": ("Deployed", True), "d2": ("Deploying", False)}
