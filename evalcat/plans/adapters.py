@@ -468,7 +468,7 @@ def v4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.lit("(x):\n    return np.sum(x)\n```\n")))
         .when(t % 4 == 1, F.concat(F.lit("Draft:\n```python\n\n```\nFinal:\n```python\nimport os\ndef "), fn,
                                     F.lit("(x):\n    return open(x)\n```")))
-        .when(t % 4 == 2, F.concat(F.lit("No fences, just "), F.substring("text", 1, 30)))
+        .when(t % 4 == 2, F.concat(F.lit("No fences, just "), F.col("text")))
         .otherwise(F.concat(F.lit("```\nimport json\ndef "), fn, F.lit("(x):\n    return x.__class__.__mro__\n```")))
     )
     verdict = (
@@ -515,7 +515,7 @@ SELECT CAST(conv_id AS VARCHAR) AS problem_id,
          WHEN 1 THEN 'Draft:' || chr(10) || '```python' || chr(10) || chr(10) || '```' || chr(10) || 'Final:' || chr(10) || '```python'
                      || chr(10) || 'import os' || chr(10) || 'def step_' || CAST(turn AS VARCHAR) || '(x):' || chr(10)
                      || '    return open(x)' || chr(10) || '```'
-         WHEN 2 THEN 'No fences, just ' || left(text, 30)
+         WHEN 2 THEN 'No fences, just ' || text
          ELSE '```' || chr(10) || 'import json' || chr(10) || 'def step_' || CAST(turn AS VARCHAR) || '(x):' || chr(10)
               || '    return x.__class__.__mro__' || chr(10) || '```' END AS response,
        CASE (conv_id + turn) % 4 WHEN 0 THEN 'PASS'

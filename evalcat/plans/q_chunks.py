@@ -24,7 +24,7 @@ WITH chunks AS (
          CASE WHEN turn % 3 = 0 THEN NULL ELSE turn % 2 END AS tool_index,
          CASE WHEN turn <= 1 THEN 'call_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) ELSE '' END AS tool_id,
          CASE WHEN turn <= 1 THEN 'run_sql' END AS tool_name,
-         CASE WHEN role = 'assistant' THEN left(text, 12) END AS tool_args
+         CASE WHEN role = 'assistant' THEN text END AS tool_args
   FROM conversations)
 """
 
@@ -46,7 +46,7 @@ def _chunks(spark, sf_dir):
         F.when(t % 3 == 0, F.lit(None).cast("long")).otherwise(t % 2).alias("tool_index"),
         F.when(t <= 1, F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), t.cast("string"))).otherwise(F.lit("")).alias("tool_id"),
         F.when(t <= 1, F.lit("run_sql")).alias("tool_name"),
-        F.when(F.col("role") == "assistant", F.substring("text", 1, 12)).alias("tool_args"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("tool_args"),
     )
 
 

@@ -101,7 +101,7 @@ _JUDGE_TPL = "Q: {prompt}\nA: {output}\nRef: {expected_output}\nScore 0..{max_sc
     + """
 SELECT example_id,
        replace(replace(replace(replace('Q: {prompt}' || chr(10) || 'A: {output}' || chr(10) || 'Ref: {expected_output}' || chr(10) || 'Score 0..{max_score}',
-         '{prompt}', left(prompt, 60) || ' {output}'), '{output}', output), '{expected_output}', expected_output),
+         '{prompt}', prompt || ' {output}'), '{output}', output), '{expected_output}', expected_output),
          '{max_score}', CAST(1 + example_id % 9 AS VARCHAR)) AS rendered
 FROM v2
 """,
@@ -109,7 +109,7 @@ FROM v2
 def h7_render_prompt(spark, sf_dir):
     e = v2_examples(spark, sf_dir)
     # the prompt carries a literal "{output}", which the next replacement fills
-    p = F.concat(F.substring("prompt", 1, 60), F.lit(" {output}"))
+    p = F.concat(F.col("prompt"), F.lit(" {output}"))
     return e.select(
         "example_id",
         S.render_prompt(F.lit(_JUDGE_TPL), p, F.col("output"), F.col("expected_output"), F.col("example_id") % 9 + 1).alias(
