@@ -239,3 +239,25 @@ def a12_export_latest_run(spark, sf_dir):
     out = scratch_path(spark, "export")
     SRC.export_results(results, runs, "exp0", None, out)
     return SRC.read_results(spark, out)
+
+
+@register(
+    "a9_read_experiments",
+    "SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS concurrency FROM nation WHERE n_nationkey % 7 <> 0",
+)
+def a9_read_experiments(spark, sf_dir):
+    """A folder of experiment JSON documents, one per file (every
+    seventh one is malformed and must be skipped); ids come from the file
+    stems, rows are sorted by id."""
+    n = read_table(spark, sf_dir, "nation")
+    doc = F.when(
+        F.col("n_nationkey") % 7 == 0, F.concat(F.lit('{"name": "'), F.col("n_name"), F.lit('", broken'))
+    ).otherwise(F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("concurrency"))))
+    folder = scratch_path(spark, "experiments")
+    n.select(F.col("n_nationkey").alias("k"), doc.alias("value")).repartition("k").write.partitionBy("k").text(folder)
+    schema = "id string, name string, concurrency long"
+    from pyspark.sql.types import _parse_datatype_string
+
+    # Spark's text writer names files *.txt, so the document filter is *.txt here
+    ex = SRC.read_json_dir(spark, folder, _parse_datatype_string(schema), key="id", glob="*.txt")
+    return ex.select("name", "concurrency")

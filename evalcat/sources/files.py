@@ -260,7 +260,9 @@ def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def read_json_dir(spark: SparkSession, folder: str, schema: T.StructType, key: str = "id") -> DataFrame:
+def read_json_dir(
+    spark: SparkSession, folder: str, schema: T.StructType, key: str = "id", glob: str = "*.json"
+) -> DataFrame:
     """One JSON document per ``*.json`` file; hidden files are skipped
     (Spark ignores names starting with ``.``), malformed files are skipped,
     the ``key`` is forced to the file stem, rows sorted by key."""
@@ -269,10 +271,10 @@ def read_json_dir(spark: SparkSession, folder: str, schema: T.StructType, key: s
         spark.read.schema(T.StructType(fields))
         .option("multiLine", "true")
         .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", glob)
         .json(folder)
     )
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return df.withColumn(key, stem).orderBy(key)
 
