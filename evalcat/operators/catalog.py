@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalcat.functions import catalog as K
-from evalcat.functions.text import strip
 
 
 # --------------------------------------------------------------------------- #

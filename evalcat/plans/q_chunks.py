@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalcat.functions import scoring as S
-from evalcat.functions import text as X
 from evalcat.operators import chunks as CH
 from evalcat.operators import inference as INF
 from evalcat.plans.adapters import V1_SQL, V2_SQL, v1_results, v2_examples
-from evalcat.plans.q_examples import _score_sql, _weight_sql
+from evalcat.plans.q_examples import _score_sql
 from evalcat.plans.registry import register
 from evalcat.session import read_table
 

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from evalcat.functions import catalog as K
 from evalcat.operators import catalog as C
