@@ -295,11 +295,14 @@ def resolve_refs(refs: DataFrame, configs: DataFrame, strict: bool = False) -> D
     return out.select("model", "ss", "artifact", "version", F.col("_b").cast("string").alias("bs"))
 
 
-def mode_first(df: DataFrame, group_cols: Sequence[str], value_col: str, pos_col: str) -> DataFrame:
-    """Most common value per group, ties to the value seen first."""
-    counts = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"), F.min(pos_col).alias("_p"))
+def mode_first(df: DataFrame, group_cols: Sequence[str], value_col: str, pos_col: str | Column) -> DataFrame:
+    """Most common value per group, ties to the value seen first.
+    ``pos_col`` is the encounter order (any orderable type, e.g. a struct of
+    list position and entry position); it must be unique within a group."""
+    pos = F.col(pos_col) if isinstance(pos_col, str) else pos_col
+    counts = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_p"))
     return counts.groupBy(*group_cols).agg(
-        F.max_by(value_col, F.struct(F.col("_n"), -F.col("_p"))).alias(value_col)
+        F.min_by(value_col, F.struct((-F.col("_n")).alias("n"), F.col("_p").alias("p"))).alias(value_col)
     )
 
 

@@ -330,14 +330,15 @@ def d24_all_selected(spark, sf_dir):
     BASE
     + _PREC_SQL
     + """
-SELECT model, arg_max(ss, (n, -p)) AS ss FROM (
-  SELECT model, ss, count(*) AS n, min(pos) AS p FROM mcfg GROUP BY model, ss) GROUP BY model
+SELECT model, arg_min(ss, (-n, p)) AS ss FROM (
+  SELECT model, ss, count(*) AS n, min((pos, entry_pos)) AS p FROM mcfg GROUP BY model, ss) GROUP BY model
 """,
 )
 def d8_mode_first(spark, sf_dir):
     mapping, _, p = _pconfigs(spark, sf_dir)
     mcfg = C.model_configs(mapping.select("model", "pos", "artifact"), p)
-    return C.mode_first(mcfg, ["model"], "ss", "pos")
+    # encounter order: list position, then the entry inside a dynamic artifact
+    return C.mode_first(mcfg, ["model"], "ss", F.struct("pos", "entry_pos"))
 
 
 @register(
