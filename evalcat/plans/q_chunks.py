@@ -303,7 +303,41 @@ def j4_h43_answer_queries(spark, sf_dir):
     return INF.answer_queries(spark, q, "sql", cap=50)
 
 
-@register("j6_generate_steps")
+def _j6_sql() -> str:
+    from evalcat.plans.adapters import V4_SQL
+
+    nl2 = "chr(10) || chr(10)"
+    prompt = (
+        f"array_to_string(list_concat(CASE WHEN len(r.ctx) > 0 THEN r.ctx[1:len(r.ctx) - 1] ELSE [] END, "
+        f"[s.step_description_prompt, s.function_header, s.return_line]), {nl2})"
+    )
+    first_prompt = f"s.step_description_prompt || {nl2} || s.function_header || {nl2} || s.return_line"
+
+    def code(p: str) -> str:
+        return (
+            f"CASE WHEN s.given_code IS NOT NULL THEN s.given_code WHEN length({p}) % 3 = 0 THEN chr(10) "
+            f"ELSE 'def f():' || chr(10) || '    return ' || CAST(length({p}) AS VARCHAR) || chr(10) END"
+        )
+
+    def attempts(p: str) -> str:
+        return f"CASE WHEN s.given_code IS NOT NULL THEN 0 WHEN length({p}) % 3 = 0 THEN 3 ELSE 1 END"
+
+    return f"""
+WITH RECURSIVE steps AS (
+  SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY step_idx) - 1 AS k FROM ({V4_SQL})),
+r AS (
+  SELECT s.problem_id, s.k, s.step_idx, {code(first_prompt)} AS code, {attempts(first_prompt)} AS attempts,
+         [s.step_description_prompt, {code(first_prompt)}, '------'] AS ctx
+  FROM steps s WHERE s.k = 0
+  UNION ALL
+  SELECT s.problem_id, s.k, s.step_idx, {code(prompt)}, {attempts(prompt)},
+         list_concat(r.ctx, [s.step_description_prompt, {code(prompt)}, '------'])
+  FROM r JOIN steps s ON s.problem_id = r.problem_id AND s.k = r.k + 1)
+SELECT 'stand-in' AS model, problem_id, step_idx, code, CAST(attempts AS BIGINT) AS attempts FROM r
+"""
+
+
+@register("j6_generate_steps", _j6_sql())
 def j6_generate_steps(spark, sf_dir):
     """Per-problem sequential step generation with a stand-in model that
     answers blank for every third prompt length (exercising the retries)."""
