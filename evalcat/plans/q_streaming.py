@@ -108,18 +108,38 @@ def i7_run_state_stream(spark, sf_dir):
     )
 
 
-@register("i3_reap_orphans_stream")
+@register(
+    "i3_reap_orphans_stream",
+    f"WITH runs AS ({V7_SQL})"
+    + _EVENTS_SQL
+    + """
+, e2 AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY experiment_id, run_id ORDER BY ts, seq) IS NULL
+                          OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY experiment_id, run_id ORDER BY ts, seq)) >= 15
+                        THEN 1 ELSE 0 END AS new_s FROM ev)
+, e3 AS (SELECT *, sum(new_s) OVER (PARTITION BY experiment_id, run_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS sid FROM e2)
+, s AS (SELECT experiment_id, run_id, sid, arg_max(event, (ts, seq)) AS last_event, max(ts) AS last_ts,
+               max(ts) + INTERVAL 15 SECOND AS send FROM e3 GROUP BY experiment_id, run_id, sid)
+, closed AS (SELECT *, CASE last_event WHEN 'complete' THEN 'completed' WHEN 'abort' THEN 'aborted'
+                                       WHEN 'interrupt' THEN 'interrupted' END AS term
+             FROM s WHERE send <= (SELECT max(ts) FROM ev))
+, outc AS (SELECT experiment_id, run_id, sid, coalesce(term, 'interrupted') AS status,
+                  CASE WHEN term IS NOT NULL THEN last_ts ELSE send END AS fin FROM closed)
+SELECT experiment_id, run_id, arg_max(status, (fin, sid)) AS status, CAST(epoch(max(fin)) AS BIGINT) AS finished_epoch
+FROM outc GROUP BY experiment_id, run_id
+""",
+)
 def i3_reap_orphans_stream(spark, sf_dir):
-    """I3 (stream): final status per run from lifecycle events; runs left
-    running past the grace period of event time come out interrupted.
-    Rows-only check (timer firing depends on watermark progress)."""
+    """I3 (stream): lifecycle events replayed in event-time order; each
+    closed activity session yields an outcome (terminal status, or
+    interrupted when the grace period passed without one); the report keeps
+    each run's latest outcome. The oracle sessionizes the same events in
+    SQL (gaps of 15 s or more start a new session) and keeps the sessions
+    the final watermark has closed."""
     ev = _run_events(spark, sf_dir)
-    path, schema = J.stage_files(ev, N_FILES)
-    closed = J.drain_to_table(
-        J.reap_orphans_stream(J.file_stream(spark, path, schema, FILES_PER_TRIGGER), grace_seconds=15), "append"
-    )
+    path, schema = J.stage_files_in_time_order(ev, "ts", 4)
+    closed = J.drain_to_table(J.reap_orphans_stream(J.file_stream(spark, path, schema, 1), grace_seconds=15), "append")
     # one outcome per closed activity session; report each run's latest outcome
     latest = closed.groupBy("experiment_id", "run_id").agg(
-        F.max_by(F.struct("status", "finished_at"), "finished_at").alias("o")
+        F.max_by(F.struct("status", "finished_at"), F.struct("finished_at", "session_start")).alias("o")
     )
     return latest.select("experiment_id", "run_id", "o.status", F.unix_timestamp("o.finished_at").alias("finished_epoch"))

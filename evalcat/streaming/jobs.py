@@ -37,6 +37,27 @@ def stage_files(df: DataFrame, n_files: int) -> tuple[str, T.StructType]:
     return path, df.schema
 
 
+def stage_files_in_time_order(df: DataFrame, ts_col: str, n_chunks: int) -> tuple[str, T.StructType]:
+    """Write ``df`` as ``n_chunks`` files in event-time order (chunk i holds
+    the i-th quantile range of ``ts_col``), one write per chunk so a file
+    stream with ``maxFilesPerTrigger=1`` replays time in order and a 0-delay
+    watermark never marks a row late. The chunk bounds are a handful of
+    approximate quantiles (a small aggregate), not the data."""
+    path = scratch_path(df.sparkSession, "source")
+    qs = [i / n_chunks for i in range(1, n_chunks)]
+    bounds = df.select(F.percentile_approx(F.col(ts_col).cast("double"), qs, 10000)).first()[0] if qs else []
+    edges = [None, *bounds, None]
+    t = F.col(ts_col).cast("double")
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (t > lo)
+        if hi is not None:
+            cond = cond & (t <= hi)
+        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+    return path, df.schema
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -147,6 +168,7 @@ def reap_orphans_stream(events: DataFrame, grace_seconds: int = 15, watermark: s
         "run_id",
         F.when(ended, terminal[F.col("last_event")]).otherwise(F.lit("interrupted")).alias("status"),
         F.when(ended, F.col("last_ts")).otherwise(F.col("s.end")).alias("finished_at"),
+        F.col("s.start").alias("session_start"),
     )
 
 
