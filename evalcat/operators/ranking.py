@@ -20,8 +20,10 @@ Both are computed here from one range-partitioned sort instead:
    group present in it) gives every (pid, group) slice the number of rows of
    that group in earlier partitions: a running sum over a table whose size is
    partitions + groups, not rows.
-4. Joining it back (broadcast when its measured row count is small, shuffle
-   join otherwise) yields ``rank = offset + _li - first`` for every row.
+4. Joining it back yields ``rank = offset + _li - first`` for every row. AQE
+   turns that join into a broadcast once the offsets stage has run and its
+   measured size is under the adaptive broadcast threshold; with very many
+   groups it stays a shuffle join.
 
 Nothing is collected and no group is gathered into one task.
 """
@@ -34,10 +36,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Broadcast the per-slice offset table only below this many rows (it has one
-# row per (partition, group) slice; each row is a handful of longs).
-OFFSET_BROADCAST_ROWS = 2_000_000
-
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -90,8 +88,7 @@ def sorted_positions(
     )
     if count_col:
         g = g.withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*group_cols)))
-    g = g.drop("_cnt").persist()
-    small = g.count() <= OFFSET_BROADCAST_ROWS
+    g = g.drop("_cnt")
     right = g.select(
         F.col("_pid").alias("_g_pid"),
         *[F.col(c).alias(f"_g_{i}") for i, c in enumerate(group_cols)],
@@ -99,8 +96,10 @@ def sorted_positions(
         "_off",
         *(["_n"] if count_col else []),
     )
-    if small:
-        right = F.broadcast(right)
+    # No static hint: with AQE the offsets side is measured after its stage
+    # runs and the join becomes a broadcast when it is below
+    # spark.sql.adaptive.autoBroadcastJoinThreshold (one row per slice, so
+    # usually tiny); with many groups it stays a shuffle join.
     cond = F.col("_pid") == F.col("_g_pid")
     for i, c in enumerate(group_cols):
         cond = cond & t[c].eqNullSafe(F.col(f"_g_{i}"))
