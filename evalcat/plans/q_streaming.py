@@ -136,7 +136,7 @@ def i3_reap_orphans_stream(spark, sf_dir):
     SQL (gaps of 15 s or more start a new session) and keeps the sessions
     the final watermark has closed."""
     ev = _run_events(spark, sf_dir)
-    path, schema = J.stage_files_in_time_order(ev, "ts", 4)
+    path, schema = J.stage_files_in_time_order(ev, "ts", 2)  # two triggers: state crosses a batch
     closed = J.drain_to_table(J.reap_orphans_stream(J.file_stream(spark, path, schema, 1), grace_seconds=15), "append")
     # one outcome per closed activity session; report each run's latest outcome
     latest = closed.groupBy("experiment_id", "run_id").agg(
