@@ -43,7 +43,12 @@ def stage_files_in_time_order(df: DataFrame, ts_col: str, n_chunks: int) -> tupl
     stream with ``maxFilesPerTrigger=1`` replays time in order and a 0-delay
     watermark never marks a row late. The chunk bounds are a handful of
     approximate quantiles (a small aggregate), not the data."""
-    path = scratch_path(df.sparkSession, "source")
+    spark = df.sparkSession
+    path = scratch_path(spark, "source")
+    # materialize the input once; the quantiles and every chunk read the files
+    staged = scratch_path(spark, "staged")
+    df.write.parquet(staged)
+    df = spark.read.parquet(staged)
     qs = [i / n_chunks for i in range(1, n_chunks)]
     bounds = df.select(F.percentile_approx(F.col(ts_col).cast("double"), qs, 10000)).first()[0] if qs else []
     edges = [None, *bounds, None]
