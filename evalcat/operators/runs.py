@@ -19,8 +19,9 @@ from evalcat.functions.scoring import is_finite
 
 KEY = ["provider", "model", "example_id"]
 
-# An experiment's model list is configuration; refuse absurd sizes loudly
-# instead of truncating.
+# Model lists up to this size are inlined as a literal array (fan-out inside
+# each example partition, no shuffle); longer lists take the bucketed
+# equi-join path of task_grid, which is exact for any size.
 MAX_GRID_MODELS = 4096
 
 
@@ -47,6 +48,11 @@ def task_grid(
     ``examples`` carries a dense 0-based ``ordinal`` (see
     ``ranking.with_row_index``); ``models`` has provider and model columns in
     the experiment's order (``model_index``)."""
+    if isinstance(models, DataFrame):
+        n_models = models.count()
+        if n_models > MAX_GRID_MODELS:
+            n = n_examples if n_examples is not None else examples.count()
+            return _task_grid_bucketed(examples, models, ordinal_col, n, n_models)
     rows = model_list(models) if isinstance(models, DataFrame) else list(models)
     if not rows:
         return examples.limit(0).select(
@@ -73,6 +79,38 @@ def task_grid(
     )
 
 
+def _task_grid_bucketed(examples: DataFrame, models: DataFrame, ordinal_col: str, n: int, n_models: int) -> DataFrame:
+    """C1 for model lists too long to inline: an exact product built as an
+    equi-join. Models fall into B buckets of at most MAX_GRID_MODELS; each
+    example gets a hash bucket k in [0, K) and one row per model bucket; each
+    model is copied to every k. Joining on (k, b) pairs every example with
+    every model exactly once, over K*B join keys, with no cross join and
+    nothing collected. ``models`` has provider, model, model_index."""
+    spark = examples.sparkSession
+    n_buckets = -(-n_models // MAX_GRID_MODELS)
+    k_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    m = models.select(
+        F.col("model_index").cast("long").alias("model_index"),
+        "provider",
+        "model",
+        (F.col("model_index") % n_buckets).alias("_b"),
+        F.explode(F.sequence(F.lit(0), F.lit(k_buckets - 1))).alias("_k"),
+    )
+    e = examples.select(
+        "*",
+        F.pmod(F.xxhash64(F.col(ordinal_col)), F.lit(k_buckets)).alias("_k"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("_b"),
+    )
+    g = e.join(m, ["_k", "_b"], "inner")
+    return g.select(
+        (F.col("model_index") * F.lit(n) + F.col(ordinal_col) + 1).alias("result_id"),
+        "model_index",
+        "provider",
+        "model",
+        *examples.columns,
+    )
+
+
 def _completed(prior: DataFrame) -> DataFrame:
     return prior.where(F.col("status") == "completed")
 

@@ -106,3 +106,16 @@ def test_run_state_fold(spark):
     )
     r = R.run_state(ev).first()
     assert r.status == "running" and r.started_at == t(0) and r.resumed_at == [t(9)] and r.finished_at == t(5)
+
+
+def test_task_grid_bucketed_path_matches_literal(spark, monkeypatch):
+    ex = spark.range(0, 37).select(F.col("id").alias("example_id"), F.col("id").alias("ordinal"))
+    models = spark.range(0, 11).select(
+        F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("provider"),
+        F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"),
+        F.col("id").alias("model_index"),
+    )
+    literal = {tuple(r) for r in R.task_grid(ex, models).select("result_id", "model_index", "model", "example_id").collect()}
+    monkeypatch.setattr(R, "MAX_GRID_MODELS", 4)  # force 3 model buckets
+    bucketed = R.task_grid(ex, models).select("result_id", "model_index", "model", "example_id").collect()
+    assert len(bucketed) == 37 * 11 and {tuple(r) for r in bucketed} == literal
