@@ -25,9 +25,12 @@ KEY = ["provider", "model", "example_id"]
 MAX_GRID_MODELS = 4096
 
 
-def model_list(models: DataFrame, order_cols: Sequence[str] = ("model_index",)) -> list[dict]:
-    """Size-checked driver copy of a model configuration table."""
-    n = models.count()
+def model_list(
+    models: DataFrame, order_cols: Sequence[str] = ("model_index",), n: int | None = None
+) -> list[dict]:
+    """Size-checked driver copy of a model configuration table (``n`` is its
+    row count when the caller already has it)."""
+    n = models.count() if n is None else n
     if n > MAX_GRID_MODELS:
         raise ValueError(
             f"model list has {n} entries (> {MAX_GRID_MODELS}); a task grid is "
@@ -53,7 +56,7 @@ def task_grid(
         if n_models > MAX_GRID_MODELS:
             n = n_examples if n_examples is not None else examples.count()
             return _task_grid_bucketed(examples, models, ordinal_col, n, n_models)
-    rows = model_list(models) if isinstance(models, DataFrame) else list(models)
+    rows = model_list(models, n=n_models) if isinstance(models, DataFrame) else list(models)
     if not rows:
         return examples.limit(0).select(
             F.lit(None).cast("long").alias("result_id"),
