@@ -81,3 +81,21 @@ n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
 SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
 """
+
+
+@query
+def op6_rule_quality(spark, sf_dir):
+    from evalcat.llm import quality
+
+    scored = quality.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    out = quality.held_out(F.col("doc_id"), 5, 0)
+    return scored.select("doc_id", out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_string_kernel_toxicity(spark, sf_dir):
+    from evalcat.llm import quality, toxicity
+
+    scored = toxicity.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    out = quality.held_out(F.col("doc_id"), 3, 1)
+    return scored.select("doc_id", out.alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))

@@ -127,6 +127,17 @@ class Buffer:
         return begins, np.append(begins[1:], len(k)), np.diff(np.searchsorted(begins, self.edges))
 
 
+    def blank_chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``chunks``, cut only at the first white space after something else."""
+        k = self.kinds
+        cut = np.zeros(len(k), bool)
+        cut[1:] = ((k[1:] & (BLANK | LINE_END)) > 0) & ((k[:-1] & SPACE) == 0)
+        begin = self.edges[:-1]
+        cut[begin[begin < len(k)]] = True
+        begins = np.flatnonzero(cut)
+        return begins, np.append(begins[1:], len(k)), np.diff(np.searchsorted(begins, self.edges))
+
+
 def segments(text: str) -> list[str]:
     """Cut a long text before blanks that follow something else."""
     out, at = [], 0
@@ -200,8 +211,8 @@ class ChunkCoder:
     distinct chunk is mapped once and kept by hash, up to ``limit`` chunks; then
     the store is emptied. It never changes a result."""
 
-    def __init__(self, values_of: Callable[[list[str]], list], dtype=np.uint32, limit: int = 1_500_000):
-        self.values_of, self.dtype, self.limit = values_of, dtype, limit
+    def __init__(self, values_of: Callable[[list[str]], list], dtype=np.uint32, limit: int = 1_500_000, cut: str = "chunks"):
+        self.values_of, self.dtype, self.limit, self.cut = values_of, dtype, limit, cut
         self._empty()
 
     def _empty(self) -> None:
@@ -224,7 +235,7 @@ class ChunkCoder:
 
     def _one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         b = Buffer(texts)
-        begins, ends, n = b.chunks()
+        begins, ends, n = getattr(b, self.cut)()
         if not len(begins):
             return np.zeros(0, self.dtype), n
         keys, first, back = np.unique(b.hashes(begins, ends), return_index=True, return_inverse=True)
