@@ -15,8 +15,9 @@ the training documents turns that into 0 to 1.
 
 Training: sentences of labelled documents. All sentences of a document without
 the label are negative. In a toxic document, those are positive which hold a
-witness: a run that occurs in many toxic and next to no other documents, found
-by greedy cover, and later the run the machine itself scores highest. Each round
+witness: a run that is many times likelier in toxic documents than elsewhere
+(copies of a text count once), and later the run the machine itself scores
+highest. Each round
 adds the negative sentences' highest runs. At most ``fit_docs`` documents of
 either label are used, those with the smallest hashes among rows for which
 ``crc32(text of doc_id) % 3 != 1``.
@@ -30,7 +31,6 @@ every score is 0; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,14 +51,13 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 
 
-@lru_cache(maxsize=100_000)
 def _letter(c: str) -> int:
-    base = unicodedata.normalize("NFKD", c)[0]
-    return ord(base) - 97 if "a" <= base <= "z" else 26 + ord(c) % 6
+    """a to z, or one of a few codes for any other letter: accents tell."""
+    return ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 6
 
 
 def letters(run: str) -> tuple[int, ...]:
-    """A run of characters as small letter codes; marks of letters go."""
+    """A run of characters as small letter codes."""
     return tuple(_letter(c) for c in _NOT_LETTERS.sub("", run.lower()))
 
 
@@ -165,39 +164,56 @@ def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, passes: int = 30) ->
     return w[:-1], float(w[-1])
 
 
-def witnesses(toxic: list[set], clean: list[set], least: int = 3) -> dict:
-    """Greedy cover: strings of toxic documents next to absent elsewhere, most
-    frequent first; each document counts for one string only."""
-    rare = Counter(s for d in clean for s in d)
-    allowed = len(clean) / 1000
-    count = Counter(s for d in toxic for s in d if rare[s] <= allowed)
-    of: dict = {}
-    for i, d in enumerate(toxic):
-        for s in d:
-            if count[s] >= least and rare[s] <= allowed:
-                of.setdefault(s, set()).add(i)
-    open_, out = set(range(len(toxic))), {}
-    while of:
-        s = max(of, key=lambda k: (len(of[k] & open_), k))
-        got = of.pop(s) & open_
-        if len(got) < least:
-            break
-        out[s] = len(got)
-        open_ -= got
+def without_copies(texts: list[str]) -> list[str]:
+    """Texts that don't share two of their six smallest word triples (by hash)
+    with one before: every copy of a text would vouch for all its words."""
+    from evalcat.llm.textcache import in_slices, shingle_hashes, word_hashes
+
+    seen, out = set(), []
+    for a, b in in_slices(texts):
+        words, n = word_hashes(texts[a:b])
+        triples, n = shingle_hashes(words, n, 3)
+        ends = np.cumsum(n)
+        for i in range(a, b):
+            low = np.unique(triples[ends[i - a] - n[i - a] : ends[i - a]])[:6].tolist()
+            if sum(h in seen for h in low) < 2:
+                out.append(texts[i])
+                seen.update(low)
     return out
 
 
-def train(toxic: list[str], clean: list[str], landmarks: int = 160, rounds: int = 3) -> tuple[np.ndarray, float, float]:
+def witnesses(toxic: list[set], clean: list[set], least: int = 3) -> dict:
+    """Strings many times likelier in toxic documents than elsewhere, with
+    their numbers of toxic documents."""
+    seen = Counter(s for d in clean for s in d)
+    count = Counter(s for d in toxic for s in d)
+    odds = 8.0 * len(toxic) / max(1, len(clean))
+    out = {s: n for s, n in count.items() if n >= max(least, odds * (seen[s] + 2))}
+    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
+
+
+def train(toxic: list[str], clean: list[str], landmarks: int = 256, rounds: int = 3) -> tuple[np.ndarray, float, float]:
     """(weight per coordinate, slope, offset of the logistic curve)."""
-    bags = [[[(w, r) for r in runs_of(s) for w in windows(letters(r)) if len(w) >= ORDER] for s in sentences(t)] for t in [*toxic, *clean]]
-    sets = [{w for s in b for w, _ in s} for b in bags]
+    known: dict[str, list] = {}
+    number: dict[tuple, int] = {}
+    sets = []  # per document the numbers of the strings in its sentences
+    for text in [*toxic, *clean]:
+        own = set()
+        for sentence in sentences(text):
+            for run in runs_of(sentence):
+                if run not in known:
+                    known[run] = [number.setdefault(w, len(number)) for w in windows(letters(run)) if len(w) >= ORDER]
+                own.update(known[run])
+        sets.append(own)
+    strings = list(number)
     pos, neg = sets[: len(toxic)], sets[len(toxic) :]
     seeds = witnesses(pos, neg)
-    clean_runs = sorted({w for d in neg for w in d}, key=lambda w: hash(w) & 0xFFFFFFFF)
-    negatives = dict.fromkeys(clean_runs[:4000])
+    seeds = {strings[i]: n for i, n in seeds.items()}
+    clean_runs = np.array(sorted({i for d in neg for i in d}), np.int64)
+    negatives = dict.fromkeys(strings[i] for i in np.random.default_rng(7).permutation(clean_runs)[:4000])
     positives = dict(seeds)
     weights, b = np.zeros(LETTERS**ORDER), 0.0
-    neg_all = clean_runs
+    scores = np.zeros(len(strings))
     for _ in range(rounds):
         marks = [*list(positives)[: landmarks // 2], *list(negatives)[: landmarks // 2]]
         if not positives:
@@ -215,18 +231,17 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 160, rounds: int
             c, x = explicit(t)
             weights[c] += v * x
         # the highest run of every negative sentence, the best witness of every toxic document
-        hard = decisions(weights, neg_all)
-        for i in np.argsort(-hard, kind="stable")[:1500]:
-            negatives.setdefault(neg_all[i])
+        scores = decisions(weights, strings)
+        for i in clean_runs[np.argsort(-scores[clean_runs], kind="stable")[:1500]]:
+            negatives.setdefault(strings[i])
         found = Counter()
         for d in pos:
-            own = sorted(d)
-            s = decisions(weights, own) + b if own else np.zeros(1)
-            if own and s.max() > 0:
-                found[own[int(s.argmax())]] += 1
+            own = np.array(sorted(d), np.int64)
+            if len(own) and scores[own].max() + b > 0:
+                found[strings[own[int(scores[own].argmax())]]] += 1
         positives = dict(seeds) | {s: n for s, n in found.items() if n >= 2 and s not in negatives}
     # documents score as their highest sentence; a logistic curve on that
-    best = np.array([max([0.0, *decisions(weights, sorted(d))]) if d else 0.0 for d in sets])
+    best = np.array([max(0.0, scores[list(d)].max()) if d else 0.0 for d in sets])
     y = np.array([1.0] * len(pos) + [0.0] * len(neg))
     p, q = np.zeros(2), np.column_stack([best, np.ones(len(best))])
     for _ in range(50):  # Newton with a ridge, so that separable data has a curve too
@@ -242,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     for y in (1, 0):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(fit_docs)  # bounded
         got = text_rows(docs).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(fit_docs).select("text").toPandas()
-        kinds.append(list(dict.fromkeys(got["text"])))
+        kinds.append(without_copies(got["text"].tolist()))
     return train(*kinds) if all(kinds) else None
 
 
