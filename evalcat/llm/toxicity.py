@@ -182,7 +182,7 @@ def without_copies(texts: list[str]) -> list[str]:
     return out
 
 
-def witnesses(toxic: list[set], clean: list[set], least: int = 3) -> dict:
+def witnesses(toxic: list[set], clean: list[set], least: int = 4) -> dict:
     """Strings many times likelier in toxic documents than elsewhere, with
     their numbers of toxic documents."""
     seen = Counter(s for d in clean for s in d)
@@ -192,7 +192,7 @@ def witnesses(toxic: list[set], clean: list[set], least: int = 3) -> dict:
     return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
-def train(toxic: list[str], clean: list[str], landmarks: int = 256, rounds: int = 3) -> tuple[np.ndarray, float, float]:
+def train(toxic: list[str], clean: list[str], landmarks: int = 400, rounds: int = 4) -> tuple[np.ndarray, float, float]:
     """(weight per coordinate, slope, offset of the logistic curve)."""
     known: dict[str, list] = {}
     number: dict[tuple, int] = {}
@@ -224,7 +224,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 256, rounds: int
         root = vector[:, keep] / np.sqrt(value[keep])
         rows = [*positives, *negatives]
         y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        cost = np.where(y > 0, 10.0 * np.sqrt(np.array([*positives.values()] + [1] * len(negatives))), 2.0)
+        cost = np.full(len(y), 20.0)
         w, b = machine(kernel(rows, marks) @ root, y, cost)
         beta, weights = root @ w, np.zeros(LETTERS**ORDER)
         for v, t in zip(beta, marks):
@@ -234,6 +234,8 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 256, rounds: int
         scores = decisions(weights, strings)
         for i in clean_runs[np.argsort(-scores[clean_runs], kind="stable")[:1500]]:
             negatives.setdefault(strings[i])
+        order = dict(zip(negatives, decisions(weights, list(negatives))))
+        negatives = dict.fromkeys(sorted(order, key=lambda t: (-order[t], t)))  # the hardest become landmarks
         found = Counter()
         for d in pos:
             own = np.array(sorted(d), np.int64)
