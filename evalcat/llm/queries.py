@@ -99,3 +99,11 @@ def op10_string_kernel_toxicity(spark, sf_dir):
     scored = toxicity.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     out = quality.held_out(F.col("doc_id"), 3, 1)
     return scored.select("doc_id", out.alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_near_duplicates(spark, sf_dir):
+    from evalcat.llm import near_dup
+
+    _, classes = near_dup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+    return classes.select("doc_id", "class_id", "kept")
