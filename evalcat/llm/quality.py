@@ -164,8 +164,9 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     """``docs`` with a column quality_score in (0, 1); columns of that name in
     ``docs`` are replaced."""
     model = fit(docs, labels, fit_rows=fit_rows)
-    stats = statistics(F.col("_text"))
+    stats = statistics(F.col("text"))
     kept = [c for c in docs.columns if c != "quality_score"]
-    wide = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    wide = wide.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[c.alias(n) for n, c in stats.items()]).alias("_stats"))
-    return wide.select(*[F.col(f"`{c}`") for c in kept], compiled(model, {n: F.col("_stats")[n] for n in stats}).alias("quality_score"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    wide = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wide = wide.select("row", F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats"))
+    return wide.select(*[F.col("row")[c].alias(c) for c in kept], compiled(model, {n: F.col("stats")[n] for n in stats}).alias("quality_score"))

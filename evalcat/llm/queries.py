@@ -22,16 +22,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query
-def op1_pack_documents(spark, sf_dir):
+def packed(docs):
+    """The contract of op1 over any documents. Of the ids only the digest is
+    kept: ``packing.pack_documents`` is the form that keeps them."""
     from evalcat.llm import packing
     from evalcat.llm.common import staged, with_rid
 
-    pieces = packing.tokenize(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    pieces = packing.tokenize(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
     digests = staged(with_rid(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "item_id"), "pieces")
     return digests.join(packing.pack_items(digests.select("item_id", "length")), "item_id").drop("item_id")
 
 
+@query
+def op1_pack_documents(spark, sf_dir):
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_files(spark, sf_dir):
     from evalcat.llm import token_files
@@ -107,3 +113,46 @@ def op7_near_duplicates(spark, sf_dir):
 
     _, classes = near_dup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
     return classes.select("doc_id", "class_id", "kept")
+
+
+@query
+def op8_benchmark_leaks(spark, sf_dir):
+    from evalcat.llm import decontaminate
+
+    marked = decontaminate.with_leaks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), threshold=0.8)
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    from evalcat.llm import license_scan
+
+    return license_scan.scan(read_table(spark, sf_dir, "documents"), least=0.8)
+
+
+@query
+def op5_backoff_scores(spark, sf_dir):
+    from evalcat.llm import lm_score
+
+    scores = lm_score.lm_scores(read_table(spark, sf_dir, "documents"), order=2, alpha=0.4)
+    return scores.select("doc_id", "words", F.round("log_score", 4).alias("log_score"))
+
+
+ORACLES["op5_backoff_scores"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT x.r, x.i, x.w, y.w AS v FROM w x LEFT JOIN w y ON y.r = x.r AND y.i = x.i - 1),
+n AS (SELECT count(*) AS n FROM w),
+c1 AS (SELECT w, count(*) AS c FROM w GROUP BY w), o1 AS (SELECT r, w, count(*) AS c FROM w GROUP BY r, w),
+c2 AS (SELECT v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT r, v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY r, v, w),
+l AS (SELECT r, count(*) AS words FROM w GROUP BY r),
+s AS (SELECT b.r, CASE
+    WHEN c2.c - o2.c > 0 THEN ln((c2.c - o2.c) / (cv.c - ov.c))
+    ELSE CASE WHEN b.v IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN cw.c - ow.c > 0 THEN ln((cw.c - ow.c) / (n.n - l.words)) ELSE ln(1 / (n.n - l.words + 1)) END
+  END AS x
+  FROM b CROSS JOIN n JOIN l USING (r) JOIN c1 cw ON cw.w = b.w JOIN o1 ow ON ow.r = b.r AND ow.w = b.w
+  LEFT JOIN c1 cv ON cv.w = b.v LEFT JOIN o1 ov ON ov.r = b.r AND ov.w = b.v
+  LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.v = b.v AND o2.w = b.w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS words, round(x, 4) AS log_score
+FROM d LEFT JOIN (SELECT r, sum(x) AS x FROM s GROUP BY r) USING (r)
+"""

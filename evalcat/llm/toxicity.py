@@ -266,10 +266,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
 def score(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """``docs`` with a column toxicity_score; a column of that name is
     replaced."""
-    kept = docs.drop("toxicity_score")
+    kept = [c for c in docs.columns if c != "toxicity_score"]
+    columns = [F.col(f"`{c}`") for c in kept]
     model = fit(docs, labels, fit_docs=fit_docs)
     if model is None:
-        return kept.withColumn("toxicity_score", F.lit(0.0))
+        return docs.select(*columns, F.lit(0.0).alias("toxicity_score"))
     # a fixed number of coordinates
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -279,7 +280,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataF
         weights, slope, offset = shared.value
         code = ChunkCoder(lambda runs: run_scores(weights, runs), np.float64, cut="blank_chunks")
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = batch.column(1).to_pylist()
             out = np.zeros(len(texts))
             for a, b in in_slices(texts):
                 values, n = code(texts[a:b])
@@ -290,7 +291,8 @@ def score(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataF
                     if spelled := _SPELLED.findall(texts[i]):
                         out[i] = max(out[i], *np.ravel(run_scores(weights, spelled)))
             p = 1 / (1 + np.exp(-np.clip(slope * out + offset, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(p)], schema=None, names=[*batch.schema.names[:-1], "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["row", "toxicity_score"])
 
-    schema = kept.schema.add("toxicity_score", "double")
-    return kept.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    scored = rows.mapInArrow(run, rows.select("row").schema.add("toxicity_score", "double"))
+    return scored.select(*[F.col("row")[c].alias(c) for c in kept], "toxicity_score")
