@@ -13,12 +13,12 @@ probability equal to their weighted Jaccard similarity. For a weight of 1 the
 sample's key is a plain hash; from it follow, by inverse transforms, the Gamma
 and uniform variables of the general case, so other weights stay consistent.
 
-Documents that agree on all samples of a band share a bucket. In each bucket the
-smallest document is compared with every other (weighted Jaccard, whole texts):
-linear in the bucket. Weighted Jaccard distance is a metric, so a pair of others
-can only be a link that changes a class if their distances from the smallest
-differ by at most 1 - threshold and one of them is no link to it: exactly these
-pairs are compared as well. No link between bucket mates is lost, and copies are
+Documents that agree on all samples of a band share a bucket. In each bucket
+one document is compared with every other (weighted Jaccard, whole texts): linear
+in the bucket. Weighted Jaccard distance is a metric, so a pair of others
+can only be a link that changes a class if their distances from that one
+differ by at most 1 - threshold, and if they aren't in one class by then: exactly
+these pairs are compared as well. No link between bucket mates is lost, and copies are
 never expanded into pairs. Equal texts are one class before any of this.
 
 Edge cases: a null text is empty; equal texts are one class, empty ones too;
@@ -162,15 +162,18 @@ def _compared(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([similarity(at[x], at[y]) for x, y in zip(a, b)], pa.float64())], names=["a", "b", "similarity"])
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = staged(texts.join(used, "rid", "left_semi"), "compared-texts")
-    rows = pairs.join(some.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
+    # hinted, so that it is the same plan at every size
+    some = staged(texts.hint("shuffle_merge").join(used, "rid", "left_semi"), "compared-texts")
+    side = lambda p: some.select(F.col("rid").alias(p), F.col("text").alias(f"t{p}")).hint("shuffle_merge")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
     with arrow_rows(pairs.sparkSession, 1000):
         return staged(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double"), "compared")
 
 
-def links(texts: DataFrame, count: int, threshold: float) -> DataFrame:
-    """texts (rid, text), no two equal. Returns (a, b, similarity), a < b: links
-    whose components are the near-duplicate classes."""
+def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> DataFrame:
+    """texts (rid, text), ``count`` rows; first (rid): one row of each distinct
+    text, the others have no part in it. Returns (a, b, similarity), a < b:
+    links whose components are the near-duplicate classes."""
     common = common_buckets(texts.select("text"), count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +188,18 @@ def links(texts: DataFrame, count: int, threshold: float) -> DataFrame:
                     names=["rid", "band", "hash"],
                 )
 
-    members = staged(texts.select("rid", "text").mapInArrow(run, "rid long, band int, hash long"), "bands")
-    buckets = members.groupBy("band", "hash").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = texts.select("rid", "text").mapInArrow(run, "rid long, band int, hash long")
+    members = staged(members.join(first.hint("shuffle_merge"), "rid", "left_semi"), "bands")
+    # which document of a bucket is compared with the others depends on the band: what one leaves apart, another often joins
+    buckets = members.groupBy("band", "hash").agg(F.min_by("rid", F.struct(F.xxhash64("rid", F.col("band") % 4), "rid")).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = staged(members.join(buckets, ["band", "hash"]).where(F.col("rid") != F.col("rep")), "bucket-members")
-    stars = _compared(shared.select(F.col("rep").alias("a"), F.col("rid").alias("b")).distinct(), texts, common)
+    stars = _compared(shared.select(F.least("rep", "rid").alias("a"), F.greatest("rep", "rid").alias("b")).distinct(), texts, common)
     found = stars.where(F.col("similarity") >= threshold)
     if stars.where(F.col("similarity") < threshold).isEmpty():
         return found
     # what the stars leave open, see above
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = shared.join(stars, (F.col("rep") == F.col("a")) & (F.col("rid") == F.col("b"))).join(roots, F.col("rid") == F.col("node"), "left")
+    known = shared.join(stars, (F.least("rep", "rid") == F.col("a")) & (F.greatest("rep", "rid") == F.col("b"))).join(roots, F.col("rid") == F.col("node"), "left")
     known = staged(known.select("band", "hash", "rid", "similarity", F.coalesce("root", "rid").alias("root")), "open-members")
     far = known.where(F.col("similarity") < threshold).select("band", "hash", *[F.col(c).alias(f"x_{c}") for c in ("rid", "similarity", "root")])
     open_ = known.join(far, ["band", "hash"]).where(
@@ -214,8 +219,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     keyed = staged(rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("key")), "text-keys")
     equal = staged(keyed.groupBy("key").agg(F.min("rid").alias("cid")), "equal-texts")
-    texts = rows.select("rid", text.alias("text")).join(equal.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    found = links(staged(texts, "distinct-texts"), equal.count(), threshold)
+    found = links(rows.select("rid", text.alias("text")), equal.select(F.col("cid").alias("rid")), rows.count(), threshold)
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     member = keyed.join(equal, "key").join(roots, F.col("cid") == F.col("node"), "left").select("rid", "doc_id", F.coalesce("root", "cid").alias("root"))
     member = staged(member, "class-members")
@@ -228,4 +232,4 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each class."""
     rows, classes = near_duplicates(docs, threshold)
     kept = staged(classes.where("kept").select("rid"), "kept-rows")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    return rows.hint("shuffle_merge").join(kept, "rid", "left_semi").select("row.*")
