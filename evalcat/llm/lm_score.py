@@ -13,6 +13,9 @@ hash adds up the counts of all blocks and answers each asker; answers only go
 back where other blocks have the n-gram as well. A second shuffle brings answers
 and texts of a block together, where scores are summed per document.
 
+``docs`` must read alike each time, in rows and order, as any table of files does
+(stage others first); a block whose counts differ between reads is an error.
+
 Edge cases: a null text is empty; a text without words has no score (null) and
 0 words; repeated rows count and are scored each; a null doc_id stays null; an
 empty table gives an empty result.
@@ -27,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalcat.llm.common import staged, text_rows
+from evalcat.llm.common import text_rows
 
-ORDER, ALPHA, BLOCK_BITS = 2, 0.4, 11
+ORDER, ALPHA, BLOCK_BITS = 2, 0.4, 13
 _SALT = np.uint64(0x51ED270B)
 
 
@@ -82,20 +85,35 @@ def score_block(texts: list[str], known: np.ndarray, totals: np.ndarray, words_i
     from evalcat.llm.textcache import in_slices, word_hashes
 
     parts = [word_hashes(texts[a:b]) for a, b in in_slices(texts)]
-    words, lens = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    doc = np.repeat(np.arange(len(texts)), lens)
-    left = {}
+    tables = {}
     for n in range(1, order + 1):
-        g, full = grams(words, lens, n)
-        keys, back, here = np.unique(g, return_inverse=True, return_counts=True)
+        keys, here = np.unique(np.concatenate([g[full] for g, full in (grams(*p, n) for p in parts)]), return_counts=True)
         total = here.astype(np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             total = np.where(known[at] == keys, totals[at], total)
+        if (total < here).any():
+            raise ValueError("the documents changed between two reads")
+        tables[n] = keys, total
+    got = [score_slice(*p, tables, words_in_all, order, alpha) for p in parts]
+    return np.concatenate([np.zeros(0), *got]), np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+
+
+def score_slice(words: np.ndarray, lens: np.ndarray, tables: dict, words_in_all: int, order: int, alpha: float) -> np.ndarray:
+    """Sums of log scores of texts, given the counts of all their n-grams."""
+    doc = np.repeat(np.arange(len(lens)), lens)
+    left = {}
+    for n in range(1, order + 1):
+        g, full = grams(words, lens, n)
+        keys, total = tables[n]
+        if not len(keys):
+            left[n] = (np.zeros(len(words), np.int64),)
+            continue
+        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
         # times the n-gram occurs in the document itself
-        pair = doc * np.int64(len(keys)) + back
+        pair = doc * np.int64(len(keys)) + at
         _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-        left[n] = np.where(full, total[back] - own[inverse], 0), total[back], back
+        left[n] = (np.where(full, total[at] - own[inverse], 0),)
     others = words_in_all - lens[doc]
     unigram = np.where(left[1][0] > 0, left[1][0], 1) / np.where(left[1][0] > 0, others, others + 1)
     best, done = np.log(unigram), np.zeros(len(words), bool)
@@ -110,15 +128,15 @@ def score_block(texts: list[str], known: np.ndarray, totals: np.ndarray, words_i
         steps = np.minimum(place, order - 1) - (n - 1)
         best[use] = np.log(c[use] / context[use]) + steps[use] * np.log(alpha)
         done |= use
-    return np.bincount(doc, best, len(texts)), lens
+    return np.bincount(doc, best, len(lens))
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, words, log_score, mean_log_score) per row."""
-    rows = staged(text_rows(docs).withColumn("place", F.monotonically_increasing_id()), "lm-documents")
+    rows = text_rows(docs).withColumn("place", F.monotonically_increasing_id())
     asked = rows.select("place", "text").mapInArrow(lambda b: _asked(b, order), "h long, block long, c long")
     same = Window.partitionBy("h")
-    answers = asked.withColumn("total", F.sum("c").over(same)).where(F.col("total") > F.col("c"))
+    answers = asked.withColumn("total", F.sum("c").over(same)).where(F.col("total") > F.col("c")).select("h", "block", "total")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from evalcat.llm.textcache import in_slices, word_hashes
