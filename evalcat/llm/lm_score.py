@@ -111,7 +111,7 @@ def score_slice(words: np.ndarray, lens: np.ndarray, tables: dict, words_in_all:
             continue
         at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
         # times the n-gram occurs in the document itself
-        pair = doc * np.int64(len(keys)) + at
+        pair = doc * np.int64(len(keys) + 1) + np.where(full, at, len(keys))
         _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
         left[n] = (np.where(full, total[at] - own[inverse], 0),)
     others = words_in_all - lens[doc]
