@@ -141,6 +141,6 @@ def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
     rows = pieces.join(places, "item_id").select("sequence_id", F.struct("offset", "ids").alias("p"))
     return rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
         "sequence_id",
-        F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["ids"]) / 4).cast("long").alias("length"),
+        F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + F.shiftright(F.octet_length(p["ids"]), 2).cast("long")).alias("length"),
         F.aggregate("p", F.lit(b""), lambda s, p: F.concat(s, p["ids"])).alias("ids"),
     )
