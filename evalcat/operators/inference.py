@@ -157,11 +157,12 @@ def score_outputs(df: DataFrame, judged: bool = False) -> DataFrame:
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     """Write a nondeterministic result (generated outputs) once to the shared
     checkpoint folder and read it back, cutting the lineage so no later
-    action re-calls the model. Survives executor loss: the written files are
+    action re-calls the model. Every call writes a path of its own, which
+    ``name`` only labels. Survives executor loss: the written files are
     the source of truth."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/evalcat-materialized/{name or uuid.uuid4().hex}"
+    path = f"{base}/evalcat-materialized/{name or 'out'}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

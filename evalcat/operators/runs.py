@@ -142,7 +142,7 @@ def with_provider(tasks: DataFrame, providers: DataFrame) -> DataFrame:
     p = providers.select(
         F.col("name").alias("provider"), F.col("api_url"), F.lit(True).alias("_known")
     )
-    out = tasks.join(F.broadcast(p), "provider", "left")
+    out = tasks.join(p, "provider", "left")
     return out.withColumn(
         "provider_error",
         F.when(
@@ -174,7 +174,7 @@ def with_scorer(tasks: DataFrame, scorers: DataFrame) -> DataFrame:
         F.col("name").alias("scorer_name"),
         F.struct(*[c for c in scorers.columns]).alias("_named"),
     )
-    out = tasks.join(F.broadcast(s), "scorer_name", "left")
+    out = tasks.join(s, "scorer_name", "left")
     inline = F.col("scorer_def") if "scorer_def" in tasks.columns else F.lit(None)
     return out.withColumn("scorer", F.coalesce(inline, F.col("_named"))).withColumn(
         "scorer_error",

@@ -512,7 +512,7 @@ GROUP BY n.n_name ORDER BY n_customers DESC, n.n_name LIMIT 1
 )
 def d23_workload_top_nation(spark, sf_dir):
     c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
-    j = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"])
     return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_customers")).orderBy(F.desc("n_customers"), "n_name").limit(1)
 
 

@@ -39,8 +39,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "eva
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) do we pick a
-    scratch folder of our own."""
+    A cluster names it, and without it this raises; only a local session
+    (tests) gets a scratch folder of its own."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -49,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local_dir = tempfile.mkdtemp(prefix="evalcat-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)

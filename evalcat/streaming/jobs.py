@@ -71,8 +71,11 @@ def drain_to_table(stream: DataFrame, mode: str = "complete", path: str | None =
     """Run a streaming query over everything available (availableNow) into a
     Parquet table in the shared checkpoint folder and return that table.
     Append mode uses the file sink (exactly-once via its commit log);
-    complete/update mode rewrites the table from each micro-batch's full
-    result in ``foreachBatch``. Results never pass through the driver."""
+    complete mode rewrites the table from each micro-batch's full result in
+    ``foreachBatch``. Update mode only has the changed rows, so it can't
+    rewrite a table and is refused. Results never pass through the driver."""
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode!r}: only append and complete keep the whole table")
     spark = stream.sparkSession
     target = path or scratch_path(spark, "sink")
     w = stream.writeStream.option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True)
@@ -87,8 +90,6 @@ def drain_to_table(stream: DataFrame, mode: str = "complete", path: str | None =
     return spark.read.schema(stream.schema).parquet(target)
 
 
-drain_to_memory = drain_to_table  # former name
-
 
 # --------------------------------------------------------------------------- #
 # I1 live run counters
@@ -107,6 +108,12 @@ def progress_stream(results: DataFrame, run_cols: Sequence[str] = ("experiment_i
 # --------------------------------------------------------------------------- #
 # I2 idempotent upsert sink
 # --------------------------------------------------------------------------- #
+def path_exists(spark, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def upsert_sink(
     stream: DataFrame,
     target: str,
@@ -126,18 +133,14 @@ def upsert_sink(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        try:
-            done = s.read.parquet(commits).where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        except Exception:  # no commit log yet
-            done = False
+        done = path_exists(s, commits) and not s.read.parquet(commits).where(F.col("batch_id") == batch_id).isEmpty()
         if done or batch.isEmpty():
             return
         touched = batch.select(*partition_cols).distinct()
-        try:
+        merged = batch
+        if path_exists(s, target):  # any other trouble with it fails the batch: prior rows must not be overwritten unread
             existing = s.read.parquet(target).join(touched, partition_cols, "left_semi")
             merged = existing.unionByName(batch.select(*existing.columns))
-        except Exception:  # first batch: no table yet
-            merged = batch
         best = upsert_latest(merged, [*partition_cols, *keys], seq_col)
         s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         best.write.mode("overwrite").partitionBy(*partition_cols).parquet(target)
