@@ -1,10 +1,9 @@
 """Text quality by a sparse rule ensemble.
 
-Statistics of a text (native column expressions) feed shallow boosted trees;
+Statistics of a text (numpy on batches of texts) feed shallow boosted trees;
 every path from a root to a node becomes a rule, a conjunction of threshold
 tests; a logistic regression with an L1 penalty keeps few of them; and these are
-compiled into one Spark column expression, so scoring all documents is a plain
-projection without Python.
+compiled into one Spark column expression over the statistics.
 
 Labels are only used of rows for which ``crc32(text of doc_id) % 5 != 0``; the
 fit takes at most ``fit_rows`` of these, those with the smallest hashes, and
@@ -19,7 +18,12 @@ any); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +33,64 @@ FIT_ROWS = 20_000
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, threshold), ...
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a non-null text."""
-    size = F.length(text)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(text, r"\n"), lambda w: w != "")
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    share = lambda pattern: per(size - F.length(F.regexp_replace(text, pattern, "")), size)
-    return {
-        "size": F.log1p(size.cast("double")),
-        "words": F.log1p(F.size(words).cast("double")),
-        "lines": F.log1p(F.size(lines).cast("double")),
-        "word_size": per(size, F.size(words)),
-        "line_size": F.log1p(per(size, F.size(lines))),
-        "distinct_words": per(F.size(F.array_distinct(words)), F.size(words)),
-        "distinct_lines": per(F.size(F.array_distinct(lines)), F.size(lines)),
-        "long_words": per(F.size(F.filter(words, lambda w: F.length(w) > 12)), F.size(words)),
-        "short_words": per(F.size(F.filter(words, lambda w: F.length(w) < 4)), F.size(words)),
-        "capitals": share(r"\p{Lu}+"),
-        "digits": share("[0-9]+"),
-        "marks": share(r"[^\p{L}\p{N}\s]+"),
-        "stops": share(r"[.,;:?]+"),
-        "odd_marks": share(r"[^\p{L}\p{N}\s.,;:?'\"()-]+"),
-        "bars": share(r"[|]+"),
-        "shouts": share("!+"),
-        "blanks": share(r"\s+"),
-    }
+STATISTICS = (
+    "size", "words", "lines", "word_size", "line_size", "distinct_words", "distinct_lines", "long_words", "short_words",
+    "capitals", "digits", "marks", "stops", "odd_marks", "bars", "shouts", "blanks",
+)
+_CAPITAL, _DIGIT, _BLANK, _STOP, _QUOTE, _BAR, _SHOUT, _MARK = range(1, 9)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Kind of each code point; 0: other letters and numbers."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind == "Lu":
+            out[i] = _CAPITAL
+        elif c.isspace():
+            out[i] = _BLANK
+        elif kind[0] not in "LN":
+            out[i] = _MARK
+    for kind, marks in ((_DIGIT, "0123456789"), (_STOP, ".,;:?"), (_QUOTE, "'\"()-"), (_BAR, "|"), (_SHOUT, "!")):
+        out[[ord(c) for c in marks]] = kind
+    return out
+
+
+def statistics_of(text: str) -> tuple[float, ...]:
+    """STATISTICS of a text; a long one is worked on segment by segment."""
+    from evalcat.llm.textcache import segments
+
+    kinds = np.zeros(9, np.int64)
+    words = long = short = 0
+    seen = np.zeros(0, np.int64)
+    for part in segments(text):
+        kinds += np.bincount(_kinds()[np.frombuffer(part.encode("utf-32-le", "replace"), "<u4")], minlength=9)
+        found = part.split()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        words, long, short = words + len(found), long + int((sizes > 12).sum()), short + int((sizes < 4).sum())
+        own = np.fromiter(map(hash, set(found)), np.int64)
+        seen = np.union1d(seen, own) if len(seen) else own
+    lines = [line for line in text.split("\n") if line]
+    per = lambda a, b: a / b if b else 0.0
+    n, marks = len(text), int(kinds[_STOP:].sum())
+    return (
+        math.log1p(n), math.log1p(words), math.log1p(len(lines)), per(n, words), math.log1p(per(n, len(lines))),
+        per(len(seen), words), per(len(set(lines)), len(lines)), per(long, words), per(short, words),
+        *(per(int(k), n) for k in (kinds[_CAPITAL], kinds[_DIGIT], marks, kinds[_STOP], marks - kinds[_STOP] - kinds[_QUOTE], kinds[_BAR], kinds[_SHOUT], kinds[_BLANK])),
+    )
+
+
+def statistics(text: Column) -> Column:
+    """A struct of the STATISTICS of a non-null text. Only the texts go to
+    Python; other columns of the row stay where they are."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        got = np.array([statistics_of(t) for t in texts.to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+        return pa.StructArray.from_arrays([pa.array(column) for column in got.T], names=list(STATISTICS))
+
+    return F.arrow_udf(run, ", ".join(f"{n} double" for n in STATISTICS))(text)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -134,14 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     known = known.where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id")).limit(fit_rows)  # at most fit_rows rows, two numbers each
     rows = text_rows(docs).join(F.broadcast(known), "doc_id")
-    stats = statistics(F.col("text"))
-    got = rows.select("doc_id", F.col("y").cast("double").alias("y"), *[c.cast("double").alias(n) for n, c in stats.items()]).orderBy(F.xxhash64("doc_id"), *stats).limit(fit_rows).toPandas()
-    y, x = got["y"].to_numpy(), got[list(stats)].to_numpy()
+    rows = rows.select("doc_id", F.col("y").cast("double").alias("y"), statistics(F.col("text")).alias("stats")).select("doc_id", "y", "stats.*")
+    got = rows.orderBy(F.xxhash64("doc_id"), *STATISTICS).limit(fit_rows).toPandas()
+    y, x = got["y"].to_numpy(), got[list(STATISTICS)].to_numpy()
     if not len(y):
         return [], 0.0
     if y.min() == y.max():
         return [], float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    names = list(stats)
+    names = list(STATISTICS)
     rules = boosted_rules(x, y, names)
     z = np.column_stack([holds(r, x, names) for r in rules]).astype(np.float64) if rules else np.zeros((len(y), 0))
     w, b = lasso_logistic(z, y, penalty)
@@ -164,9 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     """``docs`` with a column quality_score in (0, 1); columns of that name in
     ``docs`` are replaced."""
     model = fit(docs, labels, fit_rows=fit_rows)
-    stats = statistics(F.col("text"))
     kept = [c for c in docs.columns if c != "quality_score"]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    wide = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wide = wide.select("row", F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats"))
-    return wide.select(*[F.col("row")[c].alias(c) for c in kept], compiled(model, {n: F.col("stats")[n] for n in stats}).alias("quality_score"))
+    wide = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("row", statistics(F.col("text")).alias("stats"))
+    return wide.select(*[F.col("row")[c].alias(c) for c in kept], compiled(model, {n: F.col("stats")[n] for n in STATISTICS}).alias("quality_score"))
