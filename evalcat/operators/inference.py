@@ -15,7 +15,6 @@ checkpoint folder and reads it back before anything else touches it.
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -167,19 +166,6 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def request_kwargs(temperature: float | None, seed: Any, additional: dict | None) -> dict:
-    """Request options of a model: temperature, integer seed (booleans
-    are not seeds), then the extra options, which override."""
-    kw: dict = {"temperature": 0.0 if temperature is None else temperature}
-    if isinstance(seed, bool):
-        pass
-    elif isinstance(seed, (int, float)) and not (isinstance(seed, float) and math.isnan(seed)):
-        kw["seed"] = int(seed)
-    if isinstance(additional, dict):
-        kw.update(additional)
-    return kw
-
-
 def request_kwargs_map(temperature: Column, seed: Column, extras_json: Column) -> Column:
     """H38 as a Column: MAP<STRING,STRING> of request options: temperature
     (default 0), the seed when set, then the extra options, which override
@@ -193,11 +179,6 @@ def request_kwargs_map(temperature: Column, seed: Column, extras_json: Column) -
     return F.map_concat(keep, extras)
 
 
-def request_kwargs_col(temperature: Column, seed: Column, extras_json: Column) -> Column:
-    """JSON text of :func:`request_kwargs_map`."""
-    return F.to_json(request_kwargs_map(temperature, seed, extras_json))
-
-
 def generate_steps(
     steps: DataFrame,
     fn: Callable[[str], str],

@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 from evalcat.operators import inference as INF
 
 
@@ -40,9 +42,10 @@ def test_judge_errors_keep_output(spark):
     assert got[2] == ("out2\n\n[JUDGE ERROR: judge down]", "error", 0.0, None)
 
 
-def test_request_kwargs():
-    assert INF.request_kwargs(0.2, True, None) == {"temperature": 0.2}
-    assert INF.request_kwargs(None, 7.0, {"temperature": 1, "top_p": 0.5}) == {"temperature": 1, "seed": 7, "top_p": 0.5}
+def test_request_kwargs(spark):
+    df = spark.createDataFrame([(0.2, None, None), (None, 7, '{"temperature": 1, "top_p": 0.5}')], "t double, s long, e string")
+    got = [r[0] for r in df.select(INF.request_kwargs_map(F.col("t"), F.col("s"), F.col("e"))).collect()]
+    assert got == [{"temperature": "0.2"}, {"temperature": "1", "seed": "7", "top_p": "0.5"}]
 
 
 def test_answer_queries_guard(spark):
