@@ -6,7 +6,8 @@ index maps them to (template, place). All gram hashes of a document are looked
 up, so any run of WINDOW + GRAM - 1 words shared with a template yields a hit.
 Hits of one template on nearby diagonals are one candidate region, which is
 aligned with the template by words (local alignment, match 2, mismatch and gap
--1) within a band around the hits' diagonals. Reported are matched template
+-1) within a band around the hits' diagonals, unless the words both have, in any
+order, are too few for the coverage asked for. Reported are matched template
 words, coverage (their share), and the span in the document.
 
 Templates are a parameter and configuration: at most MAX_WORDS words in all are
@@ -30,22 +31,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcat.llm.common import text_rows
+from evalcat.llm.license_texts import TEXTS
 
 GRAM, WINDOW, BAND, MAX_WORDS = 3, 4, 12, 2_000_000
 
-# License notices and their usual short forms.
+_GNU = [("GPL", "General Public", "2.0"), ("GPL", "General Public", "3.0"), ("LGPL", "Lesser General Public", "2.1"), ("LGPL", "Lesser General Public", "3.0"), ("AGPL", "Affero General Public", "3.0")]
+_GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {title} License as published by the Free Software Foundation, either version {number} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {title} License for more details. You should have received a copy of the GNU {title} License along with this program. If not, see <https://www.gnu.org/licenses/>."
+_CC = [("CC-BY", "Attribution"), ("CC-BY-SA", "Attribution-ShareAlike"), ("CC-BY-ND", "Attribution-NoDerivatives"), ("CC-BY-NC", "Attribution-NonCommercial"), ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+# Whole license texts, the notices by which files refer to them, and short forms.
 TEMPLATES = {
+    **TEXTS,
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT-line": "Released under the MIT License.",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-2-Clause-line": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-line": "Licensed under the BSD 3-Clause License.",
+    "ISC-line": "This software is licensed under the ISC License.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0-notice": 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.',
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0-line": "Released under the CC0 1.0 Universal Public Domain Dedication.",
+    **{f"{name}-{number}-line": f"This work is licensed under the GNU {title} License, version {number.removesuffix('.0')}." for name, title, number in _GNU},
+    **{f"{name}-{number}-notice": _GNU_NOTICE.format(title=title, number=number.removesuffix(".0")) for name, title, number in _GNU},
+    **{f"{name}-4.0-line": f"Licensed under {name.replace('-', ' ', 1)} 4.0." for name, _ in _CC},
+    **{f"{name}-4.0-notice": f"This work is licensed under a Creative Commons {title} 4.0 International License." for name, title in _CC},
 }
 
 
@@ -65,6 +74,8 @@ class Index:
         ends = np.cumsum(lens)
         self.names = [n for n, _ in templates]
         self.words = [words[e - n : e] for e, n in zip(ends.tolist(), lens.tolist())]
+        self.vocabulary = np.unique(words) if len(words) else np.zeros(0, np.uint64)
+        self.bags = [np.unique(np.searchsorted(self.vocabulary, own), return_counts=True) for own in self.words]
         found = []
         self.short = sorted({int(n) for n in lens if 0 < n < GRAM})
         for k, own in enumerate(self.words):
@@ -75,6 +86,18 @@ class Index:
         self.places = [f[1:] for f in found]
         self.known = np.unique(self.hashes)
 
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Places of words in the templates' vocabulary, its size for others."""
+        n = len(self.vocabulary)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), n - 1)
+        return np.where(self.vocabulary[at] == words, at, n)
+
+    def most(self, k: int, numbers: np.ndarray) -> int:
+        """No alignment of template k with these words matches more: the words
+        both have, whatever their order."""
+        own, count = self.bags[k]
+        return int(np.minimum(np.bincount(numbers, minlength=len(self.vocabulary) + 1)[own], count).sum())
+
     def hits(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.zeros(0, np.int64)
@@ -86,8 +109,8 @@ def aligned(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple
     """Best local alignment with doc place - template place in [low, high]:
     (matched words, first doc word, last doc word + 1)."""
     width, n = high - low + 1, len(doc)
-    column = np.arange(width)
-    score = np.zeros((len(template) + 1, width + 1), np.int64)
+    column = np.arange(width, dtype=np.int32)
+    score = np.zeros((len(template) + 1, width + 1), np.int32)
     for i, word in enumerate(template):
         at = i + low + column
         inside = (at >= 0) & (at < n)
@@ -121,29 +144,53 @@ def matches(words: np.ndarray, grams: np.ndarray, index: Index, least: float) ->
         for k, q in index.places[a:b]:
             hits.setdefault(k, []).append((p, p - q))
     out = []
+    numbers = index.numbers(words) if hits else None
     for k, found in sorted(hits.items()):
         size = len(index.words[k])
+        if index.most(k, numbers) < least * size:
+            continue
         band, regions = BAND + size // 8, []
-        for p, diagonal in sorted(found):
-            for r in regions[-4:]:
-                if abs(diagonal - r[1]) <= band and p - r[0] <= size + band:
-                    r[0], r[2], r[3] = p, min(r[2], diagonal), max(r[3], diagonal)
-                    break
+        for d in sorted(d for _, d in found):
+            if regions and d - regions[-1][0] <= band:
+                regions[-1][1:] = d, regions[-1][2] + 1
             else:
-                regions.append([p, diagonal, diagonal, diagonal])
-        done = set()
-        for _, _, low, high in regions:
-            matched, begin, end = aligned(index.words[k], words, low - band, high + band)
-            if matched / size >= least and (begin, end) not in done:
-                done.add((begin, end))
-                out.append((k, matched, matched / size, begin, end))
+                regions.append([d, d, 1])
+        spans: list[tuple[int, int]] = []
+        for low, high, _ in sorted(regions, key=lambda r: -r[2]):  # stable
+            # what no reported span covers; a span found leaves what is before and after it
+            edges = [max(0, low - band), *sum(sorted(spans), ()), max(0, high + band + size)]
+            todo = [(max(x, edges[0]), min(y, edges[-1])) for x, y in zip(edges[::2], edges[1::2])]
+            while todo:
+                x, y = todo.pop()
+                if x >= y or index.most(k, numbers[x:y]) < least * size:
+                    continue
+                matched, begin, end = aligned(index.words[k], words[x:y], low - band - x, high + band - x)
+                if matched / size >= least:
+                    spans.append((x + begin, x + end))
+                    out.append((k, matched, matched / size, x + begin, x + end))
+                    todo += [(x, x + begin), (x + end, y)]
     return out
 
 
+def best_of(found: list[tuple], index: Index) -> list[bool]:
+    """Which matches name their part of a document: going down by 2 a matched
+    word less 1 for any other word of template or span, those that share no
+    more than half of the shorter span with a better one."""
+    sizes = [len(index.words[f[0]]) for f in found]
+    score = [4 * m - n - (e - b) for (_, m, _, b, e), n in zip(found, sizes)]
+    taken: list[int] = []
+    for i in sorted(range(len(found)), key=lambda i: -score[i]):
+        b, e = found[i][3:]
+        if all(2 * (min(e, found[j][4]) - max(b, found[j][3])) <= min(e - b, found[j][4] - found[j][3]) or score[i] == score[j] for j in taken):
+            taken.append(i)
+    return [i in taken for i in range(len(found))]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, template, matched_words, coverage, first_word, last_word,
-    start_char, end_char): a row per aligned region of at least ``least``
-    coverage."""
+    start_char, end_char, best): a row per aligned region of at least ``least``
+    coverage, and whether no other template accounts better for that part of
+    the document (texts of BSD-2-Clause also hold most of BSD-3-Clause)."""
     todo, passes, size = list((TEMPLATES if templates is None else templates).items()), [[]], 0
     for name, text in todo:
         if passes[-1] and size + len(text.split()) > max_words:
@@ -151,8 +198,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             size = 0
         passes[-1].append((name, text))
         size += len(text.split())
-    schema = "doc_id long, template string, matched_words int, coverage double, first_word int, last_word int, start_char int, end_char int"
-    types = [pa.int64(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4]
+    schema = "doc_id long, template string, matched_words int, coverage double, first_word int, last_word int, start_char int, end_char int, best boolean"
+    types = [pa.int64(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4, pa.bool_()]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def job(own):
@@ -180,7 +227,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                         found = matches(own_words, own_grams, index, least)
                         if found:
                             begins, stops, _ = Buffer([texts[a + i].lower()]).words()
-                            rows += [(ids[a + i], index.names[k], m, c, f, e - 1, int(begins[f]), int(stops[e - 1])) for k, m, c, f, e in found]
+                            rows += [(ids[a + i], index.names[k], m, c, f, e - 1, int(begins[f]), int(stops[e - 1]), own_best) for (k, m, c, f, e), own_best in zip(found, best_of(found, index))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
 
         return run

@@ -203,6 +203,19 @@ def test_license_spans_against_full_alignment(spark, docs, empty):
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(empty).count() == 0 and license_scan.scan(table, {}).count() == 0
 
 
+def test_whole_license_texts_get_their_own_names(spark):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MIT", "LGPL-2.1", "GPL-3.0", "AGPL-3.0", "Unlicense", "CC-BY-SA-4.0"]
+    texts = [f"Copyright someone {license_scan.TEMPLATES[n]} And then code." for n in names]
+    cut = " ".join(license_scan.TEMPLATES["MIT"].split()).split("THE SOFTWARE IS PROVIDED")[0]
+    table = spark.createDataFrame([*enumerate(texts), (90, cut), (91, license_scan.TEMPLATES["ISC"][:200])], "doc_id long, text string")
+    rows = license_scan.scan(table).collect()
+    # a notice within a text is reported, the text names the document
+    assert {(r.doc_id, r.template) for r in rows if r.best} == set(enumerate(names))
+    assert {r.coverage for r in rows if r.best} == {1.0}
+    assert not [r for r in rows if r.doc_id >= 90]
+    assert max(r.coverage for r in rows if r.doc_id == 0 and r.template == "BSD-3-Clause") < 0.9
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_backoff_against_brute_force(spark, docs, empty, order):
     words = [re.findall(r"\w+", (t or "").lower()) for _, t, _ in ROWS]
