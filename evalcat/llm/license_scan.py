@@ -1,23 +1,30 @@
 """License texts in documents: winnowed fingerprints, then banded alignment.
 
 Each template's hashes of GRAM consecutive words are winnowed: of every WINDOW
-consecutive ones the smallest stays (the rightmost of equal ones). An inverted
-index maps them to (template, place). All gram hashes of a document are looked
-up, so any run of WINDOW + GRAM - 1 words shared with a template yields a hit.
-Hits of one template on nearby diagonals are one candidate region, which is
+consecutive ones the smallest stays (the rightmost of equal ones). Of templates
+of fewer than WHOLE words every hash stays, and their grams are so short that
+some gram is left when any words but the asked coverage are taken out or
+replaced. An inverted index maps the hashes to (template, place). All gram
+hashes of a document are looked up, so any run of WINDOW + GRAM - 1 words shared
+with a template yields a hit.
+
+Hits of one template on nearby diagonals are one candidate region. Unless the
+words both have, in any order, are too few for the coverage asked for, it is
 aligned with the template by words (local alignment, match 2, mismatch and gap
--1) within a band around the hits' diagonals, unless the words both have, in any
-order, are too few for the coverage asked for. Reported are matched template
-words, coverage (their share), and the span in the document.
+-1, of equal ones that with more matches) within a band around the hits'
+diagonals. What a reported span leaves before and after it is aligned again, so
+copies in a row are each found. Reported are matched template words, coverage
+(their share), and the span in the document.
 
 Templates are a parameter and configuration: at most MAX_WORDS words in all are
-taken to the tasks at once, more are scanned in further passes.
+taken to the tasks at once, more are scanned in further passes (``best`` then
+compares the templates of a pass).
 
 Spans count the characters of the text in lower case, which has the same length
 but for a few letters such as a capital dotted I.
 
 Edge cases: a null text is empty and matches nothing; a template shorter than
-GRAM words has one hash, of all its words; repeated rows and templates are each
+its grams has one hash, of all its words; repeated rows and templates are each
 reported; a null doc_id stays null; no templates or documents give no rows.
 """
 
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from evalcat.llm.common import text_rows
 from evalcat.llm.license_texts import TEXTS
 
-GRAM, WINDOW, BAND, MAX_WORDS = 3, 4, 12, 2_000_000
+GRAM, WINDOW, WHOLE, BAND, MAX_WORDS, UNIT = 3, 4, 64, 12, 2_000_000, 1024
 
 _GNU = [("GPL", "General Public", "2.0"), ("GPL", "General Public", "3.0"), ("LGPL", "Lesser General Public", "2.1"), ("LGPL", "Lesser General Public", "3.0"), ("AGPL", "Affero General Public", "3.0")]
 _GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {title} License as published by the Free Software Foundation, either version {number} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {title} License for more details. You should have received a copy of the GNU {title} License along with this program. If not, see <https://www.gnu.org/licenses/>."
@@ -66,8 +73,15 @@ def winnowed(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(set((np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1)).tolist()))
 
 
+def gram_size(size: int, least: float) -> int:
+    """Words of a gram, GRAM or fewer: a run so long is left however the words
+    that coverage ``least`` may lack are spread over a template."""
+    lost = int((1 - least) * size + 1e-9)
+    return max(1, min(GRAM, -(-(size - lost) // (lost + 1))))
+
+
 class Index:
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], least: float):
         from evalcat.llm.textcache import shingle_hashes, word_hashes
 
         words, lens = word_hashes([t for _, t in templates])
@@ -77,10 +91,11 @@ class Index:
         self.vocabulary = np.unique(words) if len(words) else np.zeros(0, np.uint64)
         self.bags = [np.unique(np.searchsorted(self.vocabulary, own), return_counts=True) for own in self.words]
         found = []
-        self.short = sorted({int(n) for n in lens if 0 < n < GRAM})
         for k, own in enumerate(self.words):
-            grams, _ = shingle_hashes(own, np.array([len(own)]), GRAM)
-            found += [(int(grams[i]), k, i) for i in winnowed(grams)]
+            wide = gram_size(len(own), least)
+            grams, _ = shingle_hashes(own, np.array([len(own)]), wide)
+            found += [(int(grams[i]), k, i) for i in (range(len(grams)) if len(own) < WHOLE else winnowed(grams))]
+        self.widths = sorted({gram_size(len(own), least) for own in self.words if len(own)})
         found.sort()
         self.hashes = np.array([f[0] for f in found], np.uint64)
         self.places = [f[1:] for f in found]
@@ -107,7 +122,8 @@ class Index:
 
 def aligned(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Best local alignment with doc place - template place in [low, high]:
-    (matched words, first doc word, last doc word + 1)."""
+    (matched words, first doc word, last doc word + 1). A match counts 2 * UNIT
+    + 1, so that of equal scores the one with more matched words stays."""
     width, n = high - low + 1, len(doc)
     column = np.arange(width, dtype=np.int32)
     score = np.zeros((len(template) + 1, width + 1), np.int32)
@@ -117,18 +133,18 @@ def aligned(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple
         same = np.zeros(width, bool)
         same[inside] = doc[at[inside]] == word
         before = score[i]
-        reach = np.maximum(0, np.maximum(before[:width] + np.where(same, 2, -1), before[1:] - 1))
+        reach = np.maximum(0, np.maximum(before[:width] + np.where(same, np.int32(2 * UNIT + 1), np.int32(-UNIT)), before[1:] - UNIT))
         reach = np.where(inside, reach, 0)
-        row = np.maximum.accumulate(reach + column) - column
+        row = np.maximum.accumulate(reach + UNIT * column) - UNIT * column
         score[i + 1, :width] = np.where(inside, row, 0)
     i, c = np.unravel_index(int(score[:, :width].argmax()), (len(template) + 1, width))
     matched, end, begin = 0, i - 1 + low + c + 1, i + low + c
     while i > 0 and score[i, c] > 0:
         at = i - 1 + low + c
         same = 0 <= at < n and doc[at] == template[i - 1]
-        if score[i, c] == score[i - 1, c] + (2 if same else -1):
+        if score[i, c] == score[i - 1, c] + (2 * UNIT + 1 if same else -UNIT):
             matched, begin, i = matched + same, at, i - 1
-        elif score[i, c] == score[i - 1, c + 1] - 1:
+        elif score[i, c] == score[i - 1, c + 1] - UNIT:
             i, c = i - 1, c + 1
         else:
             c -= 1
@@ -136,13 +152,17 @@ def aligned(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple
     return matched, max(0, begin), end
 
 
-def matches(words: np.ndarray, grams: np.ndarray, index: Index, least: float) -> list[tuple]:
+def matches(words: np.ndarray, index: Index, least: float) -> list[tuple]:
     """(template number, matched, coverage, first word, last word + 1)."""
+    from evalcat.llm.textcache import shingle_hashes
+
     hits: dict[int, list] = {}
-    for p in index.hits(grams).tolist():
-        a, b = np.searchsorted(index.hashes, grams[p], "left"), np.searchsorted(index.hashes, grams[p], "right")
-        for k, q in index.places[a:b]:
-            hits.setdefault(k, []).append((p, p - q))
+    for wide in index.widths:
+        grams, _ = shingle_hashes(words, np.array([len(words)]), wide)
+        for p in index.hits(grams).tolist():
+            a, b = np.searchsorted(index.hashes, grams[p], "left"), np.searchsorted(index.hashes, grams[p], "right")
+            for k, q in index.places[a:b]:
+                hits.setdefault(k, []).append(p - q)
     out = []
     numbers = index.numbers(words) if hits else None
     for k, found in sorted(hits.items()):
@@ -150,7 +170,7 @@ def matches(words: np.ndarray, grams: np.ndarray, index: Index, least: float) ->
         if index.most(k, numbers) < least * size:
             continue
         band, regions = BAND + size // 8, []
-        for d in sorted(d for _, d in found):
+        for d in sorted(found):
             if regions and d - regions[-1][0] <= band:
                 regions[-1][1:] = d, regions[-1][2] + 1
             else:
@@ -206,25 +226,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from evalcat.llm.textcache import Buffer, in_slices, shingle_hashes, word_hashes
 
-            index = Index(own)
+            index = Index(own, least)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = []
                 for a, b in in_slices(texts):
                     words, lens = word_hashes(texts[a:b])
-                    grams, n = shingle_hashes(words, lens, GRAM)
                     hit = np.zeros(b - a, bool)
-                    hit[np.repeat(np.arange(b - a), n)[index.hits(grams)]] = True
-                    for wide in index.short:
-                        s, m = shingle_hashes(words, lens, wide)
-                        hit[np.repeat(np.arange(b - a), m)[index.hits(s)]] = True
-                    ends, upto = np.cumsum(lens), np.cumsum(n)
+                    for wide in index.widths:
+                        grams, n = shingle_hashes(words, lens, wide)
+                        hit[np.repeat(np.arange(b - a), n)[index.hits(grams)]] = True
+                    ends = np.cumsum(lens)
                     for i in np.flatnonzero(hit).tolist():
-                        own_words = words[ends[i] - lens[i] : ends[i]]
-                        own_grams = grams[upto[i] - n[i] : upto[i]]
-                        for wide in index.short:
-                            own_grams = np.concatenate([own_grams, shingle_hashes(own_words, np.array([len(own_words)]), wide)[0]])
-                        found = matches(own_words, own_grams, index, least)
+                        found = matches(words[ends[i] - lens[i] : ends[i]], index, least)
                         if found:
                             begins, stops, _ = Buffer([texts[a + i].lower()]).words()
                             rows += [(ids[a + i], index.names[k], m, c, f, e - 1, int(begins[f]), int(stops[e - 1]), own_best) for (k, m, c, f, e), own_best in zip(found, best_of(found, index))]

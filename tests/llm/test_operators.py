@@ -216,6 +216,20 @@ def test_whole_license_texts_get_their_own_names(spark):
     assert max(r.coverage for r in rows if r.doc_id == 0 and r.template == "BSD-3-Clause") < 0.9
 
 
+def test_short_licenses_changed_or_repeated(spark):
+    templates = {"line": "Released under the MIT License.", "twelve": " ".join(f"n{i}" for i in range(12)), "two": "public domain"}
+    words = templates["twelve"].split()
+    texts = ["we Released under an MIT License here", " ".join(templates.values()) + " " + "Released under the MIT License. " * 7]
+    texts += [" ".join([*words[:a], "x", *words[a + 1 : b], "y", *words[b + 1 :]]) for a in range(11) for b in range(a + 1, 12)]
+    texts += ["filler " * 500 + "it is public domain. " + templates["twelve"] + " and " + templates["twelve"]]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()
+    # a replaced first or last word is no part of the span
+    assert Counter((r.doc_id, r.template) for r in rows) == Counter({(0, "line"): 1, (1, "line"): 8, (1, "twelve"): 1, (1, "two"): 1, **{(i, "twelve"): 1 for i in range(2, 68)}, (68, "two"): 1, (68, "twelve"): 2})
+    assert [r.coverage for r in rows if r.doc_id == 0] == [0.8]
+    spans = sorted((r.first_word, r.last_word) for r in rows if r.doc_id == 1)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and {r.coverage for r in rows if r.doc_id in (1, 68)} == {1.0}
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_backoff_against_brute_force(spark, docs, empty, order):
     words = [re.findall(r"\w+", (t or "").lower()) for _, t, _ in ROWS]
