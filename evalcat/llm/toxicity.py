@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from evalcat.llm.common import text_rows
 from evalcat.llm.quality import held_out
 
-ORDER, DECAY, WINDOW, STEP, LETTERS = 3, 0.6, 24, 8, 32
+ORDER, DECAY, WINDOW, STEP, LETTERS = 3, 0.6, 24, 8, 64
 FIT_DOCS = 3000
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][\W_]{1,3}){3,}[^\W\d_](?!\w)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -52,8 +52,9 @@ _SENTENCE = re.compile(r"[.!?\n]+\s")
 
 
 def _letter(c: str) -> int:
-    """a to z, or one of a few codes for any other letter: accents tell."""
-    return ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 6
+    """a to z, or one of 38 codes for any other letter: those of one alphabet
+    seldom share one (neighbours never do), accents tell."""
+    return ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % (LETTERS - 26)
 
 
 def letters(run: str) -> tuple[int, ...]:
@@ -138,14 +139,17 @@ def runs_of(sentence: str) -> list[str]:
 
 
 def kernel(a: list[tuple[int, ...]], b: list[tuple[int, ...]]) -> np.ndarray:
-    dense = np.zeros((len(b), LETTERS**ORDER))
-    for i, t in enumerate(b):
-        c, v = explicit(t)
-        dense[i, c] = v
+    rows = [explicit(t) for t in b]
+    place = np.zeros(LETTERS**ORDER, np.int64)  # 0: in no string of b
+    some = np.unique(np.concatenate([c for c, _ in rows])) if rows else np.zeros(0, np.int64)
+    place[some] = np.arange(1, len(some) + 1)
+    dense = np.zeros((len(b), len(some) + 1))
+    for i, (c, v) in enumerate(rows):
+        dense[i, place[c]] = v
     out = np.zeros((len(a), len(b)))
     for i, s in enumerate(a):
         c, v = explicit(s)
-        out[i] = dense[:, c] @ v
+        out[i] = dense[:, place[c]] @ v
     return out
 
 

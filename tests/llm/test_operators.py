@@ -296,6 +296,14 @@ def test_toxicity_finds_gapped_insults(spark, docs, empty):
     assert toxicity.score(docs, table.limit(0)).count() == len(ROWS) and toxicity.score(empty, table).count() == 0
 
 
+def test_kernel_tells_words_of_other_scripts_apart():
+    words = ["идиот", "привет", "ідіот", "ηλίθιος", "βλάκας", "καλημέρα", "طماطم", "مرحبا", "バカヤロウ", "コンニチハ", "ありがとう"]
+    codes = [toxicity.letters(w) for w in words]
+    like = toxicity.kernel(codes, codes) - np.eye(len(words))
+    assert like[0, 2] > 0.05 and max(like[i, j] for i in range(len(words)) for j in range(i) if (i, j) != (2, 0)) < 0.05
+    assert all(len(set(toxicity.letters(a))) == len(a) for a in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρσςτυφχψω"))
+
+
 def test_pipeline_stages_chain(spark, docs):
     import corpus_pipeline
 
