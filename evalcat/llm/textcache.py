@@ -128,10 +128,11 @@ class Buffer:
 
 
     def blank_chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As ``chunks``, cut only at the first white space after something else."""
+        """As ``chunks``, cut only at the first white space, of any kind, after
+        something else."""
         k = self.kinds
         cut = np.zeros(len(k), bool)
-        cut[1:] = ((k[1:] & (BLANK | LINE_END)) > 0) & ((k[:-1] & SPACE) == 0)
+        cut[1:] = ((k[1:] & SPACE) > 0) & ((k[:-1] & SPACE) == 0)
         begin = self.edges[:-1]
         cut[begin[begin < len(k)]] = True
         begins = np.flatnonzero(cut)

@@ -48,6 +48,8 @@ ORDER, DECAY, WINDOW, STEP, LETTERS = 3, 0.6, 24, 8, 64
 FIT_DOCS = 3000
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][\W_]{1,3}){3,}[^\W\d_](?!\w)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: The white space of ``textcache.SPACE``.
+_BLANKS = re.compile(r"[\s\x00-\x1f\x7f-\x9f]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 
 
@@ -135,7 +137,7 @@ def sentences(text: str) -> list[str]:
 
 
 def runs_of(sentence: str) -> list[str]:
-    return [*sentence.split(), *_SPELLED.findall(sentence)]
+    return [*filter(None, _BLANKS.split(sentence)), *_SPELLED.findall(sentence)]
 
 
 def kernel(a: list[tuple[int, ...]], b: list[tuple[int, ...]]) -> np.ndarray:

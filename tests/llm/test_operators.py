@@ -304,6 +304,19 @@ def test_kernel_tells_words_of_other_scripts_apart():
     assert all(len(set(toxicity.letters(a))) == len(a) for a in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρσςτυφχψω"))
 
 
+def test_scoring_sees_the_runs_of_training():
+    from evalcat.llm.textcache import SPACE, Buffer, char_classes
+
+    blanks = [i for i in range(0x110000) if char_classes()[i] & SPACE]
+    assert all(toxicity._BLANKS.fullmatch(chr(i)) for i in blanks) and len(toxicity._BLANKS.findall("x".join(map(chr, range(0xD800))))) == sum(i < 0xD800 for i in blanks)
+    for text in ["you moron\r\nNext one\r\n", "a\tmoron\tb", "a\u00a0moron\u2003b c\x00d", " \t x\n\ty"]:
+        b = Buffer([text])
+        begins, ends, _ = b.blank_chunks()
+        cut = [text[s:e] for s, e in zip(begins, ends)]
+        assert "".join(cut) == text and [r for c in cut for r in toxicity.runs_of(c)] == toxicity.runs_of(text)
+        assert all(len(toxicity.runs_of(c)) <= 1 for c in cut)
+
+
 def test_pipeline_stages_chain(spark, docs):
     import corpus_pipeline
 
