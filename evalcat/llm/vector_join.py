@@ -18,9 +18,10 @@ The principal axes are fitted on ``axis_sample`` vectors (those with the
 smallest hashes): any axes give the same result, they only decide how much is
 skipped.
 
+Vectors of another length are joined by themselves, length by length.
+
 Edge cases: vectors that are null, zero, hold null or non-finite components or
-have another length than most (the longer of two equally frequent ones) link
-with nothing and are their own component. Rows with equal ids are vectors of
+are the only one of their length link with nothing and are their own component. Rows with equal ids are vectors of
 their own and link like any others. A null id stays null, takes part, and a
 component's id is its smallest non-null one. An empty table gives an empty
 result.
@@ -239,12 +240,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = staged(with_rid(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))), "vector-rows")
     usable = rows.where(_usable(F.col("v")))
-    widths = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
+    # lengths of embeddings, of which a table has few
+    widths = [r["w"] for r in usable.groupBy(F.size("v").alias("w")).count().where("count > 1").orderBy(F.desc("count"), F.desc("w")).collect()]
+    eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     lone = rows.select("rid", "id", F.col("rid").alias("root"), F.lit(0).cast("long").alias("n_links"))
     if widths:
-        width, eps = widths[0]["w"], float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        usable = usable.where(F.size("v") == width)
-        classes = staged(usable.groupBy("v").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("mult")), "vector-classes")
+        lone = lone.join(usable.where(F.size("v").isin(widths)).select("rid"), "rid", "left_anti")
+    for width in widths:
+        own = usable.where(F.size("v") == width)
+        classes = staged(own.groupBy("v").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("mult")), "vector-classes")
         count = classes.count()
         axes = principal_axes(classes, width, axis_sample)
         n = sized_partitions(count, 4 * block)
@@ -255,10 +259,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         found = _linked(pairs, blocks, width, axes, threshold)
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
         roots = connected_components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-        member = usable.select("rid", "id", "v").join(classes, "v").select("rid", "id", "cid", "mult")
+        member = own.select("rid", "id", "v").join(classes, "v").select("rid", "id", "cid", "mult")
         member = member.join(links, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")
         member = member.select("rid", "id", F.coalesce("root", "cid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-        lone = lone.join(usable.select("rid"), "rid", "left_anti").unionByName(member)
+        lone = lone.unionByName(member)
     lone = staged(lone, "vector-members")
     smallest = lone.groupBy("root").agg(F.min("id").alias("component_id"))
     return lone.join(smallest, "root").select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -134,6 +134,16 @@ def test_vectors_against_brute_force(spark):
     assert vector_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_width_are_joined(spark):
+    rows = [(i, [1.0, float(i), 0.5]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [-1.0, 2.0]), (20, [3.0]), (21, [5.0]), (22, [-5.0]), (30, [1.0] * 7)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    assert {i: got[i] for i in got if i >= 10} == {10: (1, 10, True), 11: (1, 10, False), 12: (0, 12, True), 20: (1, 20, True), 21: (1, 20, False), 22: (0, 22, True), 30: (0, 30, True)}
+    for a, v in rows[:6]:
+        cos = [np.dot(v, w) / math.sqrt(np.dot(v, v) * np.dot(w, w)) for b, w in rows[:6] if a != b]
+        assert got[a][0] == sum(c >= 0.95 for c in cos)
+
+
 def _sets(text):
     w = re.findall(r"\w+", (text or "").lower())
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
