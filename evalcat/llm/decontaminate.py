@@ -12,7 +12,9 @@ item: weights lie between FLOOR and 1 a time, so no other can reach the
 threshold. Nothing of a document leaves its task but its leaks.
 
 Items are taken to the tasks in blocks of at most BLOCK_ITEMS, chosen by hash;
-documents are read once for each block, so any number of items will do.
+documents are read once for each block, so any number of items will do. Weights
+follow from all items: a shingle of one item weighs 1, so only the shingles that
+several items hold, with their numbers of items, go along with every block.
 
 Edge cases: null texts are empty; items without words match nothing; an item of
 fewer than five words has one shingle, all of them; repeated items and rows are
@@ -49,7 +51,8 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 class Items:
     """A block of items, ready to be matched."""
 
-    def __init__(self, rows: list[tuple[int | None, str]]):
+    def __init__(self, rows: list[tuple[int | None, str]], common: tuple[np.ndarray, np.ndarray, int] | None = None):
+        """common: ``common_shingles`` of all items, if these aren't all."""
         from evalcat.llm.textcache import shingle_hashes, word_hashes
 
         words, lens = word_hashes([t for _, t in rows])
@@ -58,9 +61,12 @@ class Items:
         ends = np.cumsum(n)
         sets = [shingles[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
         seen = Counter(s for one in sets for s in set(one.tolist()))
-        total = max(2, len(rows))
         self.known = np.array(sorted(seen), np.uint64)
-        self.weight = np.array([FLOOR + (1 - FLOOR) * np.log(total / seen[s]) / np.log(total) for s in sorted(seen)])
+        if common is None:
+            often = sorted(s for s, k in seen.items() if k > 1)
+            common = np.array(often, np.uint64), np.array([seen[s] for s in often], np.int64), len(rows)
+        self.common, count, total = common[0], common[1], max(2, common[2])
+        self.weight = FLOOR + (1 - FLOOR) * np.log(total / count) / np.log(total)
         for (item, _), size, own in zip(rows, lens.tolist(), sets):
             if size:
                 g = self.groups.setdefault(size, {"ids": [], "sets": [], "marks": []})
@@ -75,10 +81,10 @@ class Items:
             g["near"] = [np.bitwise_count(value[:, None] ^ g["marks"][:, p][None, :]) <= RADIUS // PARTS for p in range(PARTS)]
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.common):
             return np.ones(len(shingles))
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], 1.0)
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.weight[at], 1.0)
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -87,6 +93,27 @@ class Items:
         return self.known[at] == shingles
 
 
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one of all items (item_id, text), sorted, and how
+    many items hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from evalcat.llm.textcache import in_slices, shingle_hashes, word_hashes
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in in_slices(texts):
+                shingles, n = shingle_hashes(*word_hashes(texts[a:b]), SHINGLE)
+                ends = np.cumsum(n)
+                own = [np.unique(shingles[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["s"])
+
+    got = rows.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    shingles, count = got["s"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], count[order]
+
+
 def weighted(shingles: np.ndarray, weights: np.ndarray) -> dict[int, float]:
     out: dict[int, float] = {}
     for s, w in zip(shingles.tolist(), weights.tolist()):
@@ -144,7 +171,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
     kept = [c for c in docs.columns if c != "leaks"]
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast(LEAKS).alias("leaks"))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = max(1, -(-rows.count() // block_items))
+    total = rows.count()
+    blocks = max(1, -(-total // block_items))
+    common = spark.sparkContext.broadcast((*common_shingles(rows), total)) if blocks > 1 else None
     for block in range(blocks):
         # about block_items rows, whatever the benchmark's size
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
@@ -156,7 +185,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from evalcat.llm.textcache import in_slices, shingle_hashes, word_hashes
 
-            items = Items(shared.value)
+            items = Items(shared.value, common and common.value)
             small = {k for k in items.groups if k < SHINGLE}
             for batch in batches:
                 texts, found = batch.column(1).to_pylist(), []

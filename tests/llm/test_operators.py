@@ -197,6 +197,21 @@ def test_benchmark_leaks_against_brute_force(spark, docs, empty):
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_benchmark_leaks_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(11)
+    shared = [" ".join(f"s{i}x{k}" for k in range(8)) for i in range(6)]  # passages that many items hold
+    items = [(i, " ".join([shared[i % 6], *(f"i{i}y{k}" for k in range(12)), shared[i * 5 % 6]])) for i in range(60)]
+    texts = []
+    for i, t in items * 2:
+        words = t.split()
+        for at in rng.choice(len(words), int(rng.integers(1, 4)), replace=False):
+            words[at] = shared[int(rng.integers(6))] if rng.random() < 0.5 else "other"
+        texts.append(" ".join(words))
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [{(r.doc_id, x.item_id, round(x.similarity, 9), x.start_word) for r in decontaminate.with_leaks(table, bench, threshold=0.6, block_items=n).collect() for x in r.leaks} for n in (1000, 7)]
+    assert found[0] and found[0] == found[1]
+
+
 def test_license_spans_against_full_alignment(spark, docs, empty):
     text = "Head. " + license_scan.TEMPLATES["MIT"].replace("free of charge", "entirely free of any charge").upper() + "\n tail Released under the MIT License. end"
     table = spark.createDataFrame([(1, text), (2, None), (None, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
