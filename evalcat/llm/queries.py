@@ -156,3 +156,63 @@ s AS (SELECT b.r, CASE
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS words, round(x, 4) AS log_score
 FROM d LEFT JOIN (SELECT r, sum(x) AS x FROM s GROUP BY r) USING (r)
 """
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    from evalcat.llm import filter_audit
+
+    return filter_audit.audit(filter_audit.document_cells(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+  'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(least < doc_id, false)} AS x
+  FROM w LEFT JOIN marks USING (doc_id)),
+g AS (SELECT part, (CASE WHEN x.A THEN 'A' ELSE '' END) || (CASE WHEN x.B THEN 'B' ELSE '' END) || (CASE WHEN x.C THEN 'C' ELSE '' END) || (CASE WHEN x.D THEN 'D' ELSE '' END) || (CASE WHEN x.E THEN 'E' ELSE '' END) AS fails,
+  count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INT), 1) AS own, substr(filter_order, 1, CAST(step AS INT) - 1) AS earlier FROM o, range(1, 6) r(step)),
+m AS (SELECT part, filter_order, step, own, n, good, toxic, fails, len(translate(fails, earlier, '')) = len(fails) AS alive, contains(fails, own) AS hit FROM g, s),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (alive AND NOT hit) AS kept, sum(n) FILTER (alive AND hit) AS removed, sum(n) FILTER (hit AND NOT alive) AS redundant,
+  sum(n) FILTER (fails = own) AS unique_fails, sum(good) FILTER (alive AND hit) AS good_lost, sum(toxic) FILTER (alive AND hit) AS toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query
+def op12_progressive_clusters(spark, sf_dir):
+    from evalcat.llm import progressive
+
+    return progressive.cluster(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3")[0]
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment (a) and of new centroids (c), one after the other."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT p.r, c{i}.c, sum((p.x - c{i}.x) * (p.x - c{i}.x)) AS d FROM p JOIN c{i} USING (j) GROUP BY ALL) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.c, j, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN
+  (SELECT c, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM p JOIN a{i} USING (r) GROUP BY c, j) m USING (c, j))""")
+    return ",\n".join(steps)
+
+
+ORACLES["op12_progressive_clusters"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS xs FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 16384)) = 0),
+p AS MATERIALIZED (SELECT r, unnest(xs) AS x, generate_subscripts(xs, 1) AS j FROM v),
+c0 AS MATERIALIZED (SELECT n - 1 AS c, unnest(xs) AS x, generate_subscripts(xs, 1) AS j FROM (SELECT xs, row_number() OVER (ORDER BY sha256('3:' || vec_id), xs) AS n FROM v WHERE vec_id IS NOT NULL) WHERE n <= 8),
+{_rounds_sql(8, 10)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS h FROM c10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM v JOIN a10 USING (r) JOIN h USING (c)
+"""
