@@ -216,3 +216,20 @@ h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS h FROM
 SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
 FROM v JOIN a10 USING (r) JOIN h USING (c)
 """
+
+
+@query
+def op11_graph_neighbours(spark, sf_dir):
+    from evalcat.llm import neighbours
+
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+#: Exact, as the search is where all vectors share a block.
+ORACLES["op11_graph_neighbours"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS other, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS n FROM s) WHERE n <= 20
+"""
