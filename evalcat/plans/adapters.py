@@ -12,6 +12,7 @@ V5 catalog      <- part, supplier
 V6 deployments  <- customer, orders
 V7 runs         <- orders
 V8 vectors      <- embeddings
+V9 run log      <- orders, lineitem
 """
 
 from __future__ import annotations
@@ -524,3 +525,58 @@ SELECT CAST(conv_id AS VARCHAR) AS problem_id,
             WHEN 2 THEN 'TIMEOUT' ELSE 'FAIL' END AS verdict
 FROM conversations
 """
+
+
+# --------------------------------------------------------------------------- #
+# V9 run log (lifecycle events and finished tasks of runs, as they arrive)
+# --------------------------------------------------------------------------- #
+def v9_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events(experiment_id, run_id, event, ts, seq, total, failed, label), the
+    ``part`` in which each arrives and whether it is ``lost``: some of the
+    early ones arrive in the last part. Some runs have no create event."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400).alias("t"))
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l"), "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    lines = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def event(rows, name, t, seq, total=None, failed=None, label=None):
+        return rows.select(
+            "o_orderkey", "o_custkey", name.alias("event"), t.alias("t"), seq.cast("long").alias("seq"), (none("long") if total is None else total.cast("long")).alias("total"),
+            (none("boolean") if failed is None else failed).alias("failed"), (none("string") if label is None else label).alias("label"),
+        )
+
+    label = F.concat(F.lit("p"), (F.col("l_suppkey") % 3).cast("string"), F.lit("/m #"), F.col("l_partkey").cast("string"))
+    pause = F.when((F.col("o_orderkey") + F.col("l")) % 11 == 0, F.lit(20)).otherwise(F.lit(0))
+    end = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderkey") % 2 == 0, "abort").otherwise("interrupt")
+    ev = (
+        event(o.where(F.col("o_orderkey") % 97 != 0), F.lit("create"), F.col("t"), F.lit(0), F.col("o_orderkey") % 50 + 10)
+        .unionByName(event(lines, F.lit("row"), F.col("t") + F.col("l") * 7 + pause, F.col("l") * 10_000_000 + F.col("l_partkey"), failed=F.col("l_returnflag") == "R", label=label))
+        .unionByName(event(lines.where("l = 3"), F.lit("resume"), F.col("t") + 46, F.col("l_partkey") + 35_000_000, F.floor("l_quantity") + 10))
+        .unionByName(event(o.where("o_orderstatus <> 'O'"), end, F.col("t") + 60 + F.col("o_orderkey") % 30, F.lit(100_000_000)))
+    )
+    ts = F.timestamp_seconds("t")
+    lost = ((F.col("o_orderkey") * 31 + F.col("seq")) % 53 == 0) & (ts < F.lit("1994-05-01").cast("timestamp"))
+    arrival = F.timestamp_seconds(F.col("t") + (F.col("o_orderkey") * 7 + F.col("seq") * 13) % 20 * 86400)
+    part = F.when(lost, 2).when(arrival < F.lit("1994-07-01").cast("timestamp"), 0).when(arrival < F.lit("1996-07-01").cast("timestamp"), 1).otherwise(2)
+    return ev.select(
+        F.concat(F.lit("exp"), F.col("o_custkey").cast("string")).alias("experiment_id"), F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("run_id"),
+        "event", ts.alias("ts"), "seq", "total", "failed", "label", part.alias("part"), lost.alias("lost"),
+    )
+
+
+V9_SQL = """
+SELECT 'exp' || CAST(o_custkey AS VARCHAR) AS experiment_id, 'run' || CAST(o_orderkey AS VARCHAR) AS run_id, event, t AS ts, seq, total, failed, label,
+       (o_orderkey * 31 + seq) % 53 = 0 AND t < TIMESTAMP '1994-05-01' AS lost
+FROM (
+  WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate + to_seconds(o_orderkey % 86400) AS t FROM orders),
+  li AS (SELECT * FROM o JOIN lineitem ON o_orderkey = l_orderkey)
+  SELECT o_orderkey, o_custkey, 'create' AS event, t, 0 AS seq, o_orderkey % 50 + 10 AS total, NULL AS failed, NULL AS label FROM o WHERE o_orderkey % 97 <> 0
+  UNION ALL
+  SELECT o_orderkey, o_custkey, 'row', t + to_seconds(l_linenumber * 7 + CASE WHEN (o_orderkey + l_linenumber) % 11 = 0 THEN 20 ELSE 0 END), l_linenumber * 10000000 + l_partkey, NULL,
+         l_returnflag = 'R', 'p' || CAST(l_suppkey % 3 AS VARCHAR) || '/m #' || CAST(l_partkey AS VARCHAR) FROM li
+  UNION ALL
+  SELECT o_orderkey, o_custkey, 'resume', t + to_seconds(46), 35000000 + l_partkey, CAST(floor(l_quantity) AS BIGINT) + 10, NULL, NULL FROM li WHERE l_linenumber = 3
+  UNION ALL
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderkey % 2 = 0 THEN 'abort' ELSE 'interrupt' END,
+         t + to_seconds(60 + o_orderkey % 30), 100000000, NULL, NULL, NULL FROM o WHERE o_orderstatus <> 'O')
+"""

@@ -37,30 +37,21 @@ def stage_files(df: DataFrame, n_files: int) -> tuple[str, T.StructType]:
     return path, df.schema
 
 
-def stage_files_in_time_order(df: DataFrame, ts_col: str, n_chunks: int) -> tuple[str, T.StructType]:
-    """Write ``df`` as ``n_chunks`` files in event-time order (chunk i holds
-    the i-th quantile range of ``ts_col``), one write per chunk so a file
-    stream with ``maxFilesPerTrigger=1`` replays time in order and a 0-delay
-    watermark never marks a row late. The chunk bounds are a handful of
-    approximate quantiles (a small aggregate), not the data."""
+def replay(df: DataFrame, chunk_col: str, chunks: int, start) -> None:
+    """Let ``df`` arrive in ``chunks`` parts (``chunk_col`` 0, 1, ...), each
+    written by as many tasks as its rows need. After each part ``start(stream)``
+    must start the query, with one checkpoint location for all parts: so it
+    stops and starts again from its checkpoint between them."""
     spark = df.sparkSession
     path = scratch_path(spark, "source")
-    # materialize the input once; the quantiles and every chunk read the files
-    staged = scratch_path(spark, "staged")
-    df.write.parquet(staged)
-    df = spark.read.parquet(staged)
-    qs = [i / n_chunks for i in range(1, n_chunks)]
-    bounds = df.select(F.percentile_approx(F.col(ts_col).cast("double"), qs, 10000)).first()[0] if qs else []
-    edges = [None, *bounds, None]
-    t = F.col(ts_col).cast("double")
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t > lo)
-        if hi is not None:
-            cond = cond & (t <= hi)
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return path, df.schema
+    arriving = scratch_path(spark, "arriving")
+    df.write.partitionBy(chunk_col).parquet(arriving)
+    rest = T.StructType([f for f in df.schema.fields if f.name != chunk_col])
+    for i in range(chunks):
+        part = f"{arriving}/{chunk_col}={i}"
+        if path_exists(spark, part):
+            spark.read.schema(rest).parquet(part).write.mode("append").parquet(path)
+            start(spark.readStream.schema(rest).parquet(path)).awaitTermination()
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -152,11 +143,11 @@ def upsert_sink(
 # --------------------------------------------------------------------------- #
 # I3 orphan reaper (event-time timers)
 # --------------------------------------------------------------------------- #
-def reap_orphans_stream(events: DataFrame, grace_seconds: int = 15, watermark: str = "0 seconds") -> DataFrame:
+def reap_orphans_stream(events: DataFrame, watermark: str, grace_seconds: int = 15) -> DataFrame:
     """I3 (stream): run lifecycle events (create, resume, heartbeat,
     complete, abort, interrupt). A run's activity is an event-time session
     that stays open while events keep arriving within ``grace_seconds`` of
-    each other; when the watermark closes a session, the run's outcome is
+    each other; when the watermark (how late an event may be) closes a session, the run's outcome is
     emitted: the terminal status if the session ended with a terminal event,
     otherwise ``interrupted`` (orphaned: no live owner for the grace period),
     finished at the session end. Native session windows: no per-run Python,
@@ -220,3 +211,122 @@ def run_state_stream(events: DataFrame) -> DataFrame:
         F.count(F.when(F.col("event") == "resume", 1)).alias("n_resumes"),
         F.max(F.when(terminal, F.col("ts"))).alias("finished_at"),
     )
+
+
+# --------------------------------------------------------------------------- #
+# I1, I3, I7 live runs: keyed state with event-time timers
+# --------------------------------------------------------------------------- #
+LIVE_STATE = (
+    "status string, started long, resumed array<long>, finished long, total long, completed long, errors long, label string, "
+    "last long, version long, pending_ts array<long>, pending_seq array<long>, pending_event array<string>, "
+    "pending_total array<long>, pending_failed array<boolean>, pending_label array<string>"
+)
+_LIVE_FIELDS = [f.split()[0] for f in LIVE_STATE.split(", ")]
+_LIVE_ROWS = "status string, started long, resumed array<long>, finished long, total long, completed long, errors long, label string, version long"
+
+
+def fold_run(run: dict | None, events: list[tuple], until: int, grace: int) -> dict | None:
+    """Fold one run's events (ts, seq, event, total, failed, label; in order,
+    none after ``until``) into its state; None: no such run yet. Times are
+    microseconds. See ``live_runs`` for the rules."""
+
+    def reap(now: int) -> None:
+        if run["status"] == "running" and now - run["last"] >= grace:
+            run.update(status="interrupted", finished=run["last"] + grace)
+
+    for ts, _, event, total, failed, label in events:
+        if event == "create":
+            run = {"status": "running", "started": ts, "resumed": [], "finished": None, "total": total, "completed": 0, "errors": 0, "label": None}
+        elif run is None:
+            continue
+        else:
+            reap(ts)
+            if event == "row":
+                run.update(completed=run["completed"] + 1, errors=run["errors"] + bool(failed), label=label)
+            elif event == "resume":
+                # rows that failed are done anew, the others are carried over
+                run.update(status="running", resumed=[*run["resumed"], ts], total=total, completed=run["completed"] - run["errors"], errors=0, label=None)
+            elif event in RUN_EVENT_STATUS:
+                run.update(status=RUN_EVENT_STATUS[event], finished=ts)
+        run["last"] = ts
+    if run is not None:
+        reap(until)
+    return run
+
+
+def _live_run(grace: int):
+    def step(key, frames, state):
+        import pandas as pd
+
+        names = ["ts_us", "seq", "event", "total", "failed", "label"]
+        known = dict(zip(_LIVE_FIELDS, state.get)) if state.exists else None
+        pending = list(zip(*(known[c] for c in _LIVE_FIELDS[10:]))) if known else []
+        run = {c: known[c] for c in _LIVE_FIELDS[:9]} if known and known["status"] is not None else None
+        version = known["version"] if known else 0
+        for f in frames:
+            columns = ([None if x is None or x != x else x for x in f[c].tolist()] for c in names)
+            pending += [(int(t), int(s), e, None if n is None else int(n), b, x) for t, s, e, n, b, x in zip(*columns)]
+        pending.sort(key=lambda e: e[:3])
+        until = state.getCurrentWatermarkMs() * 1000
+        due = [e for e in pending if e[0] <= until]
+        pending = pending[len(due):]
+        before = dict(run) if run else None
+        run = fold_run(run, due, until, grace)
+        changed = run is not None and run != before
+        timers = ([pending[0][0]] if pending else []) + ([run["last"] + grace] if run and run["status"] == "running" else [])
+        columns = [list(c) for c in zip(*pending)] or [[] for _ in names]
+        state.update((*((run or {}).get(c) for c in _LIVE_FIELDS[:9]), version + changed, *columns))
+        if timers:
+            # the first millisecond that isn't before the timer, and after the watermark
+            state.setTimeoutTimestamp(max(-(-min(timers) // 1000), until // 1000 + 1))
+        if changed:
+            yield pd.DataFrame({**{k: [v] for k, v in zip(("experiment_id", "run_id"), key)}, **{c: [run[c]] for c in _LIVE_FIELDS[:8]}, "version": [version + 1]})
+
+    return step
+
+
+def live_runs(events: DataFrame, watermark: str, grace_seconds: int = 15) -> DataFrame:
+    """I1, I3, I7 (stream): a change log of run states. events(experiment_id,
+    run_id, event, ts timestamp, seq, total, failed, label) may come in any
+    order; an event may be late by ``watermark``, and later ones are dropped
+    (Spark counts them in numRowsDroppedByWatermark).
+
+    An event waits in its run's state until the watermark reaches it and is
+    then applied in the order of (ts, seq, event):
+    create: a new run, running, no rows, ``total`` tasks; row: one task is done
+    (``failed``: with an error), ``label`` is the current one; resume: running
+    again, one more resume time, a new ``total``, failed rows don't count any
+    more; complete, abort, interrupt: that status and end. Before a create
+    they are without effect. A running run without an event for
+    ``grace_seconds`` is interrupted at the end of these (an event-time timer
+    of its key). Each change is one row; the highest ``version`` of a run is
+    its state at the watermark (``latest_states``). Output mode update.
+
+    The state of a run holds its events of the last ``watermark`` only."""
+    rows = events.withWatermark("ts", watermark).select(
+        "experiment_id", "run_id", "ts", F.unix_micros("ts").alias("ts_us"), F.col("seq").cast("long").alias("seq"), "event",
+        F.col("total").cast("long").alias("total"), "failed", "label",
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    out = f"experiment_id {kinds['experiment_id']}, run_id {kinds['run_id']}, {_LIVE_ROWS}"
+    log = rows.groupBy("experiment_id", "run_id").applyInPandasWithState(_live_run(grace_seconds * 1_000_000), out, LIVE_STATE, "update", "EventTimeTimeout")
+    return log.select(
+        "experiment_id", "run_id", "status", F.timestamp_micros("started").alias("started_at"), F.transform("resumed", F.timestamp_micros).alias("resumed_at"),
+        F.timestamp_micros("finished").alias("finished_at"), "total", "completed", "errors", F.col("label").alias("current_label"), "version",
+    )
+
+
+def append_log(log: DataFrame, target: str, checkpoint: str):
+    """Start writing a change log (update mode) to a table, once for each
+    micro-batch: a batch that is done again takes the place of its first try."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return log.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def latest_states(log: DataFrame, keys: Sequence[str] = ("experiment_id", "run_id")) -> DataFrame:
+    """The last state of each run in a change log."""
+    rest = [c for c in log.columns if c not in (*keys, "version", "batch")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("s")).select(*keys, "s.*")

@@ -60,7 +60,7 @@ def test_reaper_stream(spark):
         "experiment_id string, run_id string, event string, ts timestamp, seq int",
     )
     path, schema = J.stage_files(ev, 1)
-    out = J.drain_to_table(J.reap_orphans_stream(J.file_stream(spark, path, schema), grace_seconds=15), "append")
+    out = J.drain_to_table(J.reap_orphans_stream(J.file_stream(spark, path, schema), "0 seconds", grace_seconds=15), "append")
     got = {r.run_id: r.status for r in out.collect()}
     assert got.get("done") == "completed"
     # the watermark (100 s) passed lost's deadline (15 s) -> interrupted; late is still inside its window
@@ -80,3 +80,52 @@ def test_deployment_stream(spark):
     path, schema = J.stage_files(lines, 2)
     out = J.drain_to_table(J.deployment_stream(J.file_stream(spark, path, schema)), "complete")
     assert {r.deployment: (r.status, r.finished) for r in out.collect()} == {"d1": ("Deployed", True), "d2": ("Deploying", False)}
+
+
+def test_live_runs_out_of_order_late_and_restarted(spark):
+    """Three parts with a restart between them; watermark of 100 s."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    rows = [
+        # run a: parts out of order, a failed row redone after a resume
+        (1, "a", "create", 0, 0, 4, None, None), (0, "a", "row", 2, 1, None, True, "p/m #1"), (0, "a", "row", 5, 2, None, False, "p/m #2"),
+        (1, "a", "interrupt", 9, 3, None, None, None), (2, "a", "resume", 250, 4, 6, None, None), (1, "a", "row", 252, 5, None, False, "p/m #1"), (2, "a", "complete", 260, 6, None, None, None),
+        # run b: orphaned after its first row, then rows again without a resume
+        (0, "b", "create", 0, 0, 9, None, None), (0, "b", "row", 10, 1, None, False, "x"), (1, "b", "row", 40, 2, None, True, "y"),
+        # run c: no create
+        (0, "c", "row", 1, 0, None, False, "z"), (0, "c", "complete", 2, 1, None, None, None),
+        # run d: alive at the watermark, what follows is not there yet
+        (2, "d", "create", 290, 0, 2, None, None), (2, "d", "row", 304, 1, None, False, "u"), (2, "d", "complete", 306, 2, None, None, None),
+        # run e: its second row comes 100 s after the watermark went by
+        (0, "e", "create", 1, 0, 2, None, None), (0, "e", "row", 3, 1, None, False, "v"), (2, "e", "row", 4, 2, None, False, "lost"),
+        # others: they move the watermark
+        (0, "z", "create", 90, 0, 1, None, None), (1, "z", "complete", 300, 1, None, None, None), (2, "z", "row", 405, 2, None, False, "w"),
+    ]
+    ev = spark.createDataFrame(
+        [(p, "exp", r, e, at(s), q, n, f, x) for p, r, e, s, q, n, f, x in rows],
+        "part int, experiment_id string, run_id string, event string, ts timestamp, seq int, total int, failed boolean, label string",
+    )
+    target, ckpt = J.scratch_path(spark, "log"), J.scratch_path(spark, "ckpt")
+    J.replay(ev, "part", 3, lambda s: J.append_log(J.live_runs(s, "100 seconds", grace_seconds=15), target, ckpt))
+    log = spark.read.parquet(target)
+    got = {r.run_id: r for r in J.latest_states(log).collect()}
+    assert set(got) == {"a", "b", "d", "e", "z"}
+    state = lambda r: (got[r].status, got[r].started_at, got[r].resumed_at, got[r].finished_at, got[r].total, got[r].completed, got[r].errors, got[r].current_label)
+    assert state("a") == ("completed", at(0), [at(250)], at(260), 6, 2, 0, "p/m #1")
+    assert state("b") == ("interrupted", at(0), [], at(25), 9, 2, 1, "y")
+    assert state("d") == ("running", at(290), [], None, 2, 1, 0, "u")
+    assert state("e") == ("interrupted", at(1), [], at(18), 2, 1, 0, "v")
+    assert state("z") == ("completed", at(90), [], at(300), 1, 0, 0, None)
+    # every run's versions count from 1 without gaps
+    versions = log.groupBy("run_id").agg(F.max("version").alias("m"), F.count("*").alias("n")).collect()
+    assert all(r.m == r.n for r in versions)
+
+
+def test_fold_run_applies_rules_in_order():
+    sec = 1_000_000
+    run = J.fold_run(None, [(0, 0, "complete", None, None, None), (sec, 0, "create", 3, None, None), (2 * sec, 0, "row", None, True, "l")], 3 * sec, 15 * sec)
+    assert (run["status"], run["total"], run["completed"], run["errors"], run["label"]) == ("running", 3, 1, 1, "l")
+    run = J.fold_run(run, [], 17 * sec, 15 * sec)
+    assert (run["status"], run["finished"]) == ("interrupted", 17 * sec)
+    run = J.fold_run(run, [(20 * sec, 1, "resume", 5, None, None)], 21 * sec, 15 * sec)
+    assert (run["status"], run["total"], run["completed"], run["errors"], run["label"], run["resumed"]) == ("running", 5, 0, 0, None, [20 * sec])
