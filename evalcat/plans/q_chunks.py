@@ -238,30 +238,40 @@ _RENDERED_SQL = (
 
 @register(
     "j2_h6_judge_scores",
-    f"WITH v1 AS ({V1_SQL}), r AS (SELECT result_id, weight, length({_RENDERED_SQL}) AS n FROM v1)"
+    f"WITH v1 AS ({V1_SQL}), r AS (SELECT result_id, weight, output, result_id % 13 = 0 AS no_output, result_id % 17 = 0 AS no_judge, length({_RENDERED_SQL}) AS n FROM v1)"
     + """
-SELECT result_id,
-       CASE WHEN n % 11 = 0 THEN 'error' ELSE 'completed' END AS status,
-       CASE WHEN n % 11 = 0 THEN CAST(0 AS DOUBLE)
+, s AS (SELECT *, no_output OR no_judge OR n % 11 = 0 AS bad,
+        CASE WHEN no_output OR no_judge OR n % 11 = 0 THEN NULL WHEN n % 5 = 0 THEN 'I would say ' || CAST(n % 9 AS VARCHAR) || ' out of 5'
+             ELSE '{"score": ' || CAST(n % 6 AS VARCHAR) || ', "score_reason": "len ' || CAST(n AS VARCHAR) || '"}' END AS judge_text FROM r)
+SELECT result_id, judge_text,
+       CASE WHEN no_output THEN 'ERROR: timeout'
+            WHEN no_judge THEN output || chr(10) || chr(10) || '[JUDGE ERROR: Judge provider "gone" not found in providers.json]'
+            WHEN n % 11 = 0 THEN output || chr(10) || chr(10) || '[JUDGE ERROR: judge unavailable]' ELSE output END AS output,
+       CASE WHEN bad THEN 'error' ELSE 'completed' END AS status,
+       CASE WHEN bad THEN CAST(0 AS DOUBLE)
             WHEN n % 5 = 0 THEN round_even(least(CAST(5 AS DOUBLE), CAST(n % 9 AS DOUBLE)) / 5 * weight * 100, 0) / 100
             ELSE round_even(CAST(n % 6 AS DOUBLE) / 5 * weight * 100, 0) / 100 END AS score,
-       CASE WHEN n % 11 = 0 THEN NULL
-            WHEN n % 5 = 0 THEN '[unparseable judge response] I would say ' || CAST(n % 9 AS VARCHAR) || ' out of 5'
+       CASE WHEN bad THEN NULL WHEN n % 5 = 0 THEN '[unparseable judge response] ' || judge_text
             ELSE 'len ' || CAST(n AS VARCHAR) END AS score_reason
-FROM r
+FROM s
 """,
 )
 def j2_h6_judge_scores(spark, sf_dir):
-    """J2 + H6 + H7: render the judge prompt, call the (stand-in) judge,
-    parse strictly with the number fallback, isolate judge errors (B9).
+    """J2 + H6 + H7: look up the judge's provider, render the judge prompt,
+    call the (stand-in) judge on what was generated, parse strictly with the
+    number fallback, isolate judge errors (B9). Every 13th generation failed
+    and isn't judged, every 17th row names a provider that isn't configured.
     The stand-in is deterministic, so the oracle recomputes its verdicts."""
-    r = v1_results(spark, sf_dir).select("result_id", "output", "weight", F.col("output").alias("prompt"))
-    r = r.withColumn("gen_error", F.lit(None).cast("string")).withColumn("max_score", F.lit(5)).withColumn("expected_output", F.lit("n/a"))
+    failed, lost = F.col("result_id") % 13 == 0, F.col("result_id") % 17 == 0
+    r = v1_results(spark, sf_dir).select("result_id", "output", "weight", "provider", F.col("output").alias("prompt"))
+    r = r.withColumn("gen_error", F.when(failed, F.lit("timeout"))).withColumn("max_score", F.lit(5)).withColumn("expected_output", F.lit("n/a"))
+    providers = r.select(F.col("provider").alias("name")).distinct()
+    r = INF.with_judge_provider(r.withColumn("judge_provider", F.when(lost, F.lit("gone")).otherwise(F.col("provider"))), providers)
     r = r.withColumn(
         "judge_prompt", S.render_prompt(F.lit(S.DEFAULT_JUDGE_PROMPT), F.col("prompt"), F.col("output"), F.col("expected_output"), F.col("max_score"))
     )
     judged = INF.materialize(INF.judge(r, _echo_judge, "judge_prompt", concurrency=8), "j2_judge")
-    return INF.score_outputs(judged, judged=True).select("result_id", "status", "score", "score_reason")
+    return INF.score_outputs(judged, judged=True).select("result_id", "judge_text", "output", "status", "score", "score_reason")
 
 
 @register(
@@ -304,57 +314,55 @@ def j4_h43_answer_queries(spark, sf_dir):
 
 
 def _j6_sql() -> str:
+    from evalcat.operators.codeeval import PROMPT_TEMPLATE
     from evalcat.plans.adapters import V4_SQL
 
     nl2 = "chr(10) || chr(10)"
-    prompt = (
-        f"array_to_string(list_concat(CASE WHEN len(r.ctx) > 0 THEN r.ctx[1:len(r.ctx) - 1] ELSE [] END, "
-        f"[s.step_description_prompt, s.function_header, s.return_line]), {nl2})"
-    )
-    first_prompt = f"s.step_description_prompt || {nl2} || s.function_header || {nl2} || s.return_line"
-
-    def code(p: str) -> str:
+    quoted = PROMPT_TEMPLATE.replace("'", "''")
+    pre, rest = quoted.split("{problem_steps_str}")
+    mid, rest = rest.split("{next_step_str}")
+    mid2, post = rest.split("{dependencies}")
+
+    def row(context: str) -> str:
+        """What a step comes to: n is the length of system prompt and prompt."""
+        prompt = f"'{pre}' || {context} || '{mid}' || s.about || {nl2} || s.function_header || {nl2} || s.return_line || '{mid2}' || s.required_dependencies || '{post}'"
+        n = f"length(s.system_prompt || {prompt})"
         return (
-            f"CASE WHEN s.given_code IS NOT NULL THEN s.given_code WHEN length({p}) % 3 = 0 THEN chr(10) "
-            f"ELSE 'def f():' || chr(10) || '    return ' || CAST(length({p}) AS VARCHAR) || chr(10) END"
+            f"CASE WHEN s.given_code IS NOT NULL THEN s.given_code WHEN {n} % 17 = 0 THEN NULL WHEN {n} % 3 = 0 THEN chr(10) "
+            f"ELSE 'def f():' || chr(10) || '    return ' || CAST({n} AS VARCHAR) || chr(10) END AS code, "
+            f"CASE WHEN s.given_code IS NOT NULL THEN 0 WHEN {n} % 17 <> 0 AND {n} % 3 = 0 THEN 3 ELSE 1 END AS attempts, "
+            f"CASE WHEN s.given_code IS NULL AND {n} % 17 = 0 THEN 'provider timeout' END AS error"
         )
 
-    def attempts(p: str) -> str:
-        return f"CASE WHEN s.given_code IS NOT NULL THEN 0 WHEN length({p}) % 3 = 0 THEN 3 ELSE 1 END"
-
     return f"""
 WITH RECURSIVE steps AS (
-  SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY step_idx) - 1 AS k FROM ({V4_SQL})),
+  SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY step_idx) - 1 AS k, CASE WHEN length(problem_id) % 2 = 0 THEN 'You write code.' ELSE '' END AS system_prompt,
+         step_description_prompt || CASE WHEN step_background <> '' THEN {nl2} || 'Background:' || chr(10) || step_background ELSE '' END AS about
+  FROM ({V4_SQL})),
 r AS (
-  SELECT s.problem_id, s.k, s.step_idx, {code(first_prompt)} AS code, {attempts(first_prompt)} AS attempts,
-         [s.step_description_prompt, {code(first_prompt)}, '------'] AS ctx
-  FROM steps s WHERE s.k = 0
+  SELECT problem_id, k, step_idx, code, attempts, error, about || {nl2} || code AS ctx FROM (SELECT s.problem_id, s.k, s.step_idx, s.about, {row("''")} FROM steps s WHERE s.k = 0)
   UNION ALL
-  SELECT s.problem_id, s.k, s.step_idx, {code(prompt)}, {attempts(prompt)},
-         list_concat(r.ctx, [s.step_description_prompt, {code(prompt)}, '------'])
-  FROM r JOIN steps s ON s.problem_id = r.problem_id AND s.k = r.k + 1)
-SELECT 'stand-in' AS model, problem_id, step_idx, code, CAST(attempts AS BIGINT) AS attempts FROM r
+  SELECT problem_id, k, step_idx, code, attempts, error, before || {nl2} || '------' || {nl2} || about || {nl2} || code AS ctx
+  FROM (SELECT s.problem_id, s.k, s.step_idx, s.about, r.ctx AS before, {row("r.ctx")}
+        FROM r JOIN steps s ON s.problem_id = r.problem_id AND s.k = r.k + 1 WHERE r.error IS NULL))
+SELECT 'stand-in' AS model, problem_id, step_idx, code, CAST(attempts AS BIGINT) AS attempts, error FROM r
 """
 
 
 @register("j6_generate_steps", _j6_sql())
 def j6_generate_steps(spark, sf_dir):
-    """Per-problem sequential step generation with a stand-in model that
-    answers blank for every third prompt length (exercising the retries)."""
+    """Step-wise generation, a round for each step, with a stand-in model
+    that answers blank for every third length of system prompt and prompt
+    (exercising the retries) and fails for every 17th."""
     from evalcat.plans.adapters import v4_steps
 
     steps = v4_steps(spark, sf_dir).withColumn("model", F.lit("stand-in"))
+    steps = steps.withColumn("system_prompt", F.when(F.length("problem_id") % 2 == 0, F.lit("You write code.")).otherwise(F.lit("")))
 
-    def model(prompt: str) -> str:
-        if len(prompt) % 3 == 0:
-            return "```python\n\n```"
-        return "```python\ndef f():\n    return %d\n```" % len(prompt)
-
-    def extract(text: str) -> str:
-        import re
-
-        blocks = re.findall(r"```python\b[ \t]*\r?\n?(.*?)```", text, re.DOTALL)
-        filled = [b for b in blocks if b.strip()]
-        return filled[-1] if filled else (blocks[-1] if blocks else text)
+    def model(system_prompt: str, messages: list[dict]) -> str:
+        n = len(system_prompt) + len(messages[-1]["content"])
+        if n % 17 == 0:
+            raise RuntimeError("provider timeout")
+        return "```python\n\n```" if n % 3 == 0 else "```python\ndef f():\n    return %d\n```" % n
 
-    return INF.generate_steps(steps, model, extract, retries=2)
+    return INF.generate_steps(steps, model, retries=2)
