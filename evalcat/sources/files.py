@@ -2,24 +2,26 @@
 A18).
 
 Row order in a file matters to the reference (first N examples, result ids),
-so every scan that needs it attaches an explicit ``ordinal`` computed from
-(file path, position inside the file) with the distributed row index, never
-from a single-partition window.
+so every scan that needs it attaches an explicit ``ordinal``: places in files
+come from counts per split (``positions``), without sorting rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalcat.functions.scoring import is_finite, num_text
 from evalcat.functions.text import strip
 from evalcat.operators import examples as EX
+from evalcat.operators.inference import materialize
 from evalcat.operators.ranking import with_row_index
 from evalcat.operators.runs import latest_runs
+from evalcat.sources.positions import csv_records, offsets, text_splits, with_place
 
 # Fixed value: the result table's column order.
 RESULT_COLUMNS = (
@@ -59,17 +61,6 @@ _CSV_WRITE = {
 }
 
 
-def _file_order(df: DataFrame) -> DataFrame:
-    """Attach ``_file``, ``_start`` (byte offset of the split) and ``_pos``
-    (position inside the split's task, which reads the split in order), so
-    (_file, _start, _pos) is file order."""
-    return (
-        df.withColumn("_file", F.col("_metadata.file_path"))
-        .withColumn("_start", F.col("_metadata.file_block_start"))
-        .withColumn("_pos", F.monotonically_increasing_id())
-    )
-
-
 # --------------------------------------------------------------------------- #
 # examples (A1, A2, A18)
 # --------------------------------------------------------------------------- #
@@ -77,65 +68,90 @@ def read_examples(spark: SparkSession, path: str, mode: str = "failfast") -> Dat
     """A1/A2: example rows with a file-order ``ordinal``. A name ending in
     ``.jsonl`` (any case) is JSON lines; anything else is CSV.
 
-    JSONL: blank lines are skipped; a line that is not JSON fails the load
-    with its 1-based line number (``mode="failfast"``), or, with
-    ``mode="quarantine"``, (good, bad) DataFrames are returned where bad
-    carries ``line_no`` and ``error``. Rows go through B2 validation."""
-    if path.lower().endswith(".jsonl"):
-        return _read_jsonl(spark, path, mode)
-    return _read_csv_examples(spark, path)
-
-
-def _read_jsonl(spark: SparkSession, path: str, mode: str):
-    raw = _file_order(spark.read.text(path))
-    raw = with_row_index(raw, ["_file", "_start", "_pos"], "_line").withColumn("line_no", F.col("_line") + 1)
+    A row that can't be taken (a line that isn't JSON, B2 validation; in CSV an
+    ``example_id`` that is no whole number or a ``weight`` that is no number)
+    fails the load with the first such error in file order
+    (``mode="failfast"``), or, with ``mode="quarantine"``, (good, bad)
+    DataFrames are returned where bad carries ``line_no`` (CSV: the record's
+    number, the header being 0) and ``error``. Blank lines are skipped."""
+    read = _read_jsonl if path.lower().endswith(".jsonl") else _read_csv_examples
+    good, bad = read(spark, path)
+    if mode == "quarantine":
+        return good, bad
+    first = bad.agg(F.min_by("error", "line_no")).first()[0]
+    if first is not None:
+        raise ValueError(first)
+    return good
+
+
+@contextmanager
+def _last_key_wins(spark: SparkSession):
+    """While plans with a JSON parser are built: of equal keys the last counts."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    raw = text_splits(spark, path)
+    line_of = offsets(raw)
     lines = raw.where(strip(F.col("value")) != "")
-    parsed = lines.withColumn("_v", F.try_parse_json(strip(F.col("value"))))
-    bad_json = parsed.where(F.col("_v").isNull())
-    if mode == "failfast":
-        first = bad_json.orderBy("line_no").select("line_no").limit(1).collect()
-        if first:
-            raise ValueError(f"JSONL line {first[0][0]}: invalid JSON")
-    checked = parsed.where(F.col("_v").isNotNull()).withColumn("error", EX.validation_error(F.col("_v")))
-    if mode == "failfast":
-        bad = checked.where(F.col("error").isNotNull()).orderBy("line_no").select("error").limit(1).collect()
-        if bad:
-            raise ValueError(bad[0][0])
-    good = EX.normalize_examples(checked.where(F.col("error").isNull()).drop("error"), "value")
-    good = with_row_index(good, ["line_no"], "ordinal").drop("_file", "_start", "_pos", "_line")
-    if mode == "failfast":
-        return good
-    bad_rows = bad_json.select("line_no", F.lit("invalid JSON").alias("error"), "value").unionByName(
-        checked.where(F.col("error").isNotNull()).select("line_no", "error", "value")
-    )
-    return good, bad_rows
-
-
-def _read_csv_examples(spark: SparkSession, path: str) -> DataFrame:
-    df = _file_order(spark.read.options(**_CSV_READ).csv(path))
-    for c in ("prompt", "expected_output", "weight"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    w = F.trim(F.coalesce(F.col("weight"), F.lit("")))
-    out = df.select(
-        "_file",
-        "_start",
-        "_pos",
-        F.col("example_id").try_cast("long").alias("example_id"),
+    with _last_key_wins(spark):
+        parsed = lines.withColumn("_v", F.try_parse_json(strip(F.col("value"))))
+        checked = parsed.withColumn("_error", F.when(F.col("_v").isNotNull(), EX.validation_error(F.col("_v"))))
+    ok = checked.where(F.col("_v").isNotNull() & F.col("_error").isNull()).withColumn("_ok", F.monotonically_increasing_id())
+    good = with_place(with_place(ok, line_of, "line_no"), offsets(ok, "_ok"), "ordinal", "_ok").withColumn("line_no", F.col("line_no") + 1)
+    good = EX.normalize_examples(good.drop("_file", "_start", "_at", "_ok", "_error"), "value")
+    bad = with_place(checked.where(F.col("_v").isNull() | F.col("_error").isNotNull()), line_of, "line_no").withColumn("line_no", F.col("line_no") + 1)
+    error = F.coalesce("_error", F.concat(F.lit("JSONL line "), F.col("line_no").cast("string"), F.lit(": invalid JSON")))
+    return good, bad.select("line_no", error.alias("error"), "value")
+
+
+def _read_csv_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    records = materialize(csv_records(spark, path), "csv-records")
+    # a row per file
+    heads = records.where("_row = 0").select(F.col("_file").alias("_f"), F.col("cells").alias("_names"))
+    rows = records.where("_row > 0").join(heads, F.col("_file") == F.col("_f"))
+    cell = lambda name: F.get("cells", F.array_position("_names", F.lit(name)).cast("int") - 1)
+    plain = lambda c: F.regexp_replace(strip(c), r"(?<=\d)_(?=\d)", "")
+    id_text, w = plain(cell("example_id")), plain(F.coalesce(cell("weight"), F.lit("")))
+    example_id = F.when(id_text.rlike(r"^[+-]?\d+$"), id_text.try_cast("long"))
+    number = w.rlike(r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$") | w.rlike(r"(?i)^[+-]?(nan|inf|infinity)$")
+    weight = F.when(w == "", F.lit(1.0)).when(number, w.try_cast("double"))
+    files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = records.groupBy("_file").agg((F.max("_row")).alias("n"))
+    before = counts.select(F.col("_file").alias("_g"), F.coalesce(F.sum("n").over(files), F.lit(0)).alias("_before"))
+    typed = rows.join(before, F.col("_file") == F.col("_g")).select(
+        (F.col("_before") + F.col("_row")).alias("line_no"),
+        example_id.alias("example_id"),
         F.array(
             F.struct(
                 F.lit("user").alias("role"),
-                F.coalesce(F.col("prompt"), F.lit("")).alias("content"),
+                F.coalesce(cell("prompt"), F.lit("")).alias("content"),
                 F.lit(None).cast("string").alias("tool_calls"),
                 F.lit(None).cast("string").alias("tool_call_id"),
                 F.lit(None).cast("string").alias("name"),
             )
         ).alias("messages"),
         F.lit(None).cast("string").alias("system_prompt"),
-        F.coalesce(F.col("expected_output"), F.lit("")).alias("expected_output"),
-        F.when(w == "", F.lit(1.0)).otherwise(w.try_cast("double")).alias("weight"),
+        F.coalesce(cell("expected_output"), F.lit("")).alias("expected_output"),
+        weight.alias("weight"),
+        F.when(example_id.isNull(), F.concat(F.lit("CSV record "), (F.col("_before") + F.col("_row")).cast("string"), F.lit(": example_id is no whole number")))
+        .when(weight.isNull(), F.concat(F.lit("CSV record "), (F.col("_before") + F.col("_row")).cast("string"), F.lit(": weight is no number")))
+        .alias("error"),
+        F.array_join("cells", ",", "").alias("value"),
     )
-    return with_row_index(out, ["_file", "_start", "_pos"], "ordinal").drop("_file", "_start", "_pos")
+    lost = typed.where("error IS NOT NULL").select("line_no", "error", "value")
+    good = typed.where("error IS NULL").drop("error", "value")
+    if lost.isEmpty():
+        good = good.withColumn("ordinal", F.col("line_no") - 1)
+    else:  # quarantined rows leave gaps: only then are the others counted anew
+        good = with_row_index(good, ["line_no"], "ordinal")
+    return good.drop("line_no"), lost
 
 
 def count_examples(spark: SparkSession, path: str) -> int:

@@ -1,8 +1,11 @@
+import csv
+import io
 import uuid
 
 import pytest
 
 from evalcat.sources import files as SRC
+from evalcat.sources.positions import csv_records
 
 
 def _dir(spark):
@@ -90,3 +93,69 @@ def test_ws_table_and_artifacts(spark, tmp_path):
     (a / "3.yaml").write_text("kind: Other")
     got = [r.name for r in SRC.read_artifacts(spark, str(a), ["kind: Bundle", "spec:"]).collect()]
     assert got == ["1.yaml", "2.yaml"]
+
+
+def _small_splits(spark, n):
+    """Let files be read in splits of about n bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    return lambda: [spark.conf.set(k, v) for k, v in before.items()]
+
+
+@pytest.mark.parametrize("split", [25, 300, 128 << 20])
+def test_csv_records_equal_the_csv_module_in_any_splits(spark, tmp_path, split):
+    """Quoted line ends, commas and quotes over the ends of splits; a quote
+    inside an unquoted field is a character."""
+    cells = ["a", "", 'say ""hi""', "multi\nline\n\nend", "x,y", "\n\n", 'odd"quote', "tail ", "é" * 9, "\n" * 60]
+    rows = [["example_id", "prompt", "expected_output", "weight"]]
+    rows += [[str(i), cells[i % 10].replace('""', '"'), cells[(i * 7 + 3) % 10].replace('""', '"'), "" if i % 3 else "2.5"] for i in range(40)]
+    quote = lambda c: c if not any(x in c for x in ',\n') and not c.startswith('"') else '"' + c.replace('"', '""') + '"'
+    text = "\r\n".join(",".join(map(quote, r)) for r in rows[:20]) + "\n\n\n" + "\n".join(",".join(map(quote, r)) for r in rows[20:])
+    p = tmp_path / "set.csv"
+    p.write_bytes(text.encode())
+    want = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+    assert len(want) == len(rows)
+    back = _small_splits(spark, split)
+    try:
+        got = {r._row: list(r.cells) for r in csv_records(spark, str(p)).collect()}
+        ex = SRC.read_examples(spark, str(p)).orderBy("ordinal").collect()
+    finally:
+        back()
+    assert got == dict(enumerate(want))
+    assert [(r.ordinal, r.example_id, r.messages[0].content, r.expected_output) for r in ex] == [(i, i, r[1], r[2]) for i, r in enumerate(want[1:])]
+
+
+def test_csv_bad_rows(spark, tmp_path):
+    p = tmp_path / "set.csv"
+    p.write_text('example_id,prompt,weight\n 1_0 ,"a\nb",1e2\n2.5,c,\n3,d,heavy\n+4,e,nan\n,f,\n')
+    with pytest.raises(ValueError, match="CSV record 2: example_id"):
+        SRC.read_examples(spark, str(p))
+    good, bad = SRC.read_examples(spark, str(p), mode="quarantine")
+    rows = good.orderBy("ordinal").collect()
+    assert [(r.ordinal, r.example_id, r.messages[0].content) for r in rows] == [(0, 10, "a\nb"), (1, 4, "e")] and rows[0].weight == 100.0 and rows[1].weight != rows[1].weight
+    assert sorted((r.line_no, r.error.split(": ")[1]) for r in bad.collect()) == [(2, "example_id is no whole number"), (3, "weight is no number"), (5, "example_id is no whole number")]
+
+
+@pytest.mark.parametrize("split", [16, 128 << 20])
+def test_jsonl_first_error_in_file_order_and_last_key(spark, tmp_path, split):
+    p = tmp_path / "set.jsonl"
+    p.write_text('{"example_id": 1, "prompt": "a", "prompt": "b"}\n  \n\n{"example_id": 2, "prompt": "c\\n"}\n{"example_id": 3}\nnot json\n{"example_id": 4, "prompt": "d"}')
+    back = _small_splits(spark, split)
+    try:
+        with pytest.raises(ValueError, match="row 3: either"):
+            SRC.read_examples(spark, str(p))
+        good, bad = SRC.read_examples(spark, str(p), mode="quarantine")
+        assert [(r.line_no, r.ordinal, r.example_id, r.messages[0].content) for r in good.orderBy("ordinal").collect()] == [(1, 0, 1, "b"), (4, 1, 2, "c\n"), (7, 2, 4, "d")]
+        assert sorted((r.line_no, r.error) for r in bad.collect()) == [(5, 'row 3: either "prompt" or "messages" is required'), (6, "JSONL line 6: invalid JSON")]
+    finally:
+        back()
+
+
+def test_lines_end_quoted():
+    from evalcat.sources.positions import ends_quoted
+
+    cases = {'a,b': (False, False), '"a': (True, False), 'a"b': (False, False), '"a""': (True, False), '"a"",': (True, False), ',"': (True, False), '"a"b"c,': (False, False), '"a", "b': (False, False)}
+    for line, (out, _) in cases.items():
+        assert ends_quoted(line, False) == out, line
+    assert ends_quoted("x", True) and not ends_quoted('x"', True) and ends_quoted('x","y', True)
