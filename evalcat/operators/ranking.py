@@ -14,8 +14,8 @@ Both are computed here from one range-partitioned sort instead:
    partitions by its order value.
 2. Each row gets ``_pid`` (partition id) and ``_li`` (index inside the sorted
    partition, taken from ``monotonically_increasing_id``).
-   The sorted table is persisted once so both uses below see the same
-   partition bounds.
+   The sorted table is written once so both uses below see the same
+   partition bounds, and nothing stays cached.
 3. A tiny table ``(pid, group) -> first _li, count`` (one row per partition and
    group present in it) gives every (pid, group) slice the number of rows of
    that group in earlier partitions: a running sum over a table whose size is
@@ -32,10 +32,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalcat.operators.inference import materialize
+
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -69,13 +70,11 @@ def sorted_positions(
         .withColumn(
             "_li", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
         )
-        # One physical copy of the sorted table for both the offset table and
-        # the join below: a second evaluation would re-sample the range
-        # bounds (the sampler is seeded by RDD id) and shift partitions.
-        # Lost blocks are rebuilt from the same shuffle dependency, so the
-        # bounds never change within this plan.
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # One copy of the sorted table, written to the shared folder, for both the
+    # offset table and the join below: a second evaluation would re-sample the
+    # range bounds (the sampler is seeded by RDD id) and shift partitions.
+    t = materialize(t, "positions")
     g = t.groupBy("_pid", *group_cols).agg(
         F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_cnt")
     )

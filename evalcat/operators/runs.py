@@ -2,10 +2,9 @@
 E6, D17, G1, G5, I3 batch, I7, A13).
 
 The task grid is the one place where the output is a product: every example
-is evaluated by every configured model. The model list is configuration (one
-entry per model an experiment names), so it is size-checked and fanned out
-with ``posexplode`` of a literal array inside each example partition: no
-join, no shuffle, no pair enumeration beyond the requested output.
+is evaluated by every configured model. Resuming a run never forms it: prior
+rows are joined to the models and to the examples, and what is left to do
+comes from the set of models that each example has done.
 """
 
 from __future__ import annotations
@@ -19,24 +18,23 @@ from evalcat.functions.scoring import is_finite
 
 KEY = ["provider", "model", "example_id"]
 
-# Model lists up to this size are inlined as a literal array (fan-out inside
-# each example partition, no shuffle); longer lists take the bucketed
-# equi-join path of task_grid, which is exact for any size.
-MAX_GRID_MODELS = 4096
-
-
-def model_list(
-    models: DataFrame, order_cols: Sequence[str] = ("model_index",), n: int | None = None
-) -> list[dict]:
-    """Size-checked driver copy of a model configuration table (``n`` is its
-    row count when the caller already has it)."""
-    n = models.count() if n is None else n
-    if n > MAX_GRID_MODELS:
-        raise ValueError(
-            f"model list has {n} entries (> {MAX_GRID_MODELS}); a task grid is "
-            "models x examples, split the experiment instead"
-        )
-    return [r.asDict() for r in models.orderBy(*order_cols).collect()]
+# Models up to which their table is broadcast; longer ones are joined by shuffle.
+BROADCAST_MODELS = 4096
+
+
+def _models(models: DataFrame | Sequence[dict], spark) -> tuple[DataFrame, int]:
+    """(model_index, provider, model), with a broadcast hint if they are few,
+    and their number. A list has its own order."""
+    if not isinstance(models, DataFrame):
+        rows = [(i, m["provider"], m["model"]) for i, m in enumerate(models)]
+        models = spark.createDataFrame(rows, "model_index long, provider string, model string")
+    table = models.select(F.col("model_index").cast("long").alias("model_index"), "provider", "model")
+    n = table.count()
+    return F.broadcast(table) if n <= BROADCAST_MODELS else table, n
+
+
+def _result_id(n: int, ordinal_col: str) -> Column:
+    return (F.col("model_index") * F.lit(n) + F.col(ordinal_col) + 1).alias("result_id")
 
 
 def task_grid(
@@ -49,91 +47,46 @@ def task_grid(
     ``result_id = model_index * n + ordinal + 1``.
 
     ``examples`` carries a dense 0-based ``ordinal`` (see
-    ``ranking.with_row_index``); ``models`` has provider and model columns in
-    the experiment's order (``model_index``)."""
-    if isinstance(models, DataFrame):
-        n_models = models.count()
-        if n_models > MAX_GRID_MODELS:
-            n = n_examples if n_examples is not None else examples.count()
-            return _task_grid_bucketed(examples, models, ordinal_col, n, n_models)
-    rows = model_list(models, n=n_models) if isinstance(models, DataFrame) else list(models)
-    if not rows:
-        return examples.limit(0).select(
-            F.lit(None).cast("long").alias("result_id"),
-            F.lit(None).cast("int").alias("model_index"),
-            F.lit(None).cast("string").alias("provider"),
-            F.lit(None).cast("string").alias("model"),
-            *examples.columns,
-        )
+    ``ranking.with_row_index``); ``models`` has provider, model and a dense
+    0-based ``model_index``. Each example lists the indices of the models, and
+    the models are joined to these by an equi-join: any number of models."""
+    table, n_models = _models(models, examples.sparkSession)
     n = n_examples if n_examples is not None else examples.count()
-    cfg = F.array(
-        *[
-            F.struct(F.lit(r["provider"]).alias("provider"), F.lit(r["model"]).alias("model"))
-            for r in rows
-        ]
-    )
-    g = examples.select("*", F.posexplode(cfg).alias("model_index", "_m"))
-    return g.select(
-        (F.col("model_index").cast("long") * F.lit(n) + F.col(ordinal_col) + 1).alias("result_id"),
-        F.col("model_index").cast("long").alias("model_index"),
-        F.col("_m.provider").alias("provider"),
-        F.col("_m.model").alias("model"),
-        *examples.columns,
-    )
-
-
-def _task_grid_bucketed(examples: DataFrame, models: DataFrame, ordinal_col: str, n: int, n_models: int) -> DataFrame:
-    """C1 for model lists too long to inline: an exact product built as an
-    equi-join. Models fall into B buckets of at most MAX_GRID_MODELS; each
-    example gets a hash bucket k in [0, K) and one row per model bucket; each
-    model is copied to every k. Joining on (k, b) pairs every example with
-    every model exactly once, over K*B join keys, with no cross join and
-    nothing collected. ``models`` has provider, model, model_index."""
-    spark = examples.sparkSession
-    n_buckets = -(-n_models // MAX_GRID_MODELS)
-    k_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    m = models.select(
-        F.col("model_index").cast("long").alias("model_index"),
-        "provider",
-        "model",
-        (F.col("model_index") % n_buckets).alias("_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(k_buckets - 1))).alias("_k"),
-    )
-    e = examples.select(
-        "*",
-        F.pmod(F.xxhash64(F.col(ordinal_col)), F.lit(k_buckets)).alias("_k"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("_b"),
-    )
-    g = e.join(m, ["_k", "_b"], "inner")
-    return g.select(
-        (F.col("model_index") * F.lit(n) + F.col(ordinal_col) + 1).alias("result_id"),
-        "model_index",
-        "provider",
-        "model",
-        *examples.columns,
-    )
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_models - 1).cast("long")) if n_models else F.array().cast("array<long>"))
+    return examples.select("*", each.alias("model_index")).join(table, "model_index").select(_result_id(n, ordinal_col), "model_index", "provider", "model", *examples.columns)
 
 
 def _completed(prior: DataFrame) -> DataFrame:
     return prior.where(F.col("status") == "completed")
 
 
-def carry_completed(grid: DataFrame, prior: DataFrame) -> DataFrame:
-    """Grid rows matched to prior rows on (provider, model, example_id);
-    only ``completed`` priors are carried, re-numbered with the grid's
-    result_id. Joins on the real key columns (no joined-string key)."""
-    p = _completed(prior).drop("result_id")
-    return grid.select("result_id", *KEY).join(p, KEY, "inner")
+def carry_completed(prior: DataFrame, models: DataFrame | Sequence[dict], examples: DataFrame, ordinal_col: str = "ordinal", n_examples: int | None = None) -> DataFrame:
+    """The ``completed`` prior rows (one a key, as the upsert sink keeps
+    them) whose model and example are still asked for, with the result_id of
+    their place in the grid. A model that is listed twice carries a row twice."""
+    table, _ = _models(models, prior.sparkSession)
+    n = n_examples if n_examples is not None else examples.count()
+    kept = _completed(prior).drop("result_id").join(table, ["provider", "model"]).join(examples.select("example_id", ordinal_col), "example_id")
+    return kept.select(_result_id(n, ordinal_col), "model_index", ordinal_col, *KEY, *[c for c in prior.columns if c not in ("result_id", "model_index", ordinal_col, *KEY)])
 
 
-def pending_tasks(grid: DataFrame, prior: DataFrame) -> DataFrame:
-    """Grid rows without a completed prior row (they must be generated)."""
-    return grid.join(_completed(prior).select(*KEY), KEY, "left_anti")
+def pending_tasks(carried: DataFrame, models: DataFrame | Sequence[dict], examples: DataFrame, ordinal_col: str = "ordinal", n_examples: int | None = None) -> DataFrame:
+    """What is left to do when ``carried`` (C2) is done: (result_id,
+    model_index, provider, model, columns of examples). Each example has the
+    set of its done models taken from all models; only the rest becomes rows."""
+    table, n_models = _models(models, carried.sparkSession)
+    n = n_examples if n_examples is not None else examples.count()
+    done = carried.groupBy(F.col(ordinal_col).alias("_of")).agg(F.collect_set("model_index").alias("_done"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n_models - 1).cast("long")) if n_models else F.array().cast("array<long>")
+    rest = F.when(F.col("_done").isNull(), every).otherwise(F.array_except(every, F.col("_done")))
+    open_ = examples.join(done, F.col(ordinal_col) == F.col("_of"), "left").select(*examples.columns, F.explode(rest).alias("model_index"))
+    return open_.join(table, "model_index").select(_result_id(n, ordinal_col), "model_index", "provider", "model", *examples.columns)
 
 
-def prune_prior(prior: DataFrame, grid: DataFrame) -> DataFrame:
-    """C4: prior rows whose key is still in the grid."""
-    return prior.join(grid.select(*KEY), KEY, "left_semi")
+def prune_prior(prior: DataFrame, models: DataFrame | Sequence[dict], examples: DataFrame) -> DataFrame:
+    """C4: prior rows whose model and example are still asked for."""
+    table, _ = _models(models, prior.sparkSession)
+    return prior.join(table.select("provider", "model"), ["provider", "model"], "left_semi").join(examples.select("example_id"), "example_id", "left_semi")
 
 
 def with_provider(tasks: DataFrame, providers: DataFrame) -> DataFrame:

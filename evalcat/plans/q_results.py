@@ -208,7 +208,7 @@ def e6_upsert_latest(spark, sf_dir):
 _GRID_SQL = """
 , models AS (
   SELECT provider, model, row_number() OVER (ORDER BY provider, model) - 1 AS model_index
-  FROM (SELECT DISTINCT provider, model FROM v1 WHERE model <> 'm4'))
+  FROM (SELECT DISTINCT 'p' || CAST(n_nationkey % 3 AS VARCHAR) AS provider, 'm' || CAST(n_nationkey % 4 AS VARCHAR) AS model FROM nation))
 , examples AS (
   SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS ordinal FROM v1)
 , grid AS (
@@ -219,23 +219,21 @@ _GRID_SQL = """
 
 
 def _grid(spark, sf_dir):
+    """Prior rows, the models of the experiment (of which some prior rows'
+    model is none) and the examples."""
     r = v1_results(spark, sf_dir)
-    models = (
-        r.where(F.col("model") != "m4").select("provider", "model").distinct()
-        .withColumn("model_index", F.lit(0))
-    )
-    model_rows = [
-        {"provider": m["provider"], "model": m["model"]}
-        for m in runs.model_list(models, ["provider", "model"])
-    ]
-    examples = with_row_index(r.select("example_id"), ["example_id"], "ordinal")
-    return r, runs.task_grid(examples, model_rows)
+    nation = read_table(spark, sf_dir, "nation")
+    names = nation.select(
+        F.concat(F.lit("p"), (F.col("n_nationkey") % 3).cast("string")).alias("provider"), F.concat(F.lit("m"), (F.col("n_nationkey") % 4).cast("string")).alias("model")
+    ).distinct()
+    models = with_row_index(names, ["provider", "model"], "model_index")
+    return r, models, with_row_index(r.select("example_id"), ["example_id"], "ordinal")
 
 
 @register("c1_task_grid_v1", V1 + _GRID_SQL + "SELECT result_id, model_index, provider, model, example_id FROM grid")
 def c1_task_grid_v1(spark, sf_dir):
-    _, grid = _grid(spark, sf_dir)
-    return grid.select("result_id", "model_index", "provider", "model", "example_id")
+    _, models, examples = _grid(spark, sf_dir)
+    return runs.task_grid(examples, models).select("result_id", "model_index", "provider", "model", "example_id")
 
 
 @register(
@@ -249,9 +247,9 @@ FROM grid g JOIN (SELECT * FROM v1 WHERE status = 'completed') p
 """,
 )
 def c2_carry_completed(spark, sf_dir):
-    r, grid = _grid(spark, sf_dir)
+    r, models, examples = _grid(spark, sf_dir)
     prior = r.withColumn("prior_result_id", F.col("result_id"))
-    return runs.carry_completed(grid, prior).select(
+    return runs.carry_completed(prior, models, examples).select(
         "result_id", "provider", "model", "example_id", "score", "output", "prior_result_id"
     )
 
@@ -267,8 +265,8 @@ WHERE NOT EXISTS (SELECT 1 FROM v1 p WHERE p.status = 'completed' AND p.provider
 """,
 )
 def c3_pending_tasks(spark, sf_dir):
-    r, grid = _grid(spark, sf_dir)
-    return runs.pending_tasks(grid, r).select("result_id", "provider", "model", "example_id")
+    r, models, examples = _grid(spark, sf_dir)
+    return runs.pending_tasks(runs.carry_completed(r, models, examples), models, examples).select("result_id", "provider", "model", "example_id")
 
 
 @register(
@@ -282,8 +280,8 @@ WHERE EXISTS (SELECT 1 FROM grid g WHERE p.provider = g.provider AND p.model = g
 """,
 )
 def c4_prune_prior(spark, sf_dir):
-    r, grid = _grid(spark, sf_dir)
-    return runs.prune_prior(r, grid).select("result_id", "provider", "model", "example_id", "status")
+    r, models, examples = _grid(spark, sf_dir)
+    return runs.prune_prior(r, models, examples).select("result_id", "provider", "model", "example_id", "status")
 
 
 @register(
@@ -305,11 +303,12 @@ SELECT * FROM carried UNION ALL SELECT * FROM fresh
 """,
 )
 def g1_i4_resume_merge(spark, sf_dir):
-    r, grid = _grid(spark, sf_dir)
-    carried = runs.carry_completed(grid, r).select(
+    r, models, examples = _grid(spark, sf_dir)
+    kept = runs.carry_completed(r, models, examples)
+    carried = kept.select(
         "result_id", "provider", "model", "example_id", "output", "score", F.lit("carried").alias("origin")
     )
-    fresh = runs.pending_tasks(grid, r).select(
+    fresh = runs.pending_tasks(kept, models, examples).select(
         "result_id",
         "provider",
         "model",

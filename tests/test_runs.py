@@ -21,11 +21,11 @@ def test_grid_ids_and_resume(spark):
         ],
         "result_id long, status string, provider string, model string, example_id long, output string",
     )
-    carried = R.carry_completed(grid, prior).collect()
-    assert [(r.result_id, r.output) for r in carried] == [(1, "old a10")]
-    pending = sorted(r.result_id for r in R.pending_tasks(grid, prior).collect())
+    carried = R.carry_completed(prior, models, ex)
+    assert [(r.result_id, r.output) for r in carried.collect()] == [(1, "old a10")]
+    pending = sorted(r.result_id for r in R.pending_tasks(carried, models, ex).collect())
     assert pending == [2, 3, 4, 5, 6]
-    assert sorted(r.model for r in R.prune_prior(prior, grid).collect()) == ["a", "a"]
+    assert sorted(r.model for r in R.prune_prior(prior, models, ex).collect()) == ["a", "a"]
 
 
 def test_aggregate_calls_edges(spark):
@@ -108,14 +108,32 @@ def test_run_state_fold(spark):
     assert r.status == "running" and r.started_at == t(0) and r.resumed_at == [t(9)] and r.finished_at == t(5)
 
 
-def test_task_grid_bucketed_path_matches_literal(spark, monkeypatch):
-    ex = spark.range(0, 37).select(F.col("id").alias("example_id"), F.col("id").alias("ordinal"))
-    models = spark.range(0, 11).select(
-        F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("provider"),
-        F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"),
-        F.col("id").alias("model_index"),
+def test_resume_with_five_thousand_models(spark):
+    """More models than are broadcast, one of them listed twice; the plans of
+    a resume hold no product of models and examples."""
+    ex = spark.range(0, 7).select((F.col("id") * 10).alias("example_id"), F.col("id").alias("ordinal"))
+    models = spark.range(0, 5000).select(
+        F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("provider"), F.concat(F.lit("m"), F.least("id", F.lit(4998)).cast("string")).alias("model"), F.col("id").alias("model_index")
+    ).withColumn("provider", F.when(F.col("model_index") >= 4998, "p0").otherwise(F.col("provider")))
+    grid = R.task_grid(ex, models)
+    assert grid.count() == 35_000 and grid.select("result_id").distinct().count() == 35_000
+    assert R.task_grid(ex, []).count() == 0
+    prior = spark.createDataFrame(
+        [(1, "completed", "p0", "m4998", 20, "twice"), (2, "completed", "p1", "m1", 60, "x"), (3, "error", "p1", "m1", 0, "y"), (4, "completed", "p1", "m1", 65, "no example"), (5, "completed", "p0", "m1", 0, "no model")],
+        "result_id long, status string, provider string, model string, example_id long, output string",
     )
-    literal = {tuple(r) for r in R.task_grid(ex, models).select("result_id", "model_index", "model", "example_id").collect()}
-    monkeypatch.setattr(R, "MAX_GRID_MODELS", 4)  # force 3 model buckets
-    bucketed = R.task_grid(ex, models).select("result_id", "model_index", "model", "example_id").collect()
-    assert len(bucketed) == 37 * 11 and {tuple(r) for r in bucketed} == literal
+    carried = R.carry_completed(prior, models, ex)
+    assert sorted((r.result_id, r.output) for r in carried.collect()) == [(1 * 7 + 6 + 1, "x"), (4998 * 7 + 2 + 1, "twice"), (4999 * 7 + 2 + 1, "twice")]
+    pending = R.pending_tasks(carried, models, ex)
+    whole = grid.select("result_id").exceptAll(carried.select("result_id"))
+    assert pending.select("result_id").exceptAll(whole).count() == 0 and pending.count() == 35_000 - 3
+    assert sorted(r.result_id for r in R.prune_prior(prior, models, ex).collect()) == [1, 2, 3]
+    for plan in (carried, R.prune_prior(prior, models, ex)):
+        text = plan._jdf.queryExecution().toString()
+        assert not any(x in text for x in ("Cartesian", "NestedLoop", "Generate"))
+
+
+def test_row_index_leaves_nothing_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with_row_index(spark.range(50), ["id"], "ord").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
