@@ -76,15 +76,24 @@ def halving_sizes(lo, hi, step) -> Column:
     )
 
 
-VERSION_WIDTH = 8
-
-
 def version_key(text) -> Column:
-    """Dotted version -> fixed-width array<double> (missing parts 0,
-    non-numeric parts 0) that orders like the reference's part-wise compare."""
+    """A key of a dotted version, of any number of parts, that orders like
+    the part-wise compare of numbers in which missing and non-numeric parts
+    are 0. Parts that aren't 0 become entries (sign, zeros before it, part),
+    with the zeros counted against the sign, since a run of zeros puts off
+    what follows; the end is an entry between the signs."""
     parts = F.transform(F.split(_c(text), r"\."), lambda p: js_number(p))
-    zeros = F.array_repeat(F.lit(0.0), VERSION_WIDTH)
-    return F.slice(F.concat(parts, zeros), 1, VERSION_WIDTH)
+    entry = lambda sign, zeros, part: F.struct(sign.cast("int").alias("sign"), zeros.cast("int").alias("zeros"), part.cast("double").alias("part"))
+    none = F.array().cast("array<struct<sign:int,zeros:int,part:double>>")
+    start = F.struct(F.lit(0).alias("zeros"), none.alias("entries"))
+
+    def step(state, part):
+        zeros = state["zeros"]
+        more = F.concat(state["entries"], F.array(F.when(part < 0, entry(F.lit(-1), zeros, part)).otherwise(entry(F.lit(1), -zeros, part))))
+        return F.when(part == 0, F.struct((zeros + 1).alias("zeros"), state["entries"].alias("entries"))).otherwise(F.struct(F.lit(0).alias("zeros"), more.alias("entries")))
+
+    entries = F.aggregate(parts, start, step, lambda state: state["entries"])
+    return F.concat(entries, F.array(entry(F.lit(0), F.lit(0), F.lit(0))))
 
 
 def chart_version(chart, prefix: str) -> Column:

@@ -264,35 +264,38 @@ def keep_chosen(selections: DataFrame, chosen_models: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, configs: DataFrame, strict: bool = False) -> DataFrame:
-    """Manifest references ``artifact:version`` per (model, size key)
-    resolved against the config table. Unknown artifacts are skipped (or an
-    error when ``strict``); listed batch sizes explode to rows; a size key
-    ``default`` becomes the smallest configured size of the artifact.
-
-    refs(model, size_key, ref, batch_sizes array<int> or null)."""
+    """Manifest references ``artifact:version`` per (model, size key) to
+    selections (model, ss, artifact, version, bs).
+
+    With listed batch sizes, a row each, of the size key itself; the key
+    ``default`` stands for the smallest configured size of the artifact (of
+    equal ones the last), and stays as it is without a configuration. Without
+    batch sizes, size and batch size are those of the artifact's first entry
+    (``entry_pos``); an artifact without one is skipped, or an error when
+    ``strict``. A reference of another form is always an error.
+
+    refs(model, size_key, ref, batch_sizes array<int> or null);
+    configs(artifact, entry_pos, ss, bs)."""
     parsed = refs.withColumn("_r", K.parse_ref("ref"))
-    if strict:
-        bad = parsed.where(~F.col("_r.valid")).limit(1).count()
-        if bad:
-            raise ValueError("invalid artifact reference")
-    cfg_min = configs.groupBy("artifact").agg(
-        F.min_by("ss", K.size_num(F.col("ss"))).alias("_min_ss"),
-        F.collect_set("bs").alias("_bs_all"),
+    bad = parsed.where(~F.coalesce(F.col("_r.valid"), F.lit(False))).agg(F.min("ref")).first()[0]
+    if bad is not None:
+        raise ValueError(f'Invalid artifact reference: "{bad}" (expecting "name:version")')
+    entries = configs.groupBy(F.col("artifact").alias("_artifact")).agg(
+        F.min_by("ss", F.struct(K.size_num(F.col("ss")).alias("n"), (-F.col("entry_pos")).alias("p"))).alias("_least"),
+        F.min_by(F.struct("ss", "bs"), "entry_pos").alias("_first"),
     )
-    j = parsed.join(cfg_min, F.col("_r.name") == F.col("artifact"), "left")
+    j = parsed.join(entries, F.col("_r.name") == F.col("_artifact"), "left")
+    listed = F.coalesce(F.size("batch_sizes") > 0, F.lit(False))
     if strict:
-        unknown = j.where(F.col("artifact").isNull()).limit(1).count()
-        if unknown:
-            raise ValueError("unknown artifact reference")
-    j = j.where(F.col("artifact").isNotNull() & F.col("_r.valid"))
-    out = j.select(
-        "model",
-        F.when(F.col("size_key") == "default", F.col("_min_ss")).otherwise(F.col("size_key")).alias("ss"),
-        F.col("_r.name").alias("artifact"),
-        F.col("_r.version").alias("version"),
-        F.explode_outer(F.col("batch_sizes")).alias("_b"),
+        unknown = j.where(~listed & F.col("_artifact").isNull()).agg(F.min("_r.name")).first()[0]
+        if unknown is not None:
+            raise ValueError(f'Artifact "{unknown}" not found in the configuration')
+    dynamic = F.struct(
+        F.when(F.col("size_key") == "default", F.coalesce("_least", "size_key")).otherwise(F.col("size_key")).alias("ss"), F.transform("batch_sizes", lambda b: b.cast("string")).alias("bs")
     )
-    return out.select("model", "ss", "artifact", "version", F.col("_b").cast("string").alias("bs"))
+    plain = F.struct(F.col("_first.ss").alias("ss"), F.array("_first.bs").alias("bs"))
+    out = j.where(listed | F.col("_artifact").isNotNull()).withColumn("_s", F.when(listed, dynamic).otherwise(plain))
+    return out.select("model", F.col("_s.ss").alias("ss"), F.col("_r.name").alias("artifact"), F.col("_r.version").alias("version"), F.explode("_s.bs").alias("bs"))
 
 
 def mode_first(df: DataFrame, group_cols: Sequence[str], value_col: str, pos_col: str | Column) -> DataFrame:

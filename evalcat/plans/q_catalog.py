@@ -445,15 +445,14 @@ def d16_rename_min_key(spark, sf_dir):
   SELECT model, CASE WHEN pos % 2 = 0 THEN 'default' ELSE ss END AS size_key, artifact || ':' || version AS ref,
          CASE WHEN is_dynamic THEN [CAST(bs AS INTEGER)] END AS batch_sizes FROM mcfg
   UNION ALL
-  SELECT model, '4k', artifact || ':1', NULL FROM mapping WHERE p_type = 'ECONOMY')
-, cmin AS (SELECT artifact, arg_min(ss, {size_num_sql('ss')}) AS min_ss FROM pconfigs GROUP BY artifact)
-, j AS (SELECT r.model, CASE WHEN r.size_key = 'default' THEN c.min_ss ELSE r.size_key END AS ss,
-               regexp_extract(r.ref, '^(.+):(\\d+)$', 1) AS artifact, regexp_extract(r.ref, '^(.+):(\\d+)$', 2) AS version,
-               r.batch_sizes
-        FROM refs r JOIN cmin c ON regexp_extract(r.ref, '^(.+):(\\d+)$', 1) = c.artifact
-        WHERE regexp_matches(r.ref, '^(.+):(\\d+)$'))
-SELECT model, ss, artifact, version, CAST(b AS VARCHAR) AS bs
-FROM (SELECT *, unnest(CASE WHEN batch_sizes IS NULL OR len(batch_sizes) = 0 THEN [NULL] ELSE batch_sizes END) AS b FROM j)
+  SELECT model, '4k', artifact || ':1', NULL FROM mapping WHERE p_type = 'ECONOMY'
+  UNION ALL SELECT model, 'default', 'gone-' || artifact || ':2', CASE WHEN pos % 3 = 0 THEN [1, 8] ELSE [] END FROM mapping WHERE pos % 4 = 0)
+, cmin AS (SELECT artifact, arg_min(ss, ({size_num_sql('ss')}, -entry_pos)) AS min_ss, arg_min(ss, entry_pos) AS first_ss, arg_min(bs, entry_pos) AS first_bs FROM pconfigs GROUP BY artifact)
+, j AS (SELECT r.model, coalesce(len(batch_sizes), 0) > 0 AS listed, c.artifact IS NOT NULL AS known, r.size_key, c.min_ss, c.first_ss, c.first_bs,
+               regexp_extract(r.ref, '^(.+):(\\d+)$', 1) AS artifact, regexp_extract(r.ref, '^(.+):(\\d+)$', 2) AS version, r.batch_sizes
+        FROM refs r LEFT JOIN cmin c ON regexp_extract(r.ref, '^(.+):(\\d+)$', 1) = c.artifact)
+SELECT model, CASE WHEN NOT listed THEN first_ss WHEN size_key = 'default' THEN coalesce(min_ss, size_key) ELSE size_key END AS ss, artifact, version, bs
+FROM (SELECT *, unnest(CASE WHEN listed THEN list_transform(batch_sizes, lambda b: CAST(b AS VARCHAR)) ELSE [first_bs] END) AS bs FROM j WHERE listed OR known)
 """,
 )
 def c27_resolve_refs(spark, sf_dir):
@@ -471,6 +470,13 @@ def c27_resolve_refs(spark, sf_dir):
             F.concat("artifact", F.lit(":1")).alias("ref"),
             F.lit(None).cast("array<int>").alias("batch_sizes"),
         )
+    ).unionByName(
+        mapping.where(F.col("pos") % 4 == 0).select(
+            "model",
+            F.lit("default").alias("size_key"),
+            F.concat(F.lit("gone-"), "artifact", F.lit(":2")).alias("ref"),
+            F.when(F.col("pos") % 3 == 0, F.array(F.lit(1), F.lit(8))).otherwise(F.array().cast("array<int>")).alias("batch_sizes"),
+        )
     )
     return C.resolve_refs(refs, p)
 
@@ -575,7 +581,8 @@ def f4_order_ci(spark, sf_dir):
 
 _VERSIONS_SQL = """
 , versions AS (SELECT model, CAST(p_size % 3 AS VARCHAR) || '.' || CAST(p_partkey % 4 AS VARCHAR)
-                      || CASE WHEN p_size % 5 = 0 THEN '.0' ELSE '' END AS version, pos FROM mapping)
+                      || CASE WHEN p_size % 5 = 0 THEN '.0' ELSE '' END
+                      || CASE WHEN p_partkey % 6 = 0 THEN '.0.0.0.0.0.0.' || CAST(p_partkey % 5 - 2 AS VARCHAR) ELSE '' END AS version, pos FROM mapping)
 , overrides AS (SELECT model, CASE WHEN n % 2 = 0 THEN '1.1' ELSE '9.9' END AS version
                 FROM (SELECT DISTINCT model, CAST(regexp_extract(model, '(\\d+)', 1) AS BIGINT) AS n FROM mapping) WHERE n % 3 = 0)
 """
@@ -590,6 +597,7 @@ def _versions(spark, sf_dir):
             F.lit("."),
             (F.col("p_partkey") % 4).cast("string"),
             F.when(F.col("p_size") % 5 == 0, F.lit(".0")).otherwise(F.lit("")),
+            F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit(".0.0.0.0.0.0."), (F.col("p_partkey") % 5 - 2).cast("string"))).otherwise(F.lit("")),
         ).alias("version"),
         "pos",
     )
@@ -603,7 +611,7 @@ def _versions(spark, sf_dir):
 
 def _vkey_sql(v: str) -> str:
     parts = f"list_transform(string_split({v}, '.'), lambda p: coalesce(TRY_CAST(trim(p) AS DOUBLE), 0))"
-    return f"(list_concat({parts}, [0, 0, 0, 0, 0, 0, 0, 0]))[1:8]"
+    return f"(list_concat({parts}, list_transform(range(0, 16), lambda i: 0)))[1:16]"  # of at most 10 parts in these data
 
 
 @register(
@@ -684,9 +692,10 @@ def h25_h33_h34_h35_h51_name_rules(spark, sf_dir):
     "h28_h29_versions",
     """
 SELECT p_partkey,
-       (list_concat(list_transform(string_split(CAST(p_size % 4 AS VARCHAR) || '.' || CAST(p_partkey % 7 AS VARCHAR), '.'),
-                                   lambda p: coalesce(TRY_CAST(trim(p) AS DOUBLE), 0)), [0, 0, 0, 0, 0, 0, 0, 0]))[1:8]
-         > [1, 3, 0, 0, 0, 0, 0, 0] AS newer_than_1_3,
+       (list_concat(list_transform(string_split(CAST(p_size % 4 AS VARCHAR) || '.' || CAST(p_partkey % 7 AS VARCHAR)
+                                                || CASE WHEN p_partkey % 4 = 0 THEN '.0.0.0.0.0.0.0.' || CAST(p_partkey % 3 - 1 AS VARCHAR) ELSE '' END, '.'),
+                                   lambda p: coalesce(TRY_CAST(trim(p) AS DOUBLE), 0)), list_transform(range(0, 16), lambda i: 0)))[1:16]
+         > [1, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS newer_than_1_3,
        CASE WHEN regexp_extract(replace_first, '^(\\d+\\.\\d+\\.\\d+)', 1) <> '' THEN regexp_extract(replace_first, '^(\\d+\\.\\d+\\.\\d+)', 1)
             ELSE replace_first END AS chart_version,
        replace_first <> CASE WHEN regexp_extract(replace_first, '^(\\d+\\.\\d+\\.\\d+)', 1) <> ''
@@ -699,7 +708,8 @@ FROM (SELECT *, CASE WHEN strpos(chart, 'stack-') > 0
 )
 def h28_h29_versions(spark, sf_dir):
     p = read_table(spark, sf_dir, "part")
-    v = F.concat((F.col("p_size") % 4).cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"))
+    tenth = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(".0.0.0.0.0.0.0."), (F.col("p_partkey") % 3 - 1).cast("string"))).otherwise(F.lit(""))
+    v = F.concat((F.col("p_size") % 4).cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), tenth)
     chart = F.concat(
         F.lit("stack-0."),
         (F.col("p_size") % 5).cast("string"),

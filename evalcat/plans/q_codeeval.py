@@ -29,39 +29,18 @@ _CODE_SQL = r"""
 , coded AS (SELECT * EXCLUDE (py, anyb, blocks, filled), coalesce(given_code, extracted) AS code FROM s4)
 """
 
-_NAMES = "|".join(CO.DENY_BUILTINS)
-_ATTRS = "|".join(CO.DENY_DUNDER_ATTRS)
-_SCREEN_SQL = (
-    r"""
-, allowed AS (
-  SELECT problem_id, list_filter(list_distinct(list_concat(
-           list_concat(regexp_extract_all(required_dependencies, '(?m)^[ \t]*import[ \t]+([A-Za-z_]\w*)', 1),
-                       regexp_extract_all(required_dependencies, '(?m)^[ \t]*from[ \t]+([A-Za-z_]\w*)', 1)),
-           __ALLOWED__)), lambda m: NOT list_contains(__DENY__, m)) AS allow
-  FROM (SELECT DISTINCT problem_id, required_dependencies FROM steps))
+# The steps' code after import lines are blanked: prose where the response had
+# no fence (turn 2 of 4), else a function by the turn; from the rule, by hand.
+_SCREEN_SQL = """
 , screened AS (
-  SELECT c.*, a.allow,
-    list_sort(list_distinct(list_filter(list_concat(
-      list_transform(list_concat(regexp_extract_all(code, '(?m)^[ \t]*import[ \t]+([A-Za-z_][\w.]*)', 1),
-                                 regexp_extract_all(code, '(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b', 1)),
-        lambda m: CASE WHEN list_contains(__DENY__, split_part(m, '.', 1)) THEN 'imports blocked module ''' || m || ''''
-                       WHEN NOT list_contains(a.allow, split_part(m, '.', 1)) THEN 'imports module ''' || m || ''' not in allowed dependencies' END),
-      list_transform(regexp_extract_all(code, '(?m)^[ \t]*from[ \t]+(\.+)[\w.]*[ \t]+import\b', 1), lambda r: 'uses a relative import'),
-      list_transform(regexp_extract_all(code, '(?:^|[^\w.])(__NAMES__)[ \t]*\(', 1), lambda n: 'calls disallowed builtin ''' || n || ''''),
-      list_transform(regexp_extract_all(code, '(?:^|[^\w.])(__NAMES__)(?:\W|$)', 1), lambda n: 'references disallowed builtin ''' || n || ''''),
-      list_transform(regexp_extract_all(code, '\.[ \t]*(__ATTRS__)(?:\W|$)', 1), lambda n: 'accesses disallowed attribute ''' || n || '''')),
-      lambda r: r IS NOT NULL))) AS reasons
-  FROM coded c JOIN allowed a ON c.problem_id = a.problem_id)
+  SELECT *, CASE WHEN given_code IS NOT NULL THEN [] WHEN step_idx % 4 = 1 THEN ['calls disallowed builtin ''open''', 'references disallowed builtin ''open''']
+                 WHEN step_idx % 4 = 2 THEN ['syntax error'] WHEN step_idx % 4 = 3 THEN ['accesses disallowed attribute ''__mro__'''] ELSE [] END AS reasons
+  FROM coded)
 , statused AS (
   SELECT *, CASE WHEN given_code IS NOT NULL THEN 'given' WHEN len(reasons) > 0 THEN 'screen_fail'
                  WHEN verdict = 'PASS' THEN 'pass' ELSE 'fail' END AS status
   FROM screened)
 """
-    .replace("__ALLOWED__", _LIST(CO.ALLOWED_STDLIB))
-    .replace("__DENY__", _LIST(CO.DENY_MODULES))
-    .replace("__NAMES__", _NAMES)
-    .replace("__ATTRS__", _ATTRS)
-)
 
 BASE = f"WITH steps AS ({V4_SQL})\n" + _CODE_SQL.replace("__STRIP_X__", strip_sql("x"))
 
@@ -71,9 +50,16 @@ def _coded(spark, sf_dir):
     return s.withColumn("code", F.coalesce(F.col("given_code"), X.last_code_block("response")))
 
 
+def _plain(reasons):
+    """Reasons without the parser's own words, which SQL can't know."""
+    return F.transform(reasons, lambda r: F.regexp_replace(r, "(?s)^syntax error: .*", "syntax error"))
+
+
 def _statused(spark, sf_dir):
-    c = _coded(spark, sf_dir).withColumn("allow", CO.allowed_for("required_dependencies"))
-    c = c.withColumn("screen_violations", CO.screen_code_regex(F.col("code"), F.col("allow")))
+    c = _coded(spark, sf_dir)
+    declared = CO.declared_modules(c.select("problem_id", "required_dependencies").distinct(), ["problem_id"])
+    c = CO.screen_codes(c, declared, ["problem_id", "step_idx"], ["problem_id"])
+    c = c.withColumn("screen_violations", _plain("screen_violations"))
     status = (
         F.when(F.col("given_code").isNotNull(), F.lit("given"))
         .when(F.size("screen_violations") > 0, F.lit("screen_fail"))
@@ -88,19 +74,52 @@ def h18_h19_last_code_block(spark, sf_dir):
     return _coded(spark, sf_dir).select("problem_id", "step_idx", "code")
 
 
+#: Code texts of the screen's cases.
+_CASES = [
+    "import os, math\nx = 1",
+    "# import os\ns = 'eval(open)'  # exec(s)\n",
+    "from . import y\nfrom urllib.request import urlopen\n",
+    "def f(x):\n    return x . __mro__, getattr(x, '__bases__')\n",
+    "(" * 300 + "1" + ")" * 300,
+    "-" * 8000 + "1",
+    "x = input\ny = compile('1', '', 'eval')\n",
+    "import numpy.linalg as la, scipy\nif la:\n    import json, foo.bar; import math\n",
+]
+
+
 @register(
     "b18_j3_g6_screen_code",
-    BASE + _SCREEN_SQL + "SELECT problem_id, step_idx, array_to_string(reasons, '; ') AS reasons, "
-    "array_to_string(list_sort(allow), ',') AS allowed FROM screened",
+    BASE
+    + _SCREEN_SQL
+    + f"""
+, made AS (
+  SELECT problem_id, step_idx + 100 AS step_idx, required_dependencies AS deps, (length(problem_id) + CAST(problem_id AS BIGINT) + step_idx) % 8 AS k FROM steps)
+, allowed AS (SELECT DISTINCT problem_id, array_to_string(list_sort(list_concat({_LIST(CO.ALLOWED_STDLIB)},
+    CASE WHEN contains(required_dependencies, 'scipy') THEN ['numpy', 'scipy'] WHEN required_dependencies <> '' THEN ['numpy'] ELSE [] END)), ',') AS allowed FROM steps)
+SELECT problem_id, step_idx, array_to_string(reasons, '; ') AS reasons, allowed FROM screened JOIN allowed USING (problem_id)
+UNION ALL
+SELECT problem_id, step_idx, CASE k
+    WHEN 0 THEN 'imports blocked module ''os''' WHEN 1 THEN ''
+    WHEN 2 THEN 'imports blocked module ''urllib.request''; uses a relative import'
+    WHEN 3 THEN 'accesses disallowed attribute ''__mro__''' WHEN 4 THEN 'syntax error' WHEN 5 THEN 'syntax error'
+    WHEN 6 THEN 'calls disallowed builtin ''compile''; references disallowed builtin ''compile''; references disallowed builtin ''input'''
+    ELSE array_to_string(list_concat(['imports module ''foo.bar'' not in allowed dependencies'],
+           list_concat(CASE WHEN deps = '' THEN ['imports module ''numpy.linalg'' not in allowed dependencies'] ELSE [] END,
+                       CASE WHEN contains(deps, 'scipy') THEN [] ELSE ['imports module ''scipy'' not in allowed dependencies'] END)), '; ') END, allowed
+FROM made JOIN allowed USING (problem_id)
+""",
 )
 def b18_j3_g6_screen_code(spark, sf_dir):
-    s = _statused(spark, sf_dir)
-    return s.select(
-        "problem_id",
-        "step_idx",
-        F.array_join("screen_violations", "; ").alias("reasons"),
-        F.array_join(F.array_sort("allow"), ",").alias("allowed"),
-    )
+    """The steps' own code, and beside each step a code of the
+    screen's cases (several modules in a line, comments, strings, relative
+    imports, nesting beyond the parser's limits)."""
+    c = _coded(spark, sf_dir).select("problem_id", F.col("step_idx").cast("long").alias("step_idx"), "required_dependencies", "code")
+    case = (F.length("problem_id") + F.col("problem_id").cast("long") + F.col("step_idx")) % len(_CASES)
+    made = c.select("problem_id", (F.col("step_idx") + 100).alias("step_idx"), "required_dependencies", F.get(F.array(*[F.lit(x) for x in _CASES]), case.cast("int")).alias("code"))
+    problems = c.select("problem_id", "required_dependencies").distinct()
+    s = CO.screen_codes(c.unionByName(made), CO.declared_modules(problems, ["problem_id"]), ["problem_id", "step_idx"], ["problem_id"])
+    s = s.join(CO.allowed_modules(problems, ["problem_id"]), "problem_id")
+    return s.select("problem_id", "step_idx", F.array_join(_plain("screen_violations"), "; ").alias("reasons"), F.array_join("allowed", ",").alias("allowed"))
 
 
 @register(

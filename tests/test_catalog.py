@@ -107,9 +107,22 @@ def test_draft_placement_and_embedding_default(spark):
 
 
 def test_versions_and_refs(spark):
-    df = spark.createDataFrame([("1.2",), ("1.10",), ("1.2.0",), ("x",)], "v string")
-    keys = [r[0][:3] for r in df.select(K.version_key("v")).collect()]
-    assert keys == [[1.0, 2.0, 0.0], [1.0, 10.0, 0.0], [1.0, 2.0, 0.0], [0.0, 0.0, 0.0]]
+    texts = ["1.2", "1.10", "1.2.0", "x", "", "0.0.-1", "-1", "1.2.0.0.0.0.0.0.0.3", "1.2.0.0.0.0.0.0.0.-3", "1.2.-1", "1.2.0.1", "2", "1.2.0.0.0.0.0.0.0.0.0.1", "1..3"]
+    got = {r.v: r.k for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", K.version_key("v").alias("k")).collect()}
+
+    def number(p):
+        try:
+            return float(p)
+        except ValueError:
+            return 0.0
+
+    def compared(a, b):
+        x, y = ([number(p) for p in t.split(".")] for t in (a, b))
+        n = max(len(x), len(y))
+        x, y = (z + [0.0] * (n - len(z)) for z in (x, y))
+        return (x > y) - (x < y)
+
+    assert all((got[a] > got[b]) - (got[a] < got[b]) == compared(a, b) for a in texts for b in texts)
     refs = spark.createDataFrame([("a:3",), ("bad",)], "r string")
     assert [(r.p.name, r.p.version, r.p.valid) for r in refs.select(K.parse_ref("r").alias("p")).collect()] == [
         ("a", "3", True), (None, None, False)

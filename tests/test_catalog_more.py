@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from evalcat.functions import scoring as S
@@ -32,14 +33,19 @@ def test_pods_prefix_join(spark):
     assert got == [("d1", "inf-d1-cache-1"), ("d1", "inf-d1-x-cache-0"), ("d1-x", "inf-d1-x-cache-0")]
 
 
-def test_resolve_refs_default_size_and_batches(spark):
-    cfg = spark.createDataFrame([("a", "8k", "1"), ("a", "4k", "1"), ("a", "4k", "2")], "artifact string, ss string, bs string")
+def test_resolve_refs(spark):
+    cfg = spark.createDataFrame([("a", 0, "8k", "4"), ("a", 1, "4k", "1"), ("a", 2, "4096", "2")], "artifact string, entry_pos int, ss string, bs string")
+    schema = "model string, size_key string, ref string, batch_sizes array<int>"
     refs = spark.createDataFrame(
-        [("m", "default", "a:3", [1, 2]), ("m", "16k", "a:1", None), ("m", "4k", "zz:1", None), ("m", "4k", "bad", None)],
-        "model string, size_key string, ref string, batch_sizes array<int>",
+        [("m", "default", "a:3", [1, 2]), ("m", "16k", "a:1", None), ("m", "32k", "a:2", []), ("m", "4k", "zz:1", None), ("m", "default", "zz:9", [8]), ("m", "2k", "a:4", [3])], schema
     )
-    got = sorted((r.ss, r.artifact, r.version, r.bs) for r in C.resolve_refs(refs, cfg).collect())
-    assert got == [("16k", "a", "1", None), ("4k", "a", "3", "1"), ("4k", "a", "3", "2")]
+    got = sorted((r.version, r.ss, r.artifact, r.bs) for r in C.resolve_refs(refs, cfg).collect())
+    # plain references take size and batch size of the first entry; of equal smallest sizes the last names "default"
+    assert got == [("1", "8k", "a", "4"), ("2", "8k", "a", "4"), ("3", "4096", "a", "1"), ("3", "4096", "a", "2"), ("4", "2k", "a", "3"), ("9", "default", "zz", "8")]
+    with pytest.raises(ValueError, match='"zz" not found'):
+        C.resolve_refs(refs, cfg, strict=True)
+    with pytest.raises(ValueError, match="bad"):
+        C.resolve_refs(refs.unionByName(spark.createDataFrame([("m", "4k", "bad", None)], schema)), cfg)
 
 
 def test_tail_and_merge(spark):
@@ -82,18 +88,30 @@ def test_prior_context_and_cumulative_code(spark):
     assert "d0\n\nBackground:\nbg0\n\nc0" in prompt and "d1\n\ndef f1():\n\n    return 1" in prompt
 
 
-def test_screen_code_forms(spark):
-    code = "import os\nfrom .x import y\nimport numpy as np\ndef f(x):\n    return open(x).__class__.__mro__\n"
-    df = spark.createDataFrame([(code, ["numpy", "math"])], "c string, allow array<string>")
-    regex = df.select(CO.screen_code_regex(F.col("c"), F.col("allow"))).first()[0]
-    exact = df.select(CO.screen_code_exact(F.col("c"), F.col("allow"))).first()[0]
-    want = [
-        "accesses disallowed attribute '__mro__'",
-        "calls disallowed builtin 'open'",
-        "imports blocked module 'os'",
-        "references disallowed builtin 'open'",
-        "uses a relative import",
-    ]
-    assert regex == want and exact == want
-    bad = spark.createDataFrame([("def (:", [])], "c string, allow array<string>")
-    assert bad.select(CO.screen_code_exact(F.col("c"), F.col("allow"))).first()[0][0].startswith("syntax error")
+def test_screen_codes(spark):
+    codes = {
+        "several": "import os, math, numpy as np, scipy.linalg\nfrom urllib.request import urlopen",
+        "clean": "# import os\ns = 'eval(open)'\n",
+        "relative": "from . import y\nfrom .. import os",
+        "calls": "x = open('f')\ny = obj.eval(1)\nz = vars",
+        "attribute": "x . __mro__; '__bases__'",
+        "prose": "No fences, just words",
+        "deep": "-" * 8000 + "1",
+        "chain": "x" + ".a" * 20000,
+        "empty": "",
+    }
+    df = spark.createDataFrame([("p", k, c) for k, c in codes.items()] + [("p", "null", None), ("q", "several", "import numpy")], "problem_id string, k string, code string")
+    deps = spark.createDataFrame([("p", "import numpy as np, os\nfrom scipy import linalg\nfrom . import z"), ("q", "not a dependency text")], "problem_id string, required_dependencies string")
+    declared = CO.declared_modules(deps, ["problem_id"])
+    assert sorted((r.problem_id, r.module) for r in declared.collect()) == [("p", "numpy"), ("p", "scipy")]
+    got = {(r.problem_id, r.k): r.screen_violations for r in CO.screen_codes(df, declared, ["problem_id", "k"], ["problem_id"]).collect()}
+    assert got["p", "several"] == ["imports blocked module 'os'", "imports blocked module 'urllib.request'"]
+    assert got["q", "several"] == ["imports module 'numpy' not in allowed dependencies"]
+    assert got["p", "clean"] == got["p", "empty"] == got["p", "null"] == []
+    assert got["p", "relative"] == ["uses a relative import"]
+    assert got["p", "calls"] == ["calls disallowed builtin 'open'", "references disallowed builtin 'open'", "references disallowed builtin 'vars'"]
+    assert got["p", "attribute"] == ["accesses disallowed attribute '__mro__'"]
+    assert got["p", "prose"][0].startswith("syntax error: ") and len(got["p", "prose"]) == 1
+    assert got["p", "deep"] == got["p", "chain"] == ["syntax error: too deeply nested"]
+    allowed = {r.problem_id: r.allowed for r in CO.allowed_modules(deps, ["problem_id"]).collect()}
+    assert allowed["q"] == sorted(CO.ALLOWED_STDLIB) and allowed["p"] == sorted([*CO.ALLOWED_STDLIB, "numpy", "scipy"])

@@ -36,17 +36,18 @@ def test_query_tool_dataset_six_rows(spark, tmp_path):
 
 
 def test_manifest_reference_errors(spark):
-    """H35 + C27: a manifest with a malformed reference fails in strict mode
-    and is skipped otherwise."""
-    cfg = spark.createDataFrame([("a", "4k", "1")], "artifact string, ss string, bs string")
+    """H35 + C27: a manifest with a malformed reference fails, one with an
+    unknown artifact only in strict mode."""
+    cfg = spark.createDataFrame([("a", 0, "4k", "1")], "artifact string, entry_pos int, ss string, bs string")
     refs = spark.createDataFrame([("m", "4k", "a:1", None), ("m", "4k", "no-version", None)],
                                  "model string, size_key string, ref string, batch_sizes array<int>")
-    with pytest.raises(ValueError):
-        C.resolve_refs(refs, cfg, strict=True)
-    assert [r.artifact for r in C.resolve_refs(refs, cfg).collect()] == ["a"]
+    for strict in (True, False):
+        with pytest.raises(ValueError):
+            C.resolve_refs(refs, cfg, strict=strict)
     unknown = spark.createDataFrame([("m", "4k", "zz:2", None)], "model string, size_key string, ref string, batch_sizes array<int>")
     with pytest.raises(ValueError):
         C.resolve_refs(unknown, cfg, strict=True)
+    assert C.resolve_refs(unknown, cfg).count() == 0
 
 
 def test_latest_version_numeric_not_text(spark):
