@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalcat.functions import catalog as K
+from evalcat.functions.text import strip
 
 
 # --------------------------------------------------------------------------- #
@@ -439,7 +440,8 @@ def bundle_status(bundles: DataFrame) -> DataFrame:
 def error_lines(bundles: DataFrame) -> DataFrame:
     """Failed condition's message (ValidationFailed, or status False
     with a message), else all messages joined; split into trimmed non-blank
-    lines, one row each with its line number."""
+    lines, one row each with its line number. Without any message: a line
+    ``type: reason \u2014 message`` for each condition."""
     failed = F.filter(
         "conditions",
         lambda c: (c["reason"] == "ValidationFailed") | ((c["status"] == "False") & (F.coalesce(c["message"], F.lit("")) != "")),
@@ -448,8 +450,10 @@ def error_lines(bundles: DataFrame) -> DataFrame:
         F.nullif(F.get(failed, 0)["message"], F.lit("")),
         F.array_join(F.filter(F.transform("conditions", lambda c: c["message"]), lambda m: F.coalesce(m, F.lit("")) != ""), "\n"),
     )
-    lines = F.filter(F.transform(F.split(msg, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    return bundles.select("name", F.posexplode(lines).alias("line_no", "line"))
+    lines = F.filter(F.transform(F.split(msg, "\n"), lambda x: strip(x)), lambda x: F.length(x) > 0)
+    said = lambda c: F.coalesce(c, F.lit("undefined"))
+    plain = F.transform("conditions", lambda c: F.concat(said(c["type"]), F.lit(": "), said(c["reason"]), F.lit(" \u2014 "), said(c["message"])))
+    return bundles.select("name", F.posexplode(F.when(F.coalesce(msg, F.lit("")) != "", lines).otherwise(plain)).alias("line_no", "line"))
 
 
 def only_ready(df: DataFrame, flag_col: str = "is_valid") -> DataFrame:

@@ -161,17 +161,25 @@ def resolve_system_prompt(row_prompt, model_prompt, experiment_prompt) -> Column
     return F.when(rp.isNotNull(), rp).when(model_ok, mp).otherwise(F.coalesce(ep, F.lit("")))
 
 
-def normalize_scorers(scorers: DataFrame) -> DataFrame:
-    """max_score not a positive finite number -> 5 (else truncated to
-    int); non-numeric temperature -> 0; blank names fall back."""
-    ms = F.col("max_score").try_cast("double")
-    temp = F.col("temperature").try_cast("double")
-    return scorers.withColumn(
-        "max_score",
-        F.when(ms.isNotNull() & ~F.isnan(ms) & (ms > 0) & (ms < float("inf")), ms.cast("long").cast("int")).otherwise(
-            F.lit(5)
-        ),
-    ).withColumn("temperature", F.coalesce(temp, F.lit(0.0)))
+def read_scorer(definition, file_name) -> Column:
+    """struct(name, provider_name, model, temperature, judge_prompt,
+    max_score) of a scorer's JSON text. max_score not a positive finite JSON
+    number -> 5, else truncated; temperature not a JSON number -> 0 (a
+    boolean counts as a number, a text of digits doesn't); a missing, empty or
+    null text -> "", for the name that of the file."""
+    v = F.try_parse_json(F.col(definition) if isinstance(definition, str) else definition)
+    number = lambda path: F.when(_vtype(v, path).rlike(_NUMERIC_TYPES), F.when(_vtype(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("double")).otherwise(F.try_variant_get(v, path, "double")))
+    text = lambda path: F.coalesce(F.when(_vtype(v, path) == "STRING", F.try_variant_get(v, path, "string")), F.lit(""))
+    top = number("$.max_score")
+    usable = top.isNotNull() & ~F.isnan(top) & (top > 0) & (top < float("inf"))
+    return F.struct(
+        F.coalesce(F.nullif(text("$.name"), F.lit("")), F.col(file_name) if isinstance(file_name, str) else file_name).alias("name"),
+        text("$.provider_name").alias("provider_name"),
+        text("$.model").alias("model"),
+        F.coalesce(number("$.temperature"), F.lit(0.0)).alias("temperature"),
+        text("$.judge_prompt").alias("judge_prompt"),
+        F.when(usable, top.cast("long").cast("int")).otherwise(F.lit(5)).alias("max_score"),
+    )
 
 
 # Fixed value: allowed characters of experiment/scorer names.

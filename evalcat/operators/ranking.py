@@ -128,20 +128,45 @@ def with_row_index(
     return out
 
 
+#: Rows up to which a group's values meet in one aggregation buffer.
+GATHERED = 10_000
+
+
 def exact_quantiles(
     df: DataFrame,
     group_cols: Sequence[str],
     value_cols: dict[str, str | Column],
     q: float = 0.5,
     num_partitions: int | None = None,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """Exact linear-interpolated quantile (``percentile``/``quantile_cont``
-    semantics, nulls skipped) of several value columns per group in ONE sort.
-
-    ``value_cols`` maps output name -> input column. Groups where a value has
-    no non-null entry get null for it. Returns group_cols + output names.
-    """
+    semantics, nulls skipped) of several value columns per group.
+
+    Groups are counted first. Those of at most ``gathered`` rows are answered
+    by ``percentile``, all columns in one exchange. Only the rows of larger
+    groups, if there are any, are sorted as described above, so no buffer
+    grows with a group. ``value_cols`` maps output name -> input column.
+    Groups where a value has no non-null entry get null for it. Returns
+    group_cols + output names."""
     group_cols = list(group_cols)
+    value = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    gather = lambda rows: rows.groupBy(*group_cols).agg(*[F.percentile(value(c), float(q)).alias(name) for name, c in value_cols.items()])
+    if not group_cols:
+        return _sorted_quantiles(df, group_cols, value_cols, q, num_partitions)
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > gathered)
+    large = materialize(counts.select(*[F.col(c).alias(f"_l_{i}") for i, c in enumerate(group_cols)]), "large-groups")
+    if large.isEmpty():
+        return gather(df)
+    same = F.lit(True)
+    for i, c in enumerate(group_cols):
+        same = same & df[c].eqNullSafe(F.col(f"_l_{i}"))
+    small = gather(df.join(large, same, "left_anti"))
+    return small.unionByName(_sorted_quantiles(df.join(large, same, "left_semi"), group_cols, value_cols, q, num_partitions))
+
+
+def _sorted_quantiles(df: DataFrame, group_cols: list[str], value_cols: dict[str, str | Column], q: float, num_partitions: int | None) -> DataFrame:
+    """``exact_quantiles`` in one sort of all values, for groups of any size."""
     names = list(value_cols)
     long = df.select(
         *group_cols,

@@ -172,7 +172,8 @@ def upsert_latest(
 ) -> DataFrame:
     """Last write wins per key (highest ``seq_col``). Uses ``max_by`` over
     a struct instead of a window so duplicates are reduced map-side and a key
-    with many writes never needs a full sort of its group."""
+    with many writes never needs a full sort of its group. ``order_results``
+    puts the rows in the order of result_id."""
     keys = list(keys)
     rest = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq_col)).alias("_r"))

@@ -50,30 +50,34 @@ def h5_extract_json(spark, sf_dir):
     return _texts(spark, sf_dir).select("event_id", S.extract_json(F.col("t")).alias("candidate"))
 
 
+#: max_score and temperature as they stand in scorer files, and what they come to.
+_TOPS = [("0", 5), ("7.9", 7), ('"4"', 5), ("3", 3), ("null", 5), ("-2", 5), ("true", 1), ("[1]", 5)]
+_HEATS = [("0.5", 0.5), ('"0.5"', 0.0), ("null", 0.0), ("1", 1.0), ("true", 1.0)]
+
+
 @register(
     "b6_normalize_scorers",
-    """
-WITH s AS (SELECT n_name AS name,
-                  CASE n_nationkey % 5 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN 7.9 WHEN 2 THEN CAST('nan' AS DOUBLE)
-                       WHEN 3 THEN CAST(3 AS DOUBLE) ELSE NULL END AS max_score,
-                  CASE n_nationkey % 3 WHEN 1 THEN CAST(n_regionkey AS DOUBLE) / 10 ELSE NULL END AS temperature
-           FROM nation)
-SELECT name, CASE WHEN max_score IS NOT NULL AND isfinite(max_score) AND max_score > 0 THEN CAST(trunc(max_score) AS INTEGER)
-                  ELSE 5 END AS max_score,
-       coalesce(temperature, CAST(0 AS DOUBLE)) AS temperature
-FROM s
+    f"""
+SELECT p_partkey,
+       CASE p_partkey % 3 WHEN 0 THEN p_name ELSE 'file-' || CAST(p_partkey AS VARCHAR) END AS name,
+       CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS provider_name,
+       {[top for _, top in _TOPS]}[p_partkey % {len(_TOPS)} + 1] AS max_score,
+       CAST({[heat for _, heat in _HEATS]}[p_partkey % {len(_HEATS)} + 1] AS DOUBLE) AS temperature
+FROM part
 """,
 )
 def b6_normalize_scorers(spark, sf_dir):
-    n = read_table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey") % 5
-    s = n.select(
-        F.col("n_name").alias("name"),
-        F.when(k == 0, F.lit(0.0)).when(k == 1, F.lit(7.9)).when(k == 2, F.lit(float("nan"))).when(k == 3, F.lit(3.0))
-        .otherwise(F.lit(None).cast("double")).alias("max_score"),
-        F.when(F.col("n_nationkey") % 3 == 1, F.col("n_regionkey").cast("double") / 10).alias("temperature"),
-    )
-    return EX.normalize_scorers(s).select("name", "max_score", "temperature")
+    """A scorer file per part: numbers, texts of digits, booleans, nulls
+    and lists as max_score and temperature; empty and missing names."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pick = lambda texts: F.get(F.array(*[F.lit(t) for t, _ in texts]), (k % len(texts)).cast("int"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.when(k % 3 == 0, F.concat(F.lit('"name": '), quoted(F.col("p_name")), F.lit(", "))).when(k % 3 == 1, F.lit('"name": "", ')).otherwise(F.lit(""))
+    provider = F.when(k % 4 == 0, F.lit("null")).otherwise(quoted(F.col("p_brand")))
+    text = F.concat(F.lit("{"), name, F.lit('"provider_name": '), provider, F.lit(', "max_score": '), pick(_TOPS), F.lit(', "temperature": '), pick(_HEATS), F.lit("}"))
+    s = p.select("p_partkey", EX.read_scorer(text, F.concat(F.lit("file-"), k.cast("string"))).alias("s"))
+    return s.select("p_partkey", "s.name", "s.provider_name", "s.max_score", "s.temperature")
 
 
 @register(

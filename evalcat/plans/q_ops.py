@@ -394,7 +394,9 @@ def b12_b17_ready_bundles(spark, sf_dir):
                         array_to_string(list_filter(list_transform(conditions, lambda c: c.message), lambda m: coalesce(m, '') <> ''), chr(10))) AS msg
   FROM bundles)
 SELECT name, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no, unnest(lines) AS line
-FROM (SELECT name, list_filter(list_transform(string_split(msg, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0) AS lines FROM msgs)
+FROM (SELECT name, CASE WHEN coalesce(msg, '') <> '' THEN list_filter(list_transform(string_split(msg, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0)
+                        ELSE list_transform(conditions, lambda c: c.type || ': ' || c.reason || ' \u2014 ' || c.message) END AS lines
+      FROM msgs JOIN bundles USING (name))
 """,
 )
 def b13_error_lines(spark, sf_dir):

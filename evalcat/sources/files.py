@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,11 +117,9 @@ def _read_csv_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     heads = records.where("_row = 0").select(F.col("_file").alias("_f"), F.col("cells").alias("_names"))
     rows = records.where("_row > 0").join(heads, F.col("_file") == F.col("_f"))
     cell = lambda name: F.get("cells", F.array_position("_names", F.lit(name)).cast("int") - 1)
-    plain = lambda c: F.regexp_replace(strip(c), r"(?<=\d)_(?=\d)", "")
-    id_text, w = plain(cell("example_id")), plain(F.coalesce(cell("weight"), F.lit("")))
-    example_id = F.when(id_text.rlike(r"^[+-]?\d+$"), id_text.try_cast("long"))
-    number = w.rlike(r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$") | w.rlike(r"(?i)^[+-]?(nan|inf|infinity)$")
-    weight = F.when(w == "", F.lit(1.0)).when(number, w.try_cast("double"))
+    weight_text = F.coalesce(cell("weight"), F.lit(""))
+    example_id = _whole(F.coalesce(cell("example_id"), F.lit("")))
+    weight = F.when(strip(weight_text) == "", F.lit(1.0)).otherwise(_number(weight_text))
     files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     counts = records.groupBy("_file").agg((F.max("_row")).alias("n"))
     before = counts.select(F.col("_file").alias("_g"), F.coalesce(F.sum("n").over(files), F.lit(0)).alias("_before"))
@@ -163,32 +161,59 @@ def count_examples(spark: SparkSession, path: str) -> int:
 # --------------------------------------------------------------------------- #
 # results (A5, A6, A12)
 # --------------------------------------------------------------------------- #
-def _num_or_null(c) -> F.Column:
-    d = F.trim(c).try_cast("double")
+#: Text that reads as a whole number, or as a number, once blanks around it
+#: and single underscores between digits are gone.
+_WHOLE = r"^[+-]?\d+$"
+_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
+
+
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(strip(c), r"(?<=\d)_(?=\d)", "")
+
+
+def _whole(c: Column) -> Column:
+    return F.when(_digits(c).rlike(_WHOLE), _digits(c).try_cast("long"))
+
+
+def _number(c: Column) -> Column:
+    return F.when(_digits(c).rlike(_NUMBER), _digits(c).try_cast("double"))
+
+
+def _num_or_null(c: Column) -> Column:
+    d = _number(c)
     return F.when(is_finite(d), d)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame | tuple[DataFrame, DataFrame]:
     """A5: result CSV(s) read by header NAME (never by position) as text,
     then typed with the reference's defaults: blank status -> completed;
-    missing/blank/non-finite weight -> 1.0; blank score -> 0; blank or
-    non-finite metric -> null; missing trailing cells -> ""."""
+    missing/blank/non-finite/unreadable weight -> 1.0; blank score -> 0; blank,
+    unreadable or non-finite metric -> null; missing trailing cells -> "".
+
+    A result_id or example_id that is no whole number, or a score that is no
+    number, can't be taken: ``mode="failfast"`` raises when such a row is read
+    (no pass of its own), ``"quarantine"`` returns (good, bad with ``error``)."""
     df = spark.read.options(**_CSV_READ).csv(path)
     for c in RESULT_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
     txt = {c: F.coalesce(F.col(c), F.lit("")) for c in RESULT_COLUMNS}
-    weight = _num_or_null(txt["weight"])
+    ids = {c: _whole(txt[c]) for c in ("result_id", "example_id")}
+    score = F.when(txt["score"] == "", F.lit(0.0)).otherwise(_number(txt["score"]))
     extra = [c for c in df.columns if c not in RESULT_COLUMNS]  # e.g. partition columns
-    return df.select(
-        F.trim(txt["result_id"]).try_cast("double").cast("long").alias("result_id"),
+    wrong = lambda c: F.concat(F.lit(f"{c} is not a number: "), txt[c])
+    error = F.when(ids["result_id"].isNull(), wrong("result_id")).when(ids["example_id"].isNull(), wrong("example_id")).when(score.isNull(), wrong("score"))
+    checked = df if mode == "quarantine" else df.withColumn("result_id", F.when(error.isNull(), F.col("result_id")).otherwise(F.raise_error(error)))
+    good = checked.where(error.isNull()) if mode == "quarantine" else checked
+    typed = good.select(
+        ids["result_id"].alias("result_id"),
         F.when(txt["status"] == "", F.lit("completed")).otherwise(txt["status"]).alias("status"),
         txt["provider"].alias("provider"),
         txt["model"].alias("model"),
-        F.trim(txt["example_id"]).try_cast("double").cast("long").alias("example_id"),
+        ids["example_id"].alias("example_id"),
         txt["output"].alias("output"),
-        F.coalesce(F.trim(txt["score"]).try_cast("double"), F.lit(0.0)).alias("score"),
-        F.coalesce(weight, F.lit(1.0)).alias("weight"),
+        score.alias("score"),
+        F.coalesce(_num_or_null(txt["weight"]), F.lit(1.0)).alias("weight"),
         F.nullif(txt["score_reason"], F.lit("")).alias("score_reason"),
         _num_or_null(txt["input_tokens"]).cast("long").alias("input_tokens"),
         _num_or_null(txt["output_tokens"]).cast("long").alias("output_tokens"),
@@ -198,6 +223,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         _num_or_null(txt["num_llm_calls"]).cast("long").alias("num_llm_calls"),
         *extra,
     )
+    return (typed, df.withColumn("error", error).where("error IS NOT NULL")) if mode == "quarantine" else typed
 
 
 def results_as_text(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -66,11 +66,25 @@ def test_limit_and_complete(spark):
     assert EX.complete_rows(df).count() == 3
 
 
-def test_detect_messages_and_scorers(spark):
+def test_detect_messages(spark):
     df = spark.createDataFrame(
         [('[{"role": "user", "content": "a"}]',), ("[]",), ('[{"role": "user"}]',), ("plain",)], "t string"
     )
     assert [r[0] for r in df.select(EX.detect_messages("t")).collect()] == [True, False, False, False]
-    sc = spark.createDataFrame([("a", "0", "x"), ("b", "7.9", "0.5"), ("c", "nan", None)], "name string, max_score string, temperature string")
-    got = {r.name: (r.max_score, r.temperature) for r in EX.normalize_scorers(sc).collect()}
-    assert got == {"a": (5, 0.0), "b": (7, 0.5), "c": (5, 0.0)}
+
+
+def test_read_scorer(spark):
+    files = {
+        "a": '{"name": "A", "provider_name": "p", "model": "m", "max_score": 7.9, "temperature": 0.5, "judge_prompt": "x"}',
+        "b": '{"name": "", "max_score": "4", "temperature": "1"}',
+        "c": '{"max_score": 0, "temperature": null, "provider_name": null}',
+        "d": '{"max_score": true, "temperature": true, "model": 5}',
+        "e": '{"max_score": 1e400}',
+    }
+    df = spark.createDataFrame(list(files.items()), "f string, t string")
+    got = {r.f: tuple(r.s) for r in df.select("f", EX.read_scorer("t", "f").alias("s")).collect()}
+    assert got["a"] == ("A", "p", "m", 0.5, "x", 7)
+    assert got["b"] == ("b", "", "", 0.0, "", 5)
+    assert got["c"] == ("c", "", "", 0.0, "", 5)
+    assert got["d"] == ("d", "", "", 1.0, "", 1)
+    assert got["e"][-1] == 5

@@ -159,3 +159,15 @@ def test_lines_end_quoted():
     for line, (out, _) in cases.items():
         assert ends_quoted(line, False) == out, line
     assert ends_quoted("x", True) and not ends_quoted('x"', True) and ends_quoted('x","y', True)
+
+
+def test_results_whose_numbers_cannot_be_read(spark, tmp_path):
+    p = tmp_path / "results.csv"
+    head = "result_id,status,provider,model,example_id,output,score,weight,input_tokens\n"
+    p.write_text(head + "9007199254740993,,p,m,9223372036854775807,o,0.5,,7\n2,,p,m,3,o,high,1,x\n3.5,,p,m,3,o,1,1,2\n4,,p,m,,o,1,1,2\n 5 ,,p,m,6,o,1,heavy,2f\n")
+    good, bad = SRC.read_results(spark, str(p), mode="quarantine")
+    rows = sorted(good.collect(), key=lambda r: r.result_id)
+    assert [(r.result_id, r.example_id, r.weight, r.input_tokens) for r in rows] == [(5, 6, 1.0, None), (9007199254740993, 9223372036854775807, 1.0, 7)]
+    assert sorted(r.error for r in bad.collect()) == ["example_id is not a number: ", "result_id is not a number: 3.5", "score is not a number: high"]
+    with pytest.raises(Exception, match="is not a number"):
+        SRC.read_results(spark, str(p)).collect()
