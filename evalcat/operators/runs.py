@@ -251,18 +251,6 @@ def run_state(events: DataFrame, exp_col: str = "experiment_id") -> DataFrame:
     return agg
 
 
-def drop_run(results: DataFrame, runs: DataFrame, run_ids: DataFrame, active: DataFrame | None = None):
-    """Remove the given runs' rows from results and runs (anti joins);
-    refuses (raises) when one of them is active."""
-    keys = ["experiment_id", "run_id"]
-    if active is not None and run_ids.join(active.select(*keys), keys, "left_semi").limit(1).count():
-        raise RuntimeError("refusing to delete an active run")
-    return (
-        results.join(run_ids.select(*keys), keys, "left_anti"),
-        runs.join(run_ids.select(*keys), keys, "left_anti"),
-    )
-
-
 def recount_meta(runs: DataFrame, results: DataFrame) -> DataFrame:
     """D1 applied to metadata: completed/errors of each run from its rows."""
     keys = ["experiment_id", "run_id"]

@@ -27,6 +27,8 @@ from evalcat.plans.adapters import (
 )
 from evalcat.plans.registry import register, round_doubles
 from evalcat.session import read_table
+from evalcat.sources import partitions as PART
+from evalcat.streaming.jobs import scratch_path
 
 V3 = f"WITH calls AS ({V3_SQL})\n"
 V6 = f"WITH bundles AS ({V6_BUNDLES_SQL}), pods AS ({V6_PODS_SQL})\n"
@@ -296,19 +298,36 @@ def d17_next_id(spark, sf_dir):
 
 @register(
     "a13_drop_run",
-    V7
-    + """
-SELECT experiment_id, run_id FROM runs
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+    """
+WITH r AS (SELECT 'exp ' || CAST(user_id % 20 AS VARCHAR) AS experiment_id, 'run:' || CAST(event_id % 7 AS VARCHAR) AS run_id, event_id, event_type FROM events),
+doomed AS (SELECT experiment_id, run_id FROM r GROUP BY ALL HAVING count(*) FILTER (WHERE event_type = 'error') % 3 = 0),
+active AS (SELECT experiment_id, run_id FROM r GROUP BY ALL HAVING max(event_id) % 2 = 0)
+SELECT experiment_id, run_id, count(*) AS n, coalesce((SELECT 'active' FROM doomed d WHERE d.experiment_id = r.experiment_id AND d.run_id = r.run_id), '') AS outcome
+FROM r WHERE (NOT EXISTS (SELECT 1 FROM doomed d WHERE d.experiment_id = r.experiment_id AND d.run_id = r.run_id)
+   OR EXISTS (SELECT 1 FROM active a WHERE a.experiment_id = r.experiment_id AND a.run_id = r.run_id))
+  AND experiment_id NOT IN (SELECT 'exp ' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1)
+GROUP BY experiment_id, run_id
 """,
 )
 def a13_drop_run(spark, sf_dir):
-    r = v7_runs(spark, sf_dir)
-    cust = read_table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
-    drop_ids = r.join(cust, r["o_custkey"] == cust["c_custkey"], "left_semi").select("experiment_id", "run_id")
-    res = r.select("experiment_id", "run_id")
-    _, kept = runs.drop_run(res, r.select("experiment_id", "run_id"), drop_ids)
-    return kept
+    """Results partitioned by experiment and run; runs with a number of
+    errors that three divides are dropped unless they are active, then the
+    experiments of a region's nations with all their runs. What is left is
+    read from the table."""
+    e = read_table(spark, sf_dir, "events")
+    r = e.select(
+        F.concat(F.lit("exp "), (F.col("user_id") % 20).cast("string")).alias("experiment_id"),
+        F.concat(F.lit("run:"), (F.col("event_id") % 7).cast("string")).alias("run_id"),
+        "event_id", "event_type",
+    )
+    target = scratch_path(spark, "results")
+    r.repartition("experiment_id", "run_id").write.partitionBy("experiment_id", "run_id").parquet(target)
+    per_run = r.groupBy("experiment_id", "run_id").agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.max("event_id").alias("last"))
+    outcome = PART.delete_runs(spark, [target], per_run.where("errors % 3 = 0"), per_run.where("last % 2 = 0"))
+    region = read_table(spark, sf_dir, "nation").where("n_regionkey = 1")
+    PART.delete_experiments(spark, [target], region.select(F.concat(F.lit("exp "), F.col("n_nationkey").cast("string")).alias("experiment_id")))
+    left = spark.read.schema(r.schema).parquet(target).groupBy("experiment_id", "run_id").agg(F.count(F.lit(1)).alias("n"))
+    return left.join(outcome, ["experiment_id", "run_id"], "left").select("experiment_id", "run_id", "n", F.coalesce("outcome", F.lit("")).alias("outcome"))
 
 
 # ------------------------------------------------------------------ deployments

@@ -20,6 +20,7 @@ from evalcat.functions import scoring as S
 from evalcat.operators.deployments import parse_pod_lines
 from evalcat.operators.runs import RUN_EVENT_STATUS, upsert_latest
 from evalcat.session import ensure_checkpoint_dir
+from evalcat.sources.partitions import path_exists, read_touched
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
@@ -99,12 +100,6 @@ def progress_stream(results: DataFrame, run_cols: Sequence[str] = ("experiment_i
 # --------------------------------------------------------------------------- #
 # I2 idempotent upsert sink
 # --------------------------------------------------------------------------- #
-def path_exists(spark, path: str) -> bool:
-    """Whether a file or folder is there, in whatever store Spark reads."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def upsert_sink(
     stream: DataFrame,
     target: str,
@@ -115,7 +110,7 @@ def upsert_sink(
 ):
     """Merge each micro-batch into a partitioned Parquet table, last
     write per key winning (E6). Only partitions touched by the batch are
-    rewritten (dynamic partition overwrite); a batch id already committed is
+    listed, read and rewritten (dynamic partition overwrite); a batch id already committed is
     skipped, so replays after a failure are idempotent."""
     spark = stream.sparkSession
     keys, partition_cols = list(keys), list(partition_cols)
@@ -127,14 +122,11 @@ def upsert_sink(
         done = path_exists(s, commits) and not s.read.parquet(commits).where(F.col("batch_id") == batch_id).isEmpty()
         if done or batch.isEmpty():
             return
-        touched = batch.select(*partition_cols).distinct()
-        merged = batch
+        best = upsert_latest(batch, [*partition_cols, *keys], seq_col)
         if path_exists(s, target):  # any other trouble with it fails the batch: prior rows must not be overwritten unread
-            existing = s.read.parquet(target).join(touched, partition_cols, "left_semi")
-            merged = existing.unionByName(batch.select(*existing.columns))
-        best = upsert_latest(merged, [*partition_cols, *keys], seq_col)
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        best.write.mode("overwrite").partitionBy(*partition_cols).parquet(target)
+            existing = read_touched(s, target, batch, partition_cols, batch.schema)
+            best = upsert_latest(existing.unionByName(best), [*partition_cols, *keys], seq_col)
+        best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(target)
         s.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(commits)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)

@@ -1,8 +1,10 @@
 import datetime as dt
+import pathlib
 
 from pyspark.sql import functions as F
 
 from evalcat.operators.summary import recount_runs
+from evalcat.sources import partitions as P
 from evalcat.streaming import jobs as J
 
 
@@ -129,3 +131,46 @@ def test_fold_run_applies_rules_in_order():
     assert (run["status"], run["finished"]) == ("interrupted", 17 * sec)
     run = J.fold_run(run, [(20 * sec, 1, "resume", 5, None, None)], 21 * sec, 15 * sec)
     assert (run["status"], run["total"], run["completed"], run["errors"], run["label"], run["resumed"]) == ("running", 5, 0, 0, None, [20 * sec])
+
+
+def test_upsert_reads_touched_partitions_only(spark):
+    """A partition that no batch touches may be unreadable."""
+    target, src = J.scratch_path(spark, "t"), J.scratch_path(spark, "s")
+    res = _results(spark)
+    one = res.where("experiment_id = 'exp0' AND run_id = 'run1'")
+    res.write.partitionBy("experiment_id", "run_id").parquet(target)
+    broken = pathlib.Path(target.removeprefix("file:")) / "experiment_id=exp1" / "run_id=run0"
+    (broken / "part-broken.parquet").write_text("no parquet")
+    one.withColumn("score", F.lit(-1.0)).withColumn("write_seq", F.col("write_seq") + 1000).write.parquet(src)
+    J.upsert_sink(spark.readStream.schema(one.schema).parquet(src), target).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema(one.schema).option("basePath", target).parquet(f"{target}/experiment_id=exp0")
+    assert {r.run_id: r.m for r in back.groupBy("run_id").agg(F.max("score").alias("m")).collect()}["run1"] == -1.0
+    assert back.where("run_id = 'run1'").count() == one.select("provider", "model", "example_id").distinct().count()
+
+
+def test_delete_runs_and_experiments(spark):
+    target, meta = J.scratch_path(spark, "t"), J.scratch_path(spark, "m")
+    names = [("e/1", "a:b", 1), ("e/1", "c", 2), ("e/1", "busy", 3), ("x", "a:b", 4), ("x", "d", 5)]
+    df = spark.createDataFrame(names, "experiment_id string, run_id string, v int")
+    for t in (target, meta):
+        df.write.partitionBy("experiment_id", "run_id").parquet(t)
+    doomed = spark.createDataFrame([("e/1", "a:b"), ("e/1", "busy"), ("e/1", "none"), ("e/1", "a:b")], "experiment_id string, run_id string")
+    busy = spark.createDataFrame([("e/1", "busy")], "experiment_id string, run_id string")
+    out = {(r.run_id, r.outcome) for r in P.delete_runs(spark, [target, meta], doomed, busy).collect()}
+    assert out == {("a:b", "deleted"), ("busy", "active"), ("none", "not_found")}
+    for t in (target, meta):
+        assert sorted(r.v for r in spark.read.parquet(t).collect()) == [2, 3, 4, 5]
+    assert P.delete_experiments(spark, [target, meta], spark.createDataFrame([("x",), ("nope",)], "experiment_id string")) == 1
+    assert sorted(r.v for r in spark.read.parquet(target).collect()) == [2, 3]
+
+
+def test_partitions_left_empty_are_dropped(spark):
+    target = J.scratch_path(spark, "t")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, v int")
+    df.write.partitionBy("k").parquet(target)
+    change = spark.createDataFrame([("a",), ("b",), ("new",)], "k string")
+    before = P.read_touched(spark, target, change, ["k"], "v int, k string")
+    assert sorted(r.v for r in before.collect()) == [1, 2, 3]
+    P.replace_touched(spark, target, before.where("v = 2"), ["k"], before)
+    assert sorted(r.v for r in spark.read.parquet(target).collect()) == [2, 4]
+    assert not P.path_exists(spark, P.partition_path(target, {"k": "b"}))
