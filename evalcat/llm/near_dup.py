@@ -15,10 +15,16 @@ and uniform variables of the general case, so other weights stay consistent.
 
 Documents that agree on all samples of a band share a bucket. In each bucket
 one document is compared with every other (weighted Jaccard, whole texts): linear
-in the bucket. Weighted Jaccard distance is a metric, so a pair of others
-can only be a link that changes a class if their distances from that one
-differ by at most 1 - threshold, and if they aren't in one class by then: exactly
-these pairs are compared as well. No link between bucket mates is lost, and copies are
+in the bucket. Then, in rounds, each bucket whose members are of several classes
+picks a pivot from the class with the most of them and compares it with the
+members of all others: a group of near copies on both sides of the threshold
+comes together in a few rounds, each linear in what is left of it. Rounds end
+when one finds no link, or after PIVOTS. Weighted Jaccard distance is a metric,
+so of two members that are still of two classes only those can be linked whose
+distances from the first document differ by at most 1 - threshold. And two
+documents have in common at most what either shares with any open member: of
+near copies with edits of their own, this tells which are still near enough.
+Exactly the pairs that both bounds allow are compared as well. No link between bucket mates that changes a class is lost, and copies are
 never expanded into pairs. Equal texts are one class before any of this.
 
 Edge cases: a null text is empty; equal texts are one class, empty ones too;
@@ -36,10 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalcat.llm.common import arrow_rows, staged
+from evalcat.llm.common import arrow_rows, sized_partitions, staged
 from evalcat.llm.components import connected_components
 
-SHINGLE, BANDS, ROWS = 5, 14, 4
+SHINGLE, BANDS, ROWS, PIVOTS = 5, 14, 4, 6
 BUCKETS, COMMON, FLOOR = 1 << 19, 0.01, 0.75
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -198,17 +204,87 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
     if stars.where(F.col("similarity") < threshold).isEmpty():
         return found
     # what the stars leave open, see above
-    roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = shared.join(stars, (F.least("rep", "rid") == F.col("a")) & (F.greatest("rep", "rid") == F.col("b"))).join(roots, F.col("rid") == F.col("node"), "left")
-    known = staged(known.select("band", "hash", "rid", "similarity", F.coalesce("root", "rid").alias("root")), "open-members")
-    far = known.where(F.col("similarity") < threshold).select("band", "hash", *[F.col(c).alias(f"x_{c}") for c in ("rid", "similarity", "root")])
-    open_ = known.join(far, ["band", "hash"]).where(
-        (F.col("root") != F.col("x_root"))
-        & ((F.col("similarity") >= threshold) | (F.col("rid") < F.col("x_rid")))
-        & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - threshold + 1e-9)
+    scored = shared.join(stars, (F.least("rep", "rid") == F.col("a")) & (F.greatest("rep", "rid") == F.col("b"))).select("band", "hash", "rid", "similarity", "rep")
+    # the compared one itself is in its bucket, too
+    reps = scored.select("band", "hash", F.col("rep").alias("rid"), F.lit(1.0).alias("similarity"), "rep").distinct()
+    scored = staged(scored.unionByName(reps), "scored-members")
+    tried = stars.select("a", "b")
+    known = _open_members(scored, found)
+    scored = staged(scored.join(_shared_weights(known.select("rid").distinct(), texts, common), "rid"), "weighed-members")
+    for i in range(PIVOTS):
+        known = _open_members(scored, found)
+        # the least edited of a class, roughly, links the most
+        best = F.struct(F.round(F.col("shared") / F.col("weight"), 1 if i else 3).alias("r"), F.xxhash64("rid", F.lit(i)).alias("h"), "rid")
+        pivots = known.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("rid", "weight", "shared"), best).alias("p"))
+        pivots = pivots.groupBy(F.col("band").alias("p_band"), F.col("hash").alias("p_hash")).agg(F.max_by(F.struct("p.rid", "p.weight", "p.shared", "root"), F.struct("n", "root")).alias("p"))
+        met = known.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("hash") == F.col("p_hash"))).where((F.col("root") != F.col("p.root")) & _can_reach("", "p.", threshold))
+        pairs = met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pivot-pairs")
+        more = _compared(pairs, texts, common).where(F.col("similarity") >= threshold)
+        tried = tried.unionByName(pairs)
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+    # what no pivot has joined: pair by pair, if both bounds allow a link
+    known = _open_members(scored, found)
+    other = known.select("band", "hash", *[F.col(c).alias(f"x_{c}") for c in ("rid", "similarity", "root", "weight", "shared")])
+    open_ = known.join(other, ["band", "hash"]).where(
+        (F.col("root") != F.col("x_root")) & (F.col("rid") < F.col("x_rid")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - threshold + 1e-9) & _can_reach("", "x_", threshold)
     )
-    rest = staged(open_.select(F.least("rid", "x_rid").alias("a"), F.greatest("rid", "x_rid").alias("b")).distinct(), "open-pairs")
-    return found.unionByName(_compared(rest, texts, common).where(F.col("similarity") >= threshold))
+    rest = open_.select(F.col("rid").alias("a"), F.col("x_rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return found.unionByName(_compared(staged(rest, "open-pairs"), texts, common).where(F.col("similarity") >= threshold))
+
+
+def _can_reach(p: str, q: str, threshold: float):
+    """Whether two documents can be that similar: they have no more in common
+    than either shares with any document."""
+    both = F.least(F.col(f"{p}shared"), F.col(f"{q}shared"))
+    return both >= (F.col(f"{p}weight") + F.col(f"{q}weight") - both) * (threshold - 1e-9)
+
+
+def _shared_weights(rids: DataFrame, texts: DataFrame, common) -> DataFrame:
+    """(rid, weight, shared): of each of these documents the weight of its
+    shingles, and of those that any other of these documents has. Shingles
+    meet by hash in parts of some hundred documents' worth, packed."""
+    some = staged(texts.hint("shuffle_merge").join(rids, "rid", "left_semi"), "open-texts")
+    parts = sized_partitions(some.count(), 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from evalcat.llm.textcache import in_slices
+
+        for batch in batches:
+            rid, t = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in in_slices(t):
+                s, w, n = weighted_sets(t[a:b], common)
+                part = (s >> U(20)) % U(parts)
+                order = np.argsort(part, kind="stable")
+                used, starts = np.unique(part[order], return_index=True)
+                ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+                listed = lambda x: pa.ListArray.from_arrays(ends, pa.array(x[order]))  # noqa: E731,B023
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), listed(s.view(np.int64)), listed(np.repeat(rid[a:b], n)), listed(w)], names=["part", "shingles", "rids", "weights"])
+
+    def count(t: pa.Table) -> pa.Table:
+        s, rid, w = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("shingles", "rids", "weights"))
+        order = np.argsort(s, kind="stable")
+        first = np.r_[True, s[order][1:] != s[order][:-1]]
+        alone = np.empty(len(s), bool)
+        alone[order] = first & np.r_[first[1:], True]
+        ids, at = np.unique(rid, return_inverse=True)
+        return pa.table({"rid": ids, "weight": np.bincount(at, weights=w), "shared": np.bincount(at, weights=np.where(alone, 0.0, w))})
+
+    packed = some.select("rid", "text").mapInArrow(run, "part long, shingles array<long>, rids array<long>, weights array<double>")
+    sums = packed.groupBy("part").applyInArrow(count, "rid long, weight double, shared double")
+    return staged(sums.groupBy("rid").agg(F.sum("weight").alias("weight"), F.sum("shared").alias("shared")), "shared-weights")
+
+
+def _open_members(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their component (``root``) of those buckets whose members
+    are of several."""
+    roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = scored.join(roots, F.col("rid") == F.col("node"), "left").drop("node", "rep").withColumn("root", F.coalesce("root", "rid"))
+    known = staged(known, "known-members")
+    several = known.groupBy("band", "hash").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("band", "hash")
+    return staged(known.join(several, ["band", "hash"], "left_semi"), "open-members")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

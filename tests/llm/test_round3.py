@@ -177,3 +177,38 @@ def test_audit_against_brute_force(spark):
     assert filter_audit.audit(filter_audit.document_cells(df.limit(0), lab)).count() == 0
     alone = filter_audit.audit(filter_audit.document_cells(df, lab.limit(0))).agg({"good_lost": "max", "toxic_lost": "max"}).first()
     assert list(alone) == [0, 0]
+
+
+def test_mixed_group_of_near_copies_has_brute_force_classes(spark):
+    """1,500 edited copies of one text, similar to each other on both sides of
+    0.8, some sharing an edit: classes equal those of all pairs."""
+    from evalcat.llm import near_dup
+
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(1500):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 7))):
+            words[int(rng.integers(0, 150))] = f"e{rng.integers(0, 40)}" if i % 3 == 0 else f"u{i}x{rng.integers(0, 999)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df)[1].collect()}
+    common = near_dup.common_buckets(df.select("text"), len(texts))
+    s, w, n = near_dup.weighted_sets(texts, common)
+    names, at = np.unique(s, return_inverse=True)
+    weights = np.zeros((len(texts), len(names)), np.float32)
+    weights[np.repeat(np.arange(len(texts)), n), at] = w
+    total = weights.sum(axis=1)
+    label = np.arange(len(texts))
+    links = []
+    for i in range(len(texts)):
+        both = np.minimum(weights[i], weights).sum(axis=1)
+        links.append(np.flatnonzero(both / (total[i] + total - both) >= 0.8))
+    while True:
+        low = np.array([label[x].min() for x in links])
+        if (low == label).all():
+            break
+        label = low
+    assert [got[i] for i in range(len(texts))] == label.tolist()
+    assert 1 < len(set(label.tolist())) < 1400  # both sides are there
