@@ -202,22 +202,28 @@ def h38_request_kwargs(spark, sf_dir):
     V1
     + """
 SELECT experiment_id, run_id, 'running' AS status, count(*) AS total, CAST(0 AS BIGINT) AS completed,
-       CAST(0 AS BIGINT) AS errors, 0 AS n_resumed
+       CAST(0 AS BIGINT) AS errors, 0 AS n_resumed, '{"id":"' || experiment_id || '"}' AS definition, CAST(0 AS BIGINT) AS n_results
 FROM v1 GROUP BY experiment_id, run_id
 """,
 )
 def a11_a8_start_and_read_runs(spark, sf_dir):
     """A11 lays down one running run per (experiment, run) with its task
-    total; A8 reads the metadata back."""
+    total, a snapshot of its experiment and an empty result file; A8 and A5
+    read them back."""
     r = v1_results(spark, sf_dir)
     runs = r.groupBy("experiment_id", "run_id").agg(
         F.count(F.lit(1)).alias("total"), F.date_format(F.min("finished_at"), S.ISO_FORMAT).alias("started_at")
     )
     root = scratch_path(spark, "runs")
-    SRC.start_runs(runs, root)
-    back = SRC.read_run_table(spark, root)
+    snapshots, results = scratch_path(spark, "snapshots"), scratch_path(spark, "results")
+    experiments = runs.select("experiment_id").distinct().withColumn("definition", F.to_json(F.struct(F.col("experiment_id").alias("id"))))
+    SRC.start_runs(runs, root, experiments, snapshots, results)
+    keys = ["experiment_id", "run_id"]
+    kept = spark.read.text(snapshots).withColumnRenamed("value", "definition")
+    rows = SRC.read_results(spark, results).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    back = SRC.read_run_table(spark, root).join(kept, keys).join(rows, keys, "left")
     return back.select(
-        "experiment_id", "run_id", "status", "total", "completed", "errors", F.size("resumed_at").alias("n_resumed")
+        *keys, "status", "total", "completed", "errors", F.size("resumed_at").alias("n_resumed"), "definition", F.coalesce("n", F.lit(0)).alias("n_results")
     )
 
 

@@ -242,9 +242,13 @@ def results_as_text(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def write_results(results: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
     """Result CSV sink: fixed column order, sorted by result_id, quotes
     only where needed with doubled quotes, leading/trailing whitespace
-    preserved, null -> empty cell; optionally partitioned by run keys."""
+    preserved, null -> empty cell; optionally partitioned by run keys.
+
+    Rows are dealt out by ranges of (run keys, result_id): a run lies in the
+    files of one task or of a few that follow each other, and the numbers in
+    the file names keep its order over them."""
     extra = [c for c in partition_cols if c in results.columns]
-    text = results_as_text(results, extra).orderBy("_rid").drop("_rid")
+    text = results_as_text(results, extra).repartitionByRange(*extra, "_rid").sortWithinPartitions(*extra, "_rid").drop("_rid")
     w = text.write.mode("overwrite").options(**_CSV_WRITE)
     if extra:
         w = w.partitionBy(*extra)
@@ -320,11 +324,22 @@ def read_json_dir(
     return df.withColumn(key, stem).orderBy(key)
 
 
-def start_runs(runs: DataFrame, root: str) -> None:
+def start_runs(runs: DataFrame, root: str, experiments: DataFrame | None = None, snapshots: str | None = None, results: str | None = None) -> None:
     """Lay down new runs: one metadata document per (experiment_id,
     run_id) with status running, no finish, no resumes, the task total and
     zero counters, written under ``root/experiment_id=<e>/run_id=<r>/``.
-    ``runs`` has experiment_id, run_id, started_at (ISO text) and total."""
+    ``runs`` has experiment_id, run_id, started_at (ISO text) and total.
+
+    With ``experiments`` (experiment_id, definition JSON text) each run's
+    definition of now is kept under ``snapshots``, and with ``results`` each
+    run has a result file there with nothing but its header, both by
+    experiment and run like the metadata."""
+    keys = ["experiment_id", "run_id"]
+    if experiments is not None:
+        kept = runs.select(*keys).join(experiments.select("experiment_id", F.col("definition").alias("value")), "experiment_id")
+        kept.select("value", *keys).write.partitionBy(*keys).text(snapshots)
+    if results is not None:
+        runs.select(F.lit(",".join(RESULT_COLUMNS)).alias("value"), *keys).write.partitionBy(*keys).text(results)
     meta = runs.select(
         "experiment_id",
         "run_id",

@@ -3,6 +3,7 @@ import io
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalcat.sources import files as SRC
 from evalcat.sources.positions import csv_records
@@ -171,3 +172,25 @@ def test_results_whose_numbers_cannot_be_read(spark, tmp_path):
     assert sorted(r.error for r in bad.collect()) == ["example_id is not a number: ", "result_id is not a number: 3.5", "score is not a number: high"]
     with pytest.raises(Exception, match="is not a number"):
         SRC.read_results(spark, str(p)).collect()
+
+
+def test_results_of_a_run_keep_their_order_over_files(spark):
+    rows = spark.range(400).select(
+        (400 - F.col("id")).alias("result_id"), F.lit("completed").alias("status"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.col("id").alias("example_id"),
+        F.lit("o").alias("output"), F.lit(1.0).alias("score"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("score_reason"),
+        *[F.lit(None).cast("double").alias(c) for c in ("input_tokens", "output_tokens", "latency_ms", "ttft_ms", "tps", "num_llm_calls")],
+        F.when(F.col("id") % 3 == 0, "r1").otherwise("r2").alias("run_id"),
+    )
+    path = _dir(spark)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        SRC.write_results(rows, path, ["run_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    back = spark.read.option("header", "true").csv(path).select("run_id", F.col("_metadata.file_name").alias("f"), F.col("result_id").cast("int").alias("i"), F.monotonically_increasing_id().alias("n"))
+    for run, want in (("r1", 134), ("r2", 266)):
+        got = sorted((r.f, r.n, r.i) for r in back.where(F.col("run_id") == run).collect())
+        assert len(got) == want and [i for _, _, i in got] == sorted(i for _, _, i in got)
+        assert len({f for f, _, _ in got}) > 1
+    assert SRC.read_results(spark, path).count() == 400
