@@ -276,14 +276,17 @@ def c15_match_drafts(spark, sf_dir):
     + _PREC_SQL
     + _SEL_SQL
     + """
-SELECT s.model, s.ss, s.bs, s.artifact FROM selections s
-WHERE s.draft_for IS NULL AND regexp_matches(s.artifact, '-sd\\d+')
-  AND NOT EXISTS (SELECT 1 FROM selections d WHERE d.draft_for = s.model AND d.ss = s.ss AND d.bs = s.bs)
+SELECT s.model, s.ss, s.bs, s.artifact || '-sd5' AS artifact
+FROM (SELECT * REPLACE (CASE WHEN length(ss) % 2 = 0 THEN '99' ELSE bs END AS bs) FROM selections) s
+WHERE s.draft_for IS NULL AND NOT EXISTS (SELECT 1 FROM selections d WHERE d.draft_for = s.model AND d.ss = s.ss AND d.bs = s.bs)
 """,
 )
 def c16_missing_drafts(spark, sf_dir):
+    """Beside every selection one of a speculative artifact, some of a
+    batch size that has no draft."""
     _, _, _, sel = _selections(spark, sf_dir)
-    return C.missing_drafts(sel).select("model", "ss", "bs", "artifact")
+    speculative = sel.where("draft_for IS NULL").withColumn("artifact", F.concat("artifact", F.lit("-sd5"))).withColumn("bs", F.when(F.length("ss") % 2 == 0, F.lit("99")).otherwise(F.col("bs")))
+    return C.missing_drafts(sel.unionByName(speculative)).select("model", "ss", "bs", "artifact")
 
 
 @register(

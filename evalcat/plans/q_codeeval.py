@@ -12,6 +12,7 @@ from evalcat.operators import codeeval as CO
 from evalcat.plans.adapters import V4_SQL, v4_steps
 from evalcat.plans.registry import register
 from evalcat.session import read_table
+from evalcat.streaming.jobs import scratch_path
 
 _LIST = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
 
@@ -230,26 +231,38 @@ def e4_cumulative_code(spark, sf_dir):
     f"""
 WITH steps AS ({V4_SQL}),
 nested AS (SELECT problem_id, count(*) AS n_steps, arg_min(step_number, step_idx) AS first_step,
-                  count(given_code) AS n_given, arg_min(step_description_prompt, step_idx) AS description
+                  count(given_code) AS n_given, arg_min(step_description_prompt, step_idx) AS description,
+                  string_agg(test_cases[1] || chr(10) || 'import refkits', '|' ORDER BY step_idx) AS tests,
+                  string_agg(step_background, '|' ORDER BY step_idx) AS backgrounds
            FROM steps GROUP BY problem_id, required_dependencies)
-SELECT problem_id, n_steps, first_step, n_given, TRY_CAST(problem_id AS BIGINT) AS example_id,
-       {strip_sql('description')} AS prompt, 'ratio:' AS expected_output
+SELECT problem_id, n_steps, first_step, n_given, tests, backgrounds, TRY_CAST(problem_id AS BIGINT) AS example_id,
+       {strip_sql('description')} || CASE WHEN CAST(problem_id AS BIGINT) % 2 = 0 THEN chr(10) || chr(10) || 'Input: x' ELSE '' END AS prompt, 'ratio:' AS expected_output
 FROM nested
 """,
 )
 def a17_convert_problems(spark, sf_dir):
+    """Problems written as fixture lines, their tests without the
+    imports of a package, and read back; example rows with the problem's
+    input text."""
     steps = v4_steps(spark, sf_dir)
-    nested = CO.nest_problems(steps)
-    flat = nested.select(
+    lined = lambda t: F.concat(F.lit("from refkit.compare import close\n"), t, F.lit("\n\timport refkit as r\nimport refkits\n"))
+    steps = steps.withColumn("test_cases", F.transform("test_cases", lined)).withColumn("step_background", F.concat(F.lit(" "), "step_background", F.lit("\n")))
+    nested = CO.nest_problems(steps, "refkit")
+    path = scratch_path(spark, "fixtures")
+    CO.write_fixtures(nested, path)
+    flat = spark.read.schema(nested.schema).json(path).select(
         "problem_id",
         F.size("sub_steps").cast("long").alias("n_steps"),
         F.get("sub_steps", 0)["step_number"].alias("first_step"),
         F.size(F.filter("sub_steps", lambda s: s["given_code"].isNotNull())).cast("long").alias("n_given"),
+        F.array_join(F.transform("sub_steps", lambda s: F.array_join(s["test_cases"], ",")), "|").alias("tests"),
+        F.array_join(F.transform("sub_steps", lambda s: s["step_background"]), "|").alias("backgrounds"),
         F.get("sub_steps", 0)["step_description_prompt"].alias("problem_description_main"),
+        F.when(F.col("problem_id").cast("long") % 2 == 0, F.lit(" Input: x ")).otherwise(F.lit(" ")).alias("problem_io"),
     )
     ex = CO.problem_examples(flat)
     return flat.join(ex, F.col("problem_id").try_cast("long") == ex["example_id"], "left").select(
-        "problem_id", "n_steps", "first_step", "n_given", "example_id", "prompt", "expected_output"
+        "problem_id", "n_steps", "first_step", "n_given", "tests", "backgrounds", "example_id", "prompt", "expected_output"
     )
 
 
