@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from evalcat.llm.common import arrow_rows, sized_partitions, staged
 from evalcat.llm.components import connected_components
 
-SHINGLE, BANDS, ROWS, PIVOTS = 5, 14, 4, 6
+SHINGLE, BANDS, ROWS, PIVOTS = 5, 14, 4, 3
 BUCKETS, COMMON, FLOOR = 1 << 19, 0.01, 0.75
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -210,9 +210,11 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
     scored = staged(scored.unionByName(reps), "scored-members")
     tried = stars.select("a", "b")
     known = _open_members(scored, found)
-    scored = staged(scored.join(_shared_weights(known.select("rid").distinct(), texts, common), "rid"), "weighed-members")
+    weights = _shared_weights(known.select("rid").distinct(), texts, common)
+    # buckets that are one class by now need nothing more
+    scored = staged(known.drop("root").join(weights, "rid"), "weighed-members")
+    known = known.join(weights, "rid")
     for i in range(PIVOTS):
-        known = _open_members(scored, found)
         # the least edited of a class, roughly, links the most
         best = F.struct(F.round(F.col("shared") / F.col("weight"), 1 if i else 3).alias("r"), F.xxhash64("rid", F.lit(i)).alias("h"), "rid")
         pivots = known.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("rid", "weight", "shared"), best).alias("p"))
@@ -225,8 +227,8 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
         if more.isEmpty():
             break
         found = found.unionByName(more)
+        known = _open_members(scored, found)
     # what no pivot has joined: pair by pair, if both bounds allow a link
-    known = _open_members(scored, found)
     other = known.select("band", "hash", *[F.col(c).alias(f"x_{c}") for c in ("rid", "similarity", "root", "weight", "shared")])
     open_ = known.join(other, ["band", "hash"]).where(
         (F.col("root") != F.col("x_root")) & (F.col("rid") < F.col("x_rid")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - threshold + 1e-9) & _can_reach("", "x_", threshold)
