@@ -4,7 +4,7 @@ A ``tokenizers`` file is applied to every whole text. The files used here are
 BPE over pre-tokens that never span certain places (``textcache.Buffer.chunks``),
 so a text's ids are the ids of its chunks one after another, and each distinct
 chunk goes through the library once while it is kept. Tokenizers of any other
-kind get whole texts. ``tests/llm/test_tokens.py`` compares both ways.
+kind get whole texts. ``tests/llm/test_operators.py`` compares both ways.
 """
 
 from __future__ import annotations
