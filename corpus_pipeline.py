@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models and tokenizers aren't SQL; tests/llm/test_pipeline.py has the brute-force version.
+#: Trained models and tokenizers are no SQL. tests/llm/test_operators.py runs the stages on a small table.
 ORACLE_SQL = None
 
 
