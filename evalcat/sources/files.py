@@ -164,6 +164,7 @@ def count_examples(spark: SparkSession, path: str) -> int:
 #: Text that reads as a whole number, or as a number, once blanks around it
 #: and single underscores between digits are gone.
 _WHOLE = r"^[+-]?\d+$"
+_PLAIN = r"^[+-]?\d+(\.\d+)?$"  # has nothing to be cleaned of
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
 
 
@@ -179,9 +180,7 @@ def _number(c: Column) -> Column:
     return F.when(_digits(c).rlike(_NUMBER), _digits(c).try_cast("double"))
 
 
-def _num_or_null(c: Column) -> Column:
-    d = _number(c)
-    return F.when(is_finite(d), d)
+_RESULT_NUMBERS = ("result_id", "example_id", "score", "weight", "input_tokens", "output_tokens", "latency_ms", "ttft_ms", "tps", "num_llm_calls")
 
 
 def read_results(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -197,33 +196,39 @@ def read_results(spark: SparkSession, path: str, mode: str = "failfast") -> Data
     for c in RESULT_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    txt = {c: F.coalesce(F.col(c), F.lit("")) for c in RESULT_COLUMNS}
-    ids = {c: _whole(txt[c]) for c in ("result_id", "example_id")}
-    score = F.when(txt["score"] == "", F.lit(0.0)).otherwise(_number(txt["score"]))
     extra = [c for c in df.columns if c not in RESULT_COLUMNS]  # e.g. partition columns
-    wrong = lambda c: F.concat(F.lit(f"{c} is not a number: "), txt[c])
-    error = F.when(ids["result_id"].isNull(), wrong("result_id")).when(ids["example_id"].isNull(), wrong("example_id")).when(score.isNull(), wrong("score"))
-    checked = df if mode == "quarantine" else df.withColumn("result_id", F.when(error.isNull(), F.col("result_id")).otherwise(F.raise_error(error)))
-    good = checked.where(error.isNull()) if mode == "quarantine" else checked
+    txt = {c: F.coalesce(F.col(c), F.lit("")) for c in RESULT_COLUMNS}
+    bare = lambda c: F.col(f"_bare_{c}")
+    num = lambda c: F.col(f"_num_{c}")
+    # each text is trimmed once and each number read once, in a projection of its own
+    rows = df.withColumns({f"_bare_{c}": F.when((txt[c] == "") | txt[c].rlike(_PLAIN), txt[c]).otherwise(_digits(txt[c])) for c in _RESULT_NUMBERS})
+    read = {c: F.when(bare(c).rlike(_WHOLE), bare(c).try_cast("long")) if c.endswith("_id") else F.when(bare(c).rlike(_NUMBER), bare(c).try_cast("double")) for c in _RESULT_NUMBERS}
+    rows = rows.withColumns({f"_num_{c}": F.when(txt[c] == "", F.lit(0.0)).otherwise(n) if c == "score" else n for c, n in read.items()})
+    wrong = lambda c: F.when(num(c).isNull(), F.concat(F.lit(f"{c} is not a number: "), txt[c]))
+    error = F.coalesce(*[wrong(c) for c in ("result_id", "example_id", "score")])
+    good = rows.where(error.isNull()) if mode == "quarantine" else rows
+    finite = lambda c: F.when(is_finite(num(c)), num(c))
     typed = good.select(
-        ids["result_id"].alias("result_id"),
+        (num("result_id") if mode == "quarantine" else F.when(error.isNull(), num("result_id")).otherwise(F.raise_error(error).cast("long"))).alias("result_id"),
         F.when(txt["status"] == "", F.lit("completed")).otherwise(txt["status"]).alias("status"),
         txt["provider"].alias("provider"),
         txt["model"].alias("model"),
-        ids["example_id"].alias("example_id"),
+        num("example_id").alias("example_id"),
         txt["output"].alias("output"),
-        score.alias("score"),
-        F.coalesce(_num_or_null(txt["weight"]), F.lit(1.0)).alias("weight"),
+        num("score").alias("score"),
+        F.coalesce(finite("weight"), F.lit(1.0)).alias("weight"),
         F.nullif(txt["score_reason"], F.lit("")).alias("score_reason"),
-        _num_or_null(txt["input_tokens"]).cast("long").alias("input_tokens"),
-        _num_or_null(txt["output_tokens"]).cast("long").alias("output_tokens"),
-        _num_or_null(txt["latency_ms"]).alias("latency_ms"),
-        _num_or_null(txt["ttft_ms"]).alias("ttft_ms"),
-        _num_or_null(txt["tps"]).alias("tps"),
-        _num_or_null(txt["num_llm_calls"]).cast("long").alias("num_llm_calls"),
+        finite("input_tokens").cast("long").alias("input_tokens"),
+        finite("output_tokens").cast("long").alias("output_tokens"),
+        finite("latency_ms").alias("latency_ms"),
+        finite("ttft_ms").alias("ttft_ms"),
+        finite("tps").alias("tps"),
+        finite("num_llm_calls").cast("long").alias("num_llm_calls"),
         *extra,
     )
-    return (typed, df.withColumn("error", error).where("error IS NOT NULL")) if mode == "quarantine" else typed
+    if mode != "quarantine":
+        return typed
+    return typed, rows.withColumn("error", error).where("error IS NOT NULL").select(*df.columns, "error")
 
 
 def results_as_text(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -236,7 +241,7 @@ def results_as_text(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             cols.append(F.coalesce(F.col(c), F.lit("")).alias(c))
         else:
             cols.append(num_text(F.col(c)).alias(c))
-    return results.select(*cols, *keep, F.col("result_id").alias("_rid"))
+    return results.select(*cols, *keep)
 
 
 def write_results(results: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
@@ -246,10 +251,11 @@ def write_results(results: DataFrame, path: str, partition_cols: Sequence[str] =
 
     Rows are dealt out by ranges of (run keys, result_id): a run lies in the
     files of one task or of a few that follow each other, and the numbers in
-    the file names keep its order over them."""
+    the file names keep its order over them. They are dealt as they are, so that
+    as many tasks as there are ranges write the text, whatever files they come from."""
     extra = [c for c in partition_cols if c in results.columns]
-    text = results_as_text(results, extra).repartitionByRange(*extra, "_rid").sortWithinPartitions(*extra, "_rid").drop("_rid")
-    w = text.write.mode("overwrite").options(**_CSV_WRITE)
+    dealt = results.repartitionByRange(*extra, "result_id").sortWithinPartitions(*extra, "result_id")
+    w = results_as_text(dealt, extra).write.mode("overwrite").options(**_CSV_WRITE)
     if extra:
         w = w.partitionBy(*extra)
     w.csv(path)

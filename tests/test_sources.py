@@ -194,3 +194,16 @@ def test_results_of_a_run_keep_their_order_over_files(spark):
         assert len(got) == want and [i for _, _, i in got] == sorted(i for _, _, i in got)
         assert len({f for f, _, _ in got}) > 1
     assert SRC.read_results(spark, path).count() == 400
+
+
+def test_results_trim_and_read_each_number_once(spark, tmp_path):
+    """Ten number columns: ten cleanings and ten casts in the plan, not some for each use."""
+    p = tmp_path / "results.csv"
+    p.write_text("result_id,status,provider,model,example_id,output,score,weight,input_tokens,output_tokens,latency_ms,ttft_ms,tps,num_llm_calls\n 1_0,,p,m,+7,o, 5e-1 ,\u2003-2.5,1,2.0,.5,1.,-inf,2\n")
+    df = SRC.read_results(spark, str(p))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 10 and plan.count("try_cast") + plan.count("cast(_bare") <= 20
+    r = df.first()
+    assert (r.result_id, r.example_id, r.score, r.weight, r.input_tokens, r.output_tokens, r.latency_ms, r.ttft_ms, r.tps, r.num_llm_calls) == (10, 7, 0.5, -2.5, 1, 2, 0.5, 1.0, None, 2)
+    good, bad = SRC.read_results(spark, str(p), mode="quarantine")
+    assert good.count() == 1 and bad.columns == [*spark.read.option("header", "true").csv(str(p)).columns, "score_reason", "error"]
