@@ -174,3 +174,20 @@ def test_partitions_left_empty_are_dropped(spark):
     P.replace_touched(spark, target, before.where("v = 2"), ["k"], before)
     assert sorted(r.v for r in spark.read.parquet(target).collect()) == [2, 4]
     assert not P.path_exists(spark, P.partition_path(target, {"k": "b"}))
+
+
+def test_live_runs_share_states_by_bucket(spark, monkeypatch):
+    """Python is called for buckets of runs, not for each; ids that are numbers or null stay so."""
+    monkeypatch.setattr(J, "LIVE_BUCKETS", 3)
+    t0 = dt.datetime(2024, 1, 1)
+    big = 2**60 + 1
+    rows = [(big + i if i else None, i, k, t0 + dt.timedelta(seconds=s + i), s, None if k != "create" else 5, k == "row" and i % 2 == 0, None) for i in range(40) for k, s in (("create", 0), ("row", 2), ("row", 4), ("abort", 9))]
+    rows = [(e, r, k, t, q, n, f if k == "row" else None, x) for e, r, k, t, q, n, f, x in rows] + [(0, -1, "create", t0 + dt.timedelta(days=1), 0, 1, None, None)]
+    ev = spark.createDataFrame(rows, "experiment_id long, run_id int, event string, ts timestamp, seq int, total int, failed boolean, label string")
+    path, schema = J.stage_files(ev, 2)
+    target = J.scratch_path(spark, "log")
+    q = J.append_log(J.live_runs(spark.readStream.schema(schema).parquet(path), "10 seconds"), target, J.scratch_path(spark, "ckpt"))
+    q.awaitTermination()
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 3
+    got = {(r.experiment_id, r.run_id): (r.status, r.total, r.completed, r.errors) for r in J.latest_states(spark.read.parquet(target)).collect()}
+    assert got == {(big + i if i else None, i): ("aborted", 5, 2, 2 * (i % 2 == 0)) for i in range(40)}
