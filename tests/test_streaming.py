@@ -191,3 +191,20 @@ def test_live_runs_share_states_by_bucket(spark, monkeypatch):
     assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 3
     got = {(r.experiment_id, r.run_id): (r.status, r.total, r.completed, r.errors) for r in J.latest_states(spark.read.parquet(target)).collect()}
     assert got == {(big + i if i else None, i): ("aborted", 5, 2, 2 * (i % 2 == 0)) for i in range(40)}
+
+
+def test_state_on_disk(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    t0 = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([("e", f"r{i}", "create", t0 + dt.timedelta(seconds=i), 0) for i in range(60)], "experiment_id string, run_id string, event string, ts timestamp, seq int")
+    path, schema = J.stage_files(ev, 2)
+    target = J.scratch_path(spark, "sink")
+    closed = J.reap_orphans_stream(J.file_stream(spark, path, schema, 2), "10 seconds", grace_seconds=15)
+    with J.state_on_disk(spark):
+        q = closed.writeStream.option("checkpointLocation", J.scratch_path(spark, "ckpt")).option("path", target).format("parquet").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.conf.get(key, None) == before
+    assert any("rocksdb" in m for p in q.recentProgress for op in p["stateOperators"] for m in op["customMetrics"])
+    # the watermark is 49 s: sessions that end by then are closed
+    assert sorted(r.run_id for r in spark.read.parquet(target).collect()) == sorted(f"r{i}" for i in range(35))
