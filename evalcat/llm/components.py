@@ -28,10 +28,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(_directed(large), "edges")
+        # repeats go with the second half's
+        large = staged(large.where(F.col("u") != F.col("v")), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(_directed(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))), "edges")
-        parents = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if parents.where("n > 1").isEmpty() and now.join(now.select(F.col("u").alias("k")), F.col("v") == F.col("k"), "left_semi").isEmpty():
+        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # no node has two above it in its star, or is both below one and above another
+        if ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -23,8 +23,9 @@ when one finds no link, or after PIVOTS. Weighted Jaccard distance is a metric,
 so of two members that are still of two classes only those can be linked whose
 distances from the first document differ by at most 1 - threshold. And two
 documents have in common at most what either shares with any open member: of
-near copies with edits of their own, this tells which are still near enough.
-Exactly the pairs that both bounds allow are compared as well. No link between bucket mates that changes a class is lost, and copies are
+near copies with edits of their own, this tells which are still near enough; it
+holds in each of CELLS cells of the hashes too, which sees what one lacks there.
+Exactly the pairs that these bounds allow are compared as well. No link between bucket mates that changes a class is lost, and copies are
 never expanded into pairs. Equal texts are one class before any of this.
 
 Edge cases: a null text is empty; equal texts are one class, empty ones too;
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from evalcat.llm.common import arrow_rows, sized_partitions, staged
 from evalcat.llm.components import connected_components
 
-SHINGLE, BANDS, ROWS, PIVOTS = 5, 14, 4, 3
+SHINGLE, BANDS, ROWS, PIVOTS, CELLS = 5, 14, 4, 3, 128
 BUCKETS, COMMON, FLOOR = 1 << 19, 0.01, 0.75
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -210,7 +211,8 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
     scored = staged(scored.unionByName(reps), "scored-members")
     tried = stars.select("a", "b")
     known = _open_members(scored, found)
-    weights = _shared_weights(known.select("rid").distinct(), texts, common)
+    shared_cells = _shared_weights(known.select("rid").distinct(), texts, common)
+    weights = shared_cells.drop("cells")
     # buckets that are one class by now need nothing more
     scored = staged(known.drop("root").join(weights, "rid"), "weighed-members")
     known = known.join(weights, "rid")
@@ -228,12 +230,14 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
             break
         found = found.unionByName(more)
         known = _open_members(scored, found)
-    # what no pivot has joined: pair by pair, if both bounds allow a link
+    # what no pivot has joined: pair by pair, if all bounds allow a link
     other = known.select("band", "hash", *[F.col(c).alias(f"x_{c}") for c in ("rid", "similarity", "root", "weight", "shared")])
     open_ = known.join(other, ["band", "hash"]).where(
         (F.col("root") != F.col("x_root")) & (F.col("rid") < F.col("x_rid")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - threshold + 1e-9) & _can_reach("", "x_", threshold)
     )
     rest = open_.select(F.col("rid").alias("a"), F.col("x_rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    side = lambda p: shared_cells.select(F.col("rid").alias(p), F.struct("weight", "cells").alias(f"of_{p}"))
+    rest = rest.join(side("a"), "a").join(side("b"), "b").where(_can_share("of_a.", "of_b.", threshold)).select("a", "b")
     return found.unionByName(_compared(staged(rest, "open-pairs"), texts, common).where(F.col("similarity") >= threshold))
 
 
@@ -244,12 +248,22 @@ def _can_reach(p: str, q: str, threshold: float):
     return both >= (F.col(f"{p}weight") + F.col(f"{q}weight") - both) * (threshold - 1e-9)
 
 
+def _can_share(p: str, q: str, threshold: float):
+    """The same cell by cell: in none have they more in common than either shares there."""
+    both = F.aggregate(F.zip_with(f"{p}cells", f"{q}cells", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
+    return both >= (F.col(f"{p}weight") + F.col(f"{q}weight") - both) * (threshold - 1e-9)
+
+
 def _shared_weights(rids: DataFrame, texts: DataFrame, common) -> DataFrame:
-    """(rid, weight, shared): of each of these documents the weight of its
-    shingles, and of those that any other of these documents has. Shingles
-    meet by hash in parts of some hundred documents' worth, packed."""
+    """(rid, weight, shared, cells): of each of these documents the weight of its
+    shingles, of those that any other of these documents has, and of the latter
+    in each of CELLS cells of the hashes. Shingles meet by hash in parts of some
+    hundred documents' worth, packed."""
     some = staged(texts.hint("shuffle_merge").join(rids, "rid", "left_semi"), "open-texts")
     parts = sized_partitions(some.count(), 500)
+    # a part is some cells, or a cell some parts
+    each = -(-parts // CELLS)
+    parts = parts if each == 1 else CELLS * each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from evalcat.llm.textcache import in_slices
@@ -258,7 +272,7 @@ def _shared_weights(rids: DataFrame, texts: DataFrame, common) -> DataFrame:
             rid, t = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in in_slices(t):
                 s, w, n = weighted_sets(t[a:b], common)
-                part = (s >> U(20)) % U(parts)
+                part = (s >> U(20)) % U(CELLS * each) % U(parts)
                 order = np.argsort(part, kind="stable")
                 used, starts = np.unique(part[order], return_index=True)
                 ends = pa.array(np.append(starts, len(order)).astype(np.int32))
@@ -271,12 +285,19 @@ def _shared_weights(rids: DataFrame, texts: DataFrame, common) -> DataFrame:
         first = np.r_[True, s[order][1:] != s[order][:-1]]
         alone = np.empty(len(s), bool)
         alone[order] = first & np.r_[first[1:], True]
-        ids, at = np.unique(rid, return_inverse=True)
-        return pa.table({"rid": ids, "weight": np.bincount(at, weights=w), "shared": np.bincount(at, weights=np.where(alone, 0.0, w))})
+        cell = (s.view(U) >> U(20)) % U(CELLS * each) // U(each)
+        own = np.lexsort((cell, rid))
+        starts = np.flatnonzero(np.r_[True, (rid[own][1:] != rid[own][:-1]) | (cell[own][1:] != cell[own][:-1])])
+        total = lambda x: np.add.reduceat(x[own], starts)
+        return pa.table({"rid": rid[own][starts], "cell": cell[own][starts].astype(np.int32), "weight": total(w), "shared": total(np.where(alone, 0.0, w))})
 
     packed = some.select("rid", "text").mapInArrow(run, "part long, shingles array<long>, rids array<long>, weights array<double>")
-    sums = packed.groupBy("part").applyInArrow(count, "rid long, weight double, shared double")
-    return staged(sums.groupBy("rid").agg(F.sum("weight").alias("weight"), F.sum("shared").alias("shared")), "shared-weights")
+    sums = packed.groupBy("part").applyInArrow(count, "rid long, cell int, weight double, shared double")
+    cells = sums.repartition("rid").groupBy("rid", "cell").agg(F.sum("weight").alias("weight"), F.sum("shared").alias("shared"))
+    shared_in = F.map_from_entries(F.collect_list(F.struct("cell", "shared")))
+    weights = cells.groupBy("rid").agg(F.sum("weight").alias("weight"), F.sum("shared").alias("shared"), shared_in.alias("m"))
+    listed = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return staged(weights.select("rid", "weight", "shared", listed.alias("cells")), "shared-weights")
 
 
 def _open_members(scored: DataFrame, found: DataFrame) -> DataFrame:

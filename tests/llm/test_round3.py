@@ -212,3 +212,42 @@ def test_mixed_group_of_near_copies_has_brute_force_classes(spark):
         label = low
     assert [got[i] for i in range(len(texts))] == label.tolist()
     assert 1 < len(set(label.tolist())) < 1400  # both sides are there
+
+
+def test_cells_bound_what_documents_share(spark, monkeypatch):
+    """Near copies with edits of their own: cells never rule out a link, and rule out most pairs that totals can't."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from evalcat.llm import near_dup as N
+
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.choice(30, 4, replace=False):
+            words[at * 5] = f"x{rng.integers(3)}"
+        texts.append(" ".join(words))
+    none = (np.array([], np.int64), np.array([]))
+    s, w, n = N.weighted_sets(texts, none)
+    ends = np.cumsum(n)
+    sets = [dict(zip(s[e - k : e].tolist(), w[e - k : e].tolist())) for e, k in zip(ends, n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    for per in (500, 0.2):  # one part of all cells, then several parts to a cell
+        monkeypatch.setattr(N, "sized_partitions", lambda rows, _, per=per: max(1, int(rows / per)))
+        rows = {r.rid: r for r in N._shared_weights(df.select("rid"), df, none).collect()}
+        for i, own in enumerate(sets):
+            elsewhere = {x for j, other in enumerate(sets) if j != i for x in other}
+            assert abs(rows[i].weight - sum(own.values())) < 1e-9 and abs(rows[i].shared - sum(v for x, v in own.items() if x in elsewhere)) < 1e-9
+            assert len(rows[i].cells) == N.CELLS and abs(sum(rows[i].cells) - rows[i].shared) < 1e-9
+        by_total = by_cell = 0
+        for i, j in combinations(range(40), 2):
+            a, b = rows[i], rows[j]
+            real = sum(min(v, sets[j][x]) for x, v in sets[i].items() if x in sets[j])
+            total, cells = min(a.shared, b.shared), sum(map(min, a.cells, b.cells))
+            assert real <= cells + 1e-9 and cells <= total + 1e-9
+            reach = lambda both, a=a, b=b: both >= (a.weight + b.weight - both) * 0.8
+            by_total, by_cell = by_total + reach(total), by_cell + reach(cells)
+        assert by_cell < by_total / 2
