@@ -47,6 +47,8 @@ from evalcat.llm.common import arrow_rows, sized_partitions, staged
 from evalcat.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS, PIVOTS, CELLS = 5, 14, 4, 3, 128
+#: Documents to a task where steps write: small tables aren't dealt to more tasks than they need.
+DOCS = 4000
 BUCKETS, COMMON, FLOOR = 1 << 19, 0.01, 0.75
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -94,7 +96,8 @@ def common_buckets(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
     counts = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counts.where(F.col("n") > max(2.0, COMMON * count)).orderBy("bucket").collect()
+    got = counts.where(F.col("n") > max(2.0, COMMON * count)).collect()
+    got.sort(key=lambda r: r["bucket"])
     share = np.array([r["n"] / max(1, count) for r in got])
     return np.array([r["bucket"] for r in got], np.int64), FLOOR + (1 - FLOOR) * np.clip(np.log(1 / np.maximum(share, 1e-12)) / np.log(1 / COMMON), 0, 1)
 
@@ -155,26 +158,30 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / either if either else 0.0
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
-    """pairs (a, b) with their similarity; texts (rid, text)."""
+def _texts_of(rids: DataFrame, texts: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    # hinted, so that it is the same plan at every size
+    return staged(texts.select("rid", "text").hint("shuffle_merge").join(rids.select("rid").distinct(), "rid", "left_semi"), name, parts=parts)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, common, parts: int | None = None) -> DataFrame:
+    """pairs (a, b and any other columns) with their similarity; texts (rid, text)."""
+    kept = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             of = {**dict(zip(a, ta)), **dict(zip(b, tb))}
             ids = list(of)
             s, w, n = weighted_sets(list(of.values()), common)
             ends = np.cumsum(n)
             at = {i: (s[e - k : e], w[e - k : e]) for i, e, k in zip(ids, ends.tolist(), n.tolist())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([similarity(at[x], at[y]) for x, y in zip(a, b)], pa.float64())], names=["a", "b", "similarity"])
+            scores = pa.array([similarity(at[x], at[y]) for x, y in zip(a, b)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, "similarity"])
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    # hinted, so that it is the same plan at every size
-    some = staged(texts.hint("shuffle_merge").join(used, "rid", "left_semi"), "compared-texts")
-    side = lambda p: some.select(F.col("rid").alias(p), F.col("text").alias(f"t{p}")).hint("shuffle_merge")
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda p: texts.select(F.col("rid").alias(p), F.col("text").alias(f"t{p}")).hint("shuffle_merge")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select(*kept, "ta", "tb")
     with arrow_rows(pairs.sparkSession, 1000):
-        return staged(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double"), "compared")
+        return staged(rows.mapInArrow(run, pairs.schema.add("similarity", "double")), "compared", parts=parts)
 
 
 def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> DataFrame:
@@ -182,6 +189,7 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
     text, the others have no part in it. Returns (a, b, similarity), a < b:
     links whose components are the near-duplicate classes."""
     common = common_buckets(texts.select("text"), count)
+    parts = sized_partitions(count, DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from evalcat.llm.textcache import in_slices
@@ -196,49 +204,49 @@ def links(texts: DataFrame, first: DataFrame, count: int, threshold: float) -> D
                 )
 
     members = texts.select("rid", "text").mapInArrow(run, "rid long, band int, hash long")
-    members = staged(members.join(first.hint("shuffle_merge"), "rid", "left_semi"), "bands")
+    members = staged(members.join(first.hint("shuffle_merge"), "rid", "left_semi"), "bands", parts=parts)
     # which document of a bucket is compared with the others depends on the band: what one leaves apart, another often joins
     buckets = members.groupBy("band", "hash").agg(F.min_by("rid", F.struct(F.xxhash64("rid", F.col("band") % 4), "rid")).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = staged(members.join(buckets, ["band", "hash"]).where(F.col("rid") != F.col("rep")), "bucket-members")
-    stars = _compared(shared.select(F.least("rep", "rid").alias("a"), F.greatest("rep", "rid").alias("b")).distinct(), texts, common)
-    found = stars.where(F.col("similarity") >= threshold)
+    shared = staged(members.join(buckets, ["band", "hash"]), "bucket-members", parts=parts)
+    pairs = shared.where(F.col("rid") != F.col("rep")).groupBy(F.least("rep", "rid").alias("a"), F.greatest("rep", "rid").alias("b"))
+    pairs = pairs.agg(F.collect_list(F.struct("band", "hash", "rid")).alias("members"))
+    stars = _compared(pairs, _texts_of(shared, texts, "compared-texts", parts), common, parts)
+    found = stars.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
     if stars.where(F.col("similarity") < threshold).isEmpty():
         return found
     # what the stars leave open, see above
-    scored = shared.join(stars, (F.least("rep", "rid") == F.col("a")) & (F.greatest("rep", "rid") == F.col("b"))).select("band", "hash", "rid", "similarity", "rep")
+    scored = stars.select(F.explode("members").alias("m"), "similarity").select("m.*", "similarity")
     # the compared one itself is in its bucket, too
-    reps = scored.select("band", "hash", F.col("rep").alias("rid"), F.lit(1.0).alias("similarity"), "rep").distinct()
-    scored = staged(scored.unionByName(reps), "scored-members")
+    scored = scored.unionByName(shared.where(F.col("rid") == F.col("rep")).select("band", "hash", "rid", F.lit(1.0).alias("similarity")))
     tried = stars.select("a", "b")
-    known = _open_members(scored, found)
-    shared_cells = _shared_weights(known.select("rid").distinct(), texts, common)
-    weights = shared_cells.drop("cells")
     # buckets that are one class by now need nothing more
-    scored = staged(known.drop("root").join(weights, "rid"), "weighed-members")
-    known = known.join(weights, "rid")
+    known = _open_members(scored, found, parts)
+    texts = _texts_of(known, texts, "open-texts", parts)
+    shared_cells = _shared_weights(None, texts, common)
+    known = staged(known.join(shared_cells.drop("cells"), "rid"), "weighed-members", parts=parts)
     for i in range(PIVOTS):
         # the least edited of a class, roughly, links the most
         best = F.struct(F.round(F.col("shared") / F.col("weight"), 1 if i else 3).alias("r"), F.xxhash64("rid", F.lit(i)).alias("h"), "rid")
         pivots = known.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("rid", "weight", "shared"), best).alias("p"))
         pivots = pivots.groupBy(F.col("band").alias("p_band"), F.col("hash").alias("p_hash")).agg(F.max_by(F.struct("p.rid", "p.weight", "p.shared", "root"), F.struct("n", "root")).alias("p"))
         met = known.join(pivots, (F.col("band") == F.col("p_band")) & (F.col("hash") == F.col("p_hash"))).where((F.col("root") != F.col("p.root")) & _can_reach("", "p.", threshold))
-        pairs = met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")).distinct()
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pivot-pairs")
-        more = _compared(pairs, texts, common).where(F.col("similarity") >= threshold)
+        pairs = staged(met.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")).distinct(), "pivot-pairs", parts=parts)
+        more = _compared(pairs, texts, common, parts).where(F.col("similarity") >= threshold)
         tried = tried.unionByName(pairs)
         if more.isEmpty():
             break
         found = found.unionByName(more)
-        known = _open_members(scored, found)
-    # what no pivot has joined: pair by pair, if all bounds allow a link
-    other = known.select("band", "hash", *[F.col(c).alias(f"x_{c}") for c in ("rid", "similarity", "root", "weight", "shared")])
-    open_ = known.join(other, ["band", "hash"]).where(
-        (F.col("root") != F.col("x_root")) & (F.col("rid") < F.col("x_rid")) & (F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - threshold + 1e-9) & _can_reach("", "x_", threshold)
-    )
+        known = _open_members(known.drop("root"), found, parts)
+    # what no pivot has joined: pair by pair, if all bounds allow a link. The cells are in the join's condition, so that only such pairs are made
+    some = F.col("shared") >= F.col("weight") * (threshold - 1e-9)
+    known = known.where(some).join(_small_cells(shared_cells), "rid")
+    other = known.select(*[F.col(c).alias(f"x_{c}") for c in ("band", "hash", "rid", "similarity", "root", "weight", "shared", "unit", "cells")])
+    near = F.abs(F.col("similarity") - F.col("x_similarity")) <= 1 - threshold + 1e-9
+    may = (F.col("root") != F.col("x_root")) & (F.col("rid") < F.col("x_rid")) & near & _can_reach("", "x_", threshold)
+    may = F.when(may, _can_share("", "x_", threshold)).otherwise(False)
+    open_ = known.join(other, (F.col("band") == F.col("x_band")) & (F.col("hash") == F.col("x_hash")) & may)
     rest = open_.select(F.col("rid").alias("a"), F.col("x_rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    side = lambda p: shared_cells.select(F.col("rid").alias(p), F.struct("weight", "cells").alias(f"of_{p}"))
-    rest = rest.join(side("a"), "a").join(side("b"), "b").where(_can_share("of_a.", "of_b.", threshold)).select("a", "b")
-    return found.unionByName(_compared(staged(rest, "open-pairs"), texts, common).where(F.col("similarity") >= threshold))
+    return found.unionByName(_compared(staged(rest, "open-pairs", parts=parts), texts, common, parts).where(F.col("similarity") >= threshold))
 
 
 def _can_reach(p: str, q: str, threshold: float):
@@ -248,18 +256,26 @@ def _can_reach(p: str, q: str, threshold: float):
     return both >= (F.col(f"{p}weight") + F.col(f"{q}weight") - both) * (threshold - 1e-9)
 
 
+def _small_cells(shared: DataFrame) -> DataFrame:
+    """(rid, unit, cells): cells as small numbers of units, rounded up."""
+    unit = F.greatest(F.array_max("cells") / 126, F.lit(1e-9))
+    return shared.select("rid", unit.alias("unit"), F.transform("cells", lambda c: F.ceil(c / unit).cast("tinyint")).alias("cells"))
+
+
 def _can_share(p: str, q: str, threshold: float):
     """The same cell by cell: in none have they more in common than either shares there."""
-    both = F.aggregate(F.zip_with(f"{p}cells", f"{q}cells", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
-    return both >= (F.col(f"{p}weight") + F.col(f"{q}weight") - both) * (threshold - 1e-9)
+    least = lambda x, y: F.least(x * F.col(f"{p}unit"), y * F.col(f"{q}unit"))
+    both = F.aggregate(F.zip_with(f"{p}cells", f"{q}cells", least), F.lit(0.0), lambda x, y: x + y)
+    # named once, so that it isn't worked out ahead of the cheaper conditions
+    return both * (1 + threshold) >= (F.col(f"{p}weight") + F.col(f"{q}weight")) * (threshold - 1e-6)
 
 
-def _shared_weights(rids: DataFrame, texts: DataFrame, common) -> DataFrame:
-    """(rid, weight, shared, cells): of each of these documents the weight of its
-    shingles, of those that any other of these documents has, and of the latter
+def _shared_weights(rids: DataFrame | None, texts: DataFrame, common) -> DataFrame:
+    """(rid, weight, shared, cells): of each of these documents (None: of all
+    texts) the weight of its shingles, of those that any other of these documents has, and of the latter
     in each of CELLS cells of the hashes. Shingles meet by hash in parts of some
     hundred documents' worth, packed."""
-    some = staged(texts.hint("shuffle_merge").join(rids, "rid", "left_semi"), "open-texts")
+    some = texts if rids is None else _texts_of(rids, texts, "open-texts")
     parts = sized_partitions(some.count(), 500)
     # a part is some cells, or a cell some parts
     each = -(-parts // CELLS)
@@ -297,17 +313,16 @@ def _shared_weights(rids: DataFrame, texts: DataFrame, common) -> DataFrame:
     shared_in = F.map_from_entries(F.collect_list(F.struct("cell", "shared")))
     weights = cells.groupBy("rid").agg(F.sum("weight").alias("weight"), F.sum("shared").alias("shared"), shared_in.alias("m"))
     listed = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return staged(weights.select("rid", "weight", "shared", listed.alias("cells")), "shared-weights")
+    return staged(weights.select("rid", "weight", "shared", listed.alias("cells")), "shared-weights", parts=parts)
 
 
-def _open_members(scored: DataFrame, found: DataFrame) -> DataFrame:
+def _open_members(scored: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Members with their component (``root``) of those buckets whose members
     are of several."""
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = scored.join(roots, F.col("rid") == F.col("node"), "left").drop("node", "rep").withColumn("root", F.coalesce("root", "rid"))
-    known = staged(known, "known-members")
+    known = scored.join(roots, F.col("rid") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "rid"))
     several = known.groupBy("band", "hash").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("band", "hash")
-    return staged(known.join(several, ["band", "hash"], "left_semi"), "open-members")
+    return staged(known.join(several, ["band", "hash"], "left_semi"), "open-members", parts=parts)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -315,13 +330,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     ``docs``; classes: (rid, doc_id, class_id, kept), class_id the smallest
     doc_id of the class, kept true for the first row (doc_id, row) of each."""
     rows = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "documents")
+    count = rows.count()
+    parts = sized_partitions(count, DOCS)
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     keyed = staged(rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("key")), "text-keys")
-    equal = staged(keyed.groupBy("key").agg(F.min("rid").alias("cid")), "equal-texts")
-    found = links(rows.select("rid", text.alias("text")), equal.select(F.col("cid").alias("rid")), rows.count(), threshold)
+    equal = staged(keyed.groupBy("key").agg(F.min("rid").alias("cid")), "equal-texts", parts=parts)
+    found = links(rows.select("rid", text.alias("text")), equal.select(F.col("cid").alias("rid")), count, threshold)
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     member = keyed.join(equal, "key").join(roots, F.col("cid") == F.col("node"), "left").select("rid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    member = staged(member, "class-members")
+    member = staged(member, "class-members", parts=parts)
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("first"))
     classes = member.join(first, "root").select("rid", "doc_id", F.col("first.doc_id").alias("class_id"), (F.col("first.rid") == F.col("rid")).alias("kept"))
     return rows, classes
