@@ -6,8 +6,8 @@ tests; a logistic regression with an L1 penalty keeps few of them; and these are
 compiled into one Spark column expression over the statistics.
 
 Labels are only used of rows for which ``crc32(text of doc_id) % 5 != 0``; the
-fit takes at most ``fit_rows`` of these, those with the smallest hashes, and
-only their statistics reach the driver.
+fit takes at most ``fit_rows`` of these, those with the smallest hashes, in one
+task, from their statistics; only the rules reach the driver.
 
 Edge cases: a null text is empty; statistics of an empty text are 0 and it gets
 a score like any other; a null doc_id isn't held out and has no label; of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalcat.llm.common import text_rows
+from evalcat.llm.common import learned, text_rows
 
 FIT_ROWS = 20_000
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, threshold), ...
@@ -163,6 +163,17 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
     return w[:k], float(w[k])
 
 
+def rules_of(y: np.ndarray, x: np.ndarray, penalty: float) -> tuple[list[tuple[Rule, float]], float]:
+    """(rules with weights, intercept) of labels and rows of STATISTICS."""
+    if y.min() == y.max():
+        return [], float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    names = list(STATISTICS)
+    rules = boosted_rules(x, y, names)
+    z = np.column_stack([holds(r, x, names) for r in rules]).astype(np.float64) if rules else np.zeros((len(y), 0))
+    w, b = lasso_logistic(z, y, penalty)
+    return [(r, float(v)) for r, v in zip(rules, w) if v], b
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS, penalty: float = 5e-4) -> tuple[list[tuple[Rule, float]], float]:
     """(rules with weights, intercept). docs: doc_id, text; labels: doc_id and
     ``label`` (0 or 1; others don't count)."""
@@ -171,17 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     known = known.orderBy(F.xxhash64("doc_id")).limit(fit_rows)  # at most fit_rows rows, two numbers each
     rows = text_rows(docs).join(F.broadcast(known), "doc_id")
     rows = rows.select("doc_id", F.col("y").cast("double").alias("y"), statistics(F.col("text")).alias("stats")).select("doc_id", "y", "stats.*")
-    got = rows.orderBy(F.xxhash64("doc_id"), *STATISTICS).limit(fit_rows).toPandas()
-    y, x = got["y"].to_numpy(), got[list(STATISTICS)].to_numpy()
-    if not len(y):
-        return [], 0.0
-    if y.min() == y.max():
-        return [], float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    names = list(STATISTICS)
-    rules = boosted_rules(x, y, names)
-    z = np.column_stack([holds(r, x, names) for r in rules]).astype(np.float64) if rules else np.zeros((len(y), 0))
-    w, b = lasso_logistic(z, y, penalty)
-    return [(r, float(v)) for r, v in zip(rules, w) if v], b
+    some = rows.orderBy(F.xxhash64("doc_id"), *STATISTICS).limit(fit_rows)
+    return learned(some, lambda t: rules_of(t.column("y").to_numpy(), np.column_stack([t.column(n).to_numpy() for n in STATISTICS]), penalty)) or ([], 0.0)
 
 
 def compiled(model: tuple[list[tuple[Rule, float]], float], stats: dict[str, Column]) -> Column:

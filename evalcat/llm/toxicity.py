@@ -20,7 +20,8 @@ witness: a run that is many times likelier in toxic documents than elsewhere
 highest. Each round
 adds the negative sentences' highest runs. At most ``fit_docs`` documents of
 either label are used, those with the smallest hashes among rows for which
-``crc32(text of doc_id) % 3 != 1``.
+``crc32(text of doc_id) % 3 != 1``; one task learns from them, and only the
+machine reaches the driver.
 
 Edge cases: a null or empty text scores as a text without letters; a null
 doc_id isn't held out and has no label; of several labels of a doc_id the
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalcat.llm.common import text_rows
+from evalcat.llm.common import learned, text_rows
 from evalcat.llm.quality import held_out
 
 ORDER, DECAY, WINDOW, STEP, LETTERS = 3, 0.6, 24, 8, 64
@@ -59,12 +60,17 @@ def _letter(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % (LETTERS - 26)
 
 
-def letters(run: str) -> tuple[int, ...]:
+def letters(run: str) -> bytes:
     """A run of characters as small letter codes."""
-    return tuple(_letter(c) for c in _NOT_LETTERS.sub("", run.lower()))
+    return bytes(_letter(c) for c in _NOT_LETTERS.sub("", run.lower()))
 
 
-def windows(code: tuple[int, ...]) -> list[tuple[int, ...]]:
+def _block(codes: list[bytes]) -> np.ndarray:
+    """Strings of one length as rows of letter codes."""
+    return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1).astype(np.int64)
+
+
+def windows(code: bytes) -> list[bytes]:
     if len(code) <= WINDOW:
         return [code]
     return [code[s : s + WINDOW] for s in range(0, len(code) - WINDOW + STEP, STEP)]
@@ -100,15 +106,15 @@ def _norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt((np.where(last, sums - before, 0.0) ** 2).sum(axis=1))
 
 
-def explicit(code: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def explicit(code: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and normalised values of one string."""
-    c, w = _coordinates(np.array([code], np.int64))
+    c, w = _coordinates(_block([code]))
     coords, back = np.unique(c[0], return_inverse=True)
     values = np.bincount(back, w, len(coords)) if len(coords) else np.zeros(0)
     return coords, values / max(1e-12, float(np.sqrt(values @ values)))
 
 
-def decisions(weights: np.ndarray, codes: list[tuple[int, ...]]) -> np.ndarray:
+def decisions(weights: np.ndarray, codes: list[bytes]) -> np.ndarray:
     """sum of weights over a string's normalised coordinates; 0 for strings
     of fewer than ORDER letters."""
     out = np.zeros(len(codes))
@@ -120,7 +126,7 @@ def decisions(weights: np.ndarray, codes: list[tuple[int, ...]]) -> np.ndarray:
         step = max(1, 400_000 // len(_places(int(n))[0]))
         for s in range(0, len(of), step):
             rows = of[s : s + step]
-            c, w = _coordinates(np.array([codes[i] for i in rows], np.int64))
+            c, w = _coordinates(_block([codes[i] for i in rows]))
             out[rows] = (weights[c] @ w) / _norms(c, w)
     return out
 
@@ -140,7 +146,7 @@ def runs_of(sentence: str) -> list[str]:
     return [*filter(None, _BLANKS.split(sentence)), *_SPELLED.findall(sentence)]
 
 
-def kernel(a: list[tuple[int, ...]], b: list[tuple[int, ...]]) -> np.ndarray:
+def kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     rows = [explicit(t) for t in b]
     place = np.zeros(LETTERS**ORDER, np.int64)  # 0: in no string of b
     some = np.unique(np.concatenate([c for c, _ in rows])) if rows else np.zeros(0, np.int64)
@@ -188,21 +194,21 @@ def without_copies(texts: list[str]) -> list[str]:
     return out
 
 
-def witnesses(toxic: list[set], clean: list[set], least: int = 4) -> dict:
-    """Strings many times likelier in toxic documents than elsewhere, with
-    their numbers of toxic documents."""
-    seen = Counter(s for d in clean for s in d)
-    count = Counter(s for d in toxic for s in d)
+def witnesses(toxic: list[np.ndarray], clean: list[np.ndarray], least: int = 4) -> dict:
+    """Strings (by number, each once a document) many times likelier in toxic
+    documents than elsewhere, with their numbers of toxic documents."""
+    count, seen = (np.bincount(np.concatenate(d)) for d in (toxic, clean))
+    seen = np.pad(seen, (0, max(0, len(count) - len(seen))))[: len(count)]
     odds = 8.0 * len(toxic) / max(1, len(clean))
-    out = {s: n for s, n in count.items() if n >= max(least, odds * (seen[s] + 2))}
+    out = {int(s): int(count[s]) for s in np.flatnonzero((count > 0) & (count >= np.maximum(least, odds * (seen + 2))))}
     return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
 def train(toxic: list[str], clean: list[str], landmarks: int = 400, rounds: int = 4) -> tuple[np.ndarray, float, float]:
     """(weight per coordinate, slope, offset of the logistic curve)."""
     known: dict[str, list] = {}
-    number: dict[tuple, int] = {}
-    sets = []  # per document the numbers of the strings in its sentences
+    number: dict[bytes, int] = {}
+    sets = []  # per document the numbers of the strings in its sentences, in ascending order
     for text in [*toxic, *clean]:
         own = set()
         for sentence in sentences(text):
@@ -210,12 +216,12 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 400, rounds: int
                 if run not in known:
                     known[run] = [number.setdefault(w, len(number)) for w in windows(letters(run)) if len(w) >= ORDER]
                 own.update(known[run])
-        sets.append(own)
+        sets.append(np.array(sorted(own), np.int32))
     strings = list(number)
     pos, neg = sets[: len(toxic)], sets[len(toxic) :]
     seeds = witnesses(pos, neg)
     seeds = {strings[i]: n for i, n in seeds.items()}
-    clean_runs = np.array(sorted({i for d in neg for i in d}), np.int64)
+    clean_runs = np.unique(np.concatenate(neg)).astype(np.int64)
     negatives = dict.fromkeys(strings[i] for i in np.random.default_rng(7).permutation(clean_runs)[:4000])
     positives = dict(seeds)
     weights, b = np.zeros(LETTERS**ORDER), 0.0
@@ -243,13 +249,12 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 400, rounds: int
         order = dict(zip(negatives, decisions(weights, list(negatives))))
         negatives = dict.fromkeys(sorted(order, key=lambda t: (-order[t], t)))  # the hardest become landmarks
         found = Counter()
-        for d in pos:
-            own = np.array(sorted(d), np.int64)
+        for own in pos:
             if len(own) and scores[own].max() + b > 0:
                 found[strings[own[int(scores[own].argmax())]]] += 1
         positives = dict(seeds) | {s: n for s, n in found.items() if n >= 2 and s not in negatives}
     # documents score as their highest sentence; a logistic curve on that
-    best = np.array([max(0.0, scores[list(d)].max()) if d else 0.0 for d in sets])
+    best = np.array([max(0.0, scores[d].max()) if len(d) else 0.0 for d in sets])
     y = np.array([1.0] * len(pos) + [0.0] * len(neg))
     p, q = np.zeros(2), np.column_stack([best, np.ones(len(best))])
     for _ in range(50):  # Newton with a ridge, so that separable data has a curve too
@@ -264,9 +269,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     kinds = []
     for y in (1, 0):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(fit_docs)  # bounded
-        got = text_rows(docs).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(fit_docs).select("text").toPandas()
-        kinds.append(without_copies(got["text"].tolist()))
-    return train(*kinds) if all(kinds) else None
+        rows = text_rows(docs).join(F.broadcast(some), "doc_id").select("y", F.xxhash64("doc_id").alias("h"), "text")
+        kinds.append(rows.orderBy("h", "text").limit(fit_docs))
+
+    def learn(rows: pa.Table) -> tuple[np.ndarray, float, float] | None:
+        rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("h", "text", "y"))))
+        texts = [without_copies([t for _, t, y in rows if y == kind]) for kind in (1, 0)]
+        return train(*texts) if all(texts) else None
+
+    return learned(kinds[0].unionByName(kinds[1]), learn)
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
